@@ -1,0 +1 @@
+"""The engine is batch-only: every table is rebuilt as a whole, so there is no streaming operator."""
