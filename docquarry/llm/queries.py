@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The key of the registered queries; a production run passes its own secret.
+PII_KEY = "registered-query-key"
+
+
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
@@ -22,6 +26,12 @@ def op2_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_range_shards, op2_multiset_fingerprints)}
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymize
+
+    return pseudonymize(_documents(spark, sf_dir, "doc_id", "text"), PII_KEY, "text", "n_replaced")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_range_shards, op2_multiset_fingerprints, op5_feistel_pseudonyms)}
 
 ORACLE_SQL: dict[str, str] = {}
