@@ -32,6 +32,31 @@ def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize(_documents(spark, sf_dir, "doc_id", "text"), PII_KEY, "text", "n_replaced")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_range_shards, op2_multiset_fingerprints, op5_feistel_pseudonyms)}
+def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
+    found = language.identify(docs, language.learn_from(docs))
+    return found.select("doc_id", F.coalesce(language.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op9_site_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = _documents(spark, sf_dir, "doc_id", "text", "source")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.score_documents(docs, quality.learn_evidence(docs, labels))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_byte_range_shards,
+        op2_multiset_fingerprints,
+        op5_feistel_pseudonyms,
+        op8_ppm_language,
+        op9_site_bayes_quality,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
