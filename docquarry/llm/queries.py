@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 PII_KEY = "registered-query-key"
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
@@ -26,12 +32,24 @@ def op2_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op3_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .binary_output import read_token_files, write_token_files
+
+    return read_token_files(write_token_files(_documents(spark, sf_dir, "doc_id", "text"), _tokenizer("word_bpe_49k.json"), end_id=2))
+
+
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pseudonymize
 
     return pseudonymize(_documents(spark, sf_dir, "doc_id", "text"), PII_KEY, "text", "n_replaced")
 
 
+def op6_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import round_trip_digests
+
+    return round_trip_digests(_documents(spark, sf_dir, "doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language
 
@@ -48,14 +66,24 @@ def op9_site_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.learn_evidence(docs, labels))
 
 
+def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import cut_documents, place_pieces
+
+    pieces = cut_documents(_documents(spark, sf_dir, "doc_id", "text"), _tokenizer("byte_bpe_50k.json"), end_id=0)
+    return place_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_range_shards,
         op2_multiset_fingerprints,
+        op3_elias_fano_tokens,
         op5_feistel_pseudonyms,
+        op6_rank_array_bpe,
         op8_ppm_language,
         op9_site_bayes_quality,
+        op10_harmonic_packing,
     )
 }
 
