@@ -50,6 +50,13 @@ def op6_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_documents(spark, sf_dir, "doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op7_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return top_k(vectors, F.col("vec_id") % 100 == 0, 10)
+
+
 def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language
 
@@ -81,10 +88,27 @@ QUERIES = {
         op3_elias_fano_tokens,
         op5_feistel_pseudonyms,
         op6_rank_array_bpe,
+        op7_pivot_top_k,
         op8_ppm_language,
         op9_site_bayes_quality,
         op10_harmonic_packing,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_pivot_top_k": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS c
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.c, x.c) AS BIGINT) AS score
+    FROM v q JOIN v x ON q.vec_id <> x.vec_id
+    WHERE q.vec_id % 100 = 0
+), r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+}
