@@ -149,25 +149,40 @@ def learn_from(docs: DataFrame, sample_bytes: int = 4_000_000, id_col: str = "do
     return PartialMatching.learn({k: sorted(v) for k, v in texts.items()})
 
 
+def _predict(m: PartialMatching, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """The winner's share of 2^-bits is the score, one bit counting as 1/8 so that very short texts aren't sure."""
+    usable = [bool(m.languages) and t is not None and has_letter(t) for t in texts]
+    bits = m.bits([t.encode() if u else b"" for t, u in zip(texts, usable)])
+    langs = [m.languages[b.argmin()] if u else "und" for b, u in zip(bits, usable)]
+    scores = [float(1 / np.exp2((b.min() - b) / 8).sum()) if u else 0.0 for b, u in zip(bits, usable)]
+    return langs, scores
+
+
 def identify(docs: DataFrame, model: PartialMatching, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, lang_pred and score of every row. The score is the winner's share of 2^-bits, one bit counting as
-    1/8 so that the score of very short texts is not sure; only the text is looked at."""
+    """``id_col``, lang_pred and score (0 to 1) of every row; only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            for k in range(0, max(1, batch.num_rows), 512):
+            for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                texts = part.column(1).to_pylist()
-                usable = [bool(m.languages) and t is not None and has_letter(t) for t in texts]
-                bits = m.bits([t.encode() if u else b"" for t, u in zip(texts, usable)])
-                best = bits.argmin(1) if len(texts) else []
-                langs, scores = [], []
-                for i, u in enumerate(usable):
-                    langs.append(m.languages[best[i]] if u else "und")
-                    scores.append(float(1 / np.exp2((bits[i].min() - bits[i]) / 8).sum()) if u else 0.0)
+                langs, scores = _predict(shared.value, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: PartialMatching, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, in a learnt language with at least ``least_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                langs, scores = _predict(shared.value, part.column(at).to_pylist())
+                yield part.filter(pa.array([x != "und" and s >= least_score for x, s in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

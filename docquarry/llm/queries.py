@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 PII_KEY = "registered-query-key"
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -35,7 +35,13 @@ def op2_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .binary_output import read_token_files, write_token_files
 
-    return read_token_files(write_token_files(_documents(spark, sf_dir, "doc_id", "text"), _tokenizer("word_bpe_49k.json"), end_id=2))
+    return read_token_files(write_token_files(_documents(spark, sf_dir, "doc_id", "text"), tokenizer_file("word_bpe_49k.json"), end_id=2))
+
+
+def op4_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import link_documents
+
+    return link_documents(_documents(spark, sf_dir, "doc_id", "text"), n=3, p=90, q=100)
 
 
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +53,7 @@ def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip_digests
 
-    return round_trip_digests(_documents(spark, sf_dir, "doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
+    return round_trip_digests(_documents(spark, sf_dir, "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op7_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +82,7 @@ def op9_site_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import cut_documents, place_pieces
 
-    pieces = cut_documents(_documents(spark, sf_dir, "doc_id", "text"), _tokenizer("byte_bpe_50k.json"), end_id=0)
+    pieces = cut_documents(_documents(spark, sf_dir, "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
     return place_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
@@ -86,6 +92,7 @@ QUERIES = {
         op1_byte_range_shards,
         op2_multiset_fingerprints,
         op3_elias_fano_tokens,
+        op4_partenum_join,
         op5_feistel_pseudonyms,
         op6_rank_array_bpe,
         op7_pivot_top_k,
@@ -96,6 +103,28 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_partenum_join": r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents
+), g AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS s
+    FROM w
+), n AS (
+    SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), c AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+    SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * c.c >= 90 * (x.n + y.n - c.c)
+), r AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION
+    SELECT r.a, l.b FROM r JOIN l ON l.a = r.b
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id
+""",
     "op7_pivot_top_k": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS c
