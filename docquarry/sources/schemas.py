@@ -1,0 +1,23 @@
+"""Explicit types of the tables (all dates as ISO text unless said otherwise)."""
+
+from __future__ import annotations
+
+PAGE = "pdf_page int, printed_page int, chapter_id string, section_id string, title string, raw_text string, search_text string, has_text_layer boolean, render_mode string, version string"
+LOAN = "id string, title string, sequence int, category string, source_start int, source_end int, pdf_start int, pdf_end int, has_interpretations boolean, detail_url string, verification_status string"
+SECTION = "id string, title string, page_start int, page_end int"
+RECORD = (
+    "ord long, id string, type string, title string, category string, version string, printed_page int, pdf_page int, text string, headings array<string>, scope string, "
+    "scope_group string, url string, breadcrumb array<string>, context_title string, document_number string, date string, loan_program string"
+)
+CONCEPT = "id string, terms array<string>, trigger_terms array<string>, related_terms array<string>"
+INTENT = "id string, triggers array<string>, preferred_types array<string>, boost int"
+LETTER = (
+    "id string, title string, source_header string, date string, document_number string, canonical_number string, loan_program string, printed_start int, printed_end int, pdf_start int, "
+    "pdf_end int, range_status string, original_url string, verification_status string, index_basis string"
+)
+QUESTION = "id string, group_id string, label string, number int, question string, answer string, printed_start int, printed_end int, source_pages array<int>, range_status string, verification_status string"
+UPDATE = (
+    "id string, title string, source_type string, agency string, document_number string, published string, effective string, version_date string, period struct<start: string, end: string>, "
+    "source_url string, loan_ids array<string>, section_ids array<string>, relation_basis string, relation_evidence string, verified_on string"
+)
+SHORTCUT = "id string, label string, query string, kind string, ord int"
