@@ -10,7 +10,7 @@ The boundaries are the documents' ends. Each end's low bits lie in a packed arra
 is found by a scan of a few bytes: about 2 + log2(ids / documents) bits for each document in all.
 
 Images are rows of a Parquet dataset in the shared folder (part, number, doc_ids, image), so any store that Spark writes to
-will do, and each is bounded by ``IMAGE_IDS`` ids and ``IMAGE_DOCS`` documents (a longer document is an image alone).
+will do, and each is bounded by ``image_ids`` ids and ``image_docs`` documents (a longer document is an image alone).
 
 Defined results: null text is the empty text, one end id; null ids come first; equal ids are ordered by text; repeated
 rows have a place each; an empty table gives no files and no rows; other columns are ignored.
@@ -108,7 +108,7 @@ class Image:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
-def write_token_files(docs: DataFrame, path: str, end_id: int = 2, kind: str = "word", width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, end_id: int = 2, kind: str = "word", width: int = 2, id_col: str = "doc_id", text_col: str = "text", image_ids: int = IMAGE_IDS, image_docs: int = IMAGE_DOCS) -> DataFrame:
     """Encode and write all documents in ascending order of ``id_col``; the dataset of images, read back.
 
     The texts are range-partitioned by id, so a partition's files follow the one before it.
@@ -140,7 +140,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, kind: str = "
             for k in range(0, batch.num_rows, 256):
                 rows = batch.slice(k, 256)
                 for name, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist())):
-                    if held and (size + len(ids) >= IMAGE_IDS or len(held) == IMAGE_DOCS):
+                    if held and (size + len(ids) >= image_ids or len(held) == image_docs):
                         yield image()
                     held.append(np.append(ids, np.uint32(end_id)))
                     names.append(name)
