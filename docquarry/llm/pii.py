@@ -11,8 +11,8 @@ kind       valid if                                what moves
 card       issuer prefix, length, Luhn             digits between the issuer digit and the check digit; the check
                                                    digit is set anew
 iban       letters, length, modulo 97              all after the country, class by class; check digits anew
-phone      area code and exchange from 2, +1 form  area code, exchange and line number
-           or +country form of 8 to 15 digits      (other countries: the digits after the first two)
+phone      +1 form; area code and exchange from 2  area code, exchange and line number
+           without it; +country, 8 to 15 digits    (other countries: the digits after the first two)
 ssn        area, group and serial in use           all three, among valid ones
 date       YYYY-MM-DD, DD/MM/YYYY in the calendar  the day, within its 400 years (146,097 days)
 ip         four numbers to 255                     all 32 bits
@@ -37,7 +37,7 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9/\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/\-])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
-PHONE = r"\+1[ .\-]?\(?[2-9][0-9]{2}\)?[ .\-]?[2-9][0-9]{2}[ .\-]?[0-9]{4}(?![0-9])|\+[2-9][0-9]{0,2}(?:[ .\-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])|(?<![0-9+(\-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[\-. ])[2-9][0-9]{2}[\-. ][0-9]{4}(?![0-9\-])"
+PHONE = r"\+1[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])|\+[2-9][0-9]{0,2}(?:[ .\-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])|(?<![0-9+(\-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[\-. ])[2-9][0-9]{2}[\-. ][0-9]{4}(?![0-9\-])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])"
 #: The order counts: what is found first takes its characters.
 KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "ip": IP, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
@@ -183,9 +183,12 @@ def _phone(key: str, m: Column) -> Column:
         prefix = F.when(plus, F.lit("1")).otherwise(F.lit(""))
 
         def american(x: Column) -> Column:
-            area, rest = _number(F.substring(x, 1, 3)) - 200, _number(F.substring(x, 4, 7)) - 2000000
-            p = feistel(key, "phone", area, rest, 800, 8_000_000)
-            return _let(p, lambda p: F.concat(prefix, (p["a"] + 200).cast("string"), (p["b"] + 2000000).cast("string")))
+            # first digits of area code and exchange stay among 0 and 1 or among 2 to 9, so assigned numbers stay such
+            area, rest = _number(F.substring(x, 1, 3)), _number(F.substring(x, 4, 7))
+            low_a, low_b = F.when(area >= 200, 200).otherwise(0), F.when(rest >= 2_000_000, 2_000_000).otherwise(0)
+            size_a, size_b = F.when(area >= 200, 800).otherwise(200), F.when(rest >= 2_000_000, 8_000_000).otherwise(2_000_000)
+            p = feistel(key, "phone", area - low_a, rest - low_b, size_a, size_b)
+            return _let(p, lambda p: F.concat(prefix, F.lpad((p["a"] + low_a).cast("string"), 3, "0"), F.lpad((p["b"] + low_b).cast("string"), 7, "0")))
 
         rest = F.substring(d, 3, 13)
         left = F.floor(F.length(rest) / 2).cast("int")
@@ -195,7 +198,7 @@ def _phone(key: str, m: Column) -> Column:
             return F.concat(F.substring(d, 1, 2), F.lpad(p["a"].cast("string"), left, "0"), F.lpad(p["b"].cast("string"), right, "0"))
 
         world = _let(feistel(key, "tel", _number(F.substring(rest, F.lit(1), left)), _number(F.substring(rest, left + 1, right)), F.pow(F.lit(10.0), left).cast("long"), F.pow(F.lit(10.0), right).cast("long")), abroad)
-        valid = national.isNotNull() & national.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
+        valid = national.isNotNull() & (plus | national.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"))
         digits = F.when(valid, _let(national, american)).when(plus & ~d.startswith("1") & F.length(d).between(8, 15), world)
         return F.when(digits.isNotNull(), _refill(m, digits)).otherwise(m)
 

@@ -253,7 +253,7 @@ def test_tiles_cover_large_groups(spark, monkeypatch):
 # --- personal data ---------------------------------------------------------------------------------------------------
 
 FOUND = [
-    ("card 4785380592391139 and 4785-3805-9239-1139.", 2), ("bad 4785380592391138", 0), ("+1 (743) 555-3824%%% (212) 555-0199", 2), ("ip 233.233.171.252!!", 1), ("999.1.1.1", 0),
+    ("card 4785380592391139 and 4785-3805-9239-1139.", 2), ("bad 4785380592391138", 0), ("+1 (743) 555-3824%%% (212) 555-0199", 2), ("+1 (152) 555-8590, +1 (152) 055-8590 4111", 2), ("ip 233.233.171.252!!", 1), ("999.1.1.1", 0),
     ("1970-01-31 1970-02-31 31/12/1999", 2), ("hein.19@mail5.example.com", 1), ('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"###', 1), ("GB82WEST12345698765432", 1),
     ("123-45-6789", 1), ("000-12-3456", 0), (None, 0), ("", 0), ("plain text: none", 0),
 ]
