@@ -102,7 +102,59 @@ QUERIES = {
     )
 }
 
+#: crc32 of the UTF-8 bytes of t.text, from its table by the rule of the polynomial.
+_CRC32_SQL = """(SELECT list(list_reduce(range(8), lambda a, _: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END), i) ORDER BY i) FROM range(256) r(i))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_byte_range_shards": f"""
+WITH k AS MATERIALIZED (SELECT {_CRC32_SQL} AS crc),
+d AS (
+    SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
+        xor(list_reduce(list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: ('0x' || h)::BIGINT),
+            lambda a, b: xor(a >> 8, k.crc[1 + (xor(a, b) & 255)]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32
+    FROM documents, k
+), r AS (
+    SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+        (sum(size) OVER ())::BIGINT AS total
+    FROM d
+), s AS (SELECT *, CAST(((2 * before + size) * 16) // (2 * total) AS INTEGER) AS shard FROM r)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM s
+""",
+    "op2_multiset_fingerprints": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nx, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM t WINDOW w AS (ORDER BY doc_id)),
+e AS (SELECT *, left(t, length(t) - length(t) // 2) || left(nx, length(t) // 2) AS edited FROM a),
+p AS (
+    SELECT doc_id, 0 AS kind, unnest(string_split(t, chr(10))) AS p FROM e
+    UNION ALL SELECT doc_id, 1, unnest(string_split(edited, chr(10))) FROM e
+), h AS (SELECT doc_id, kind, sha256('0:' || p) || sha256('1:' || p) AS h FROM p),
+w AS (SELECT doc_id, kind, i, ('0x' || substr(h, 16 * i + 1, 16))::UBIGINT AS w FROM h, range(8) r(i)),
+l AS (
+    SELECT doc_id, kind, i AS k, sum(w & 1048575) % 1048576 AS x, sum((w >> 21) & 1048575) % 1048576 AS y, sum((w >> 42) & 1048575) % 1048576 AS z FROM w GROUP BY ALL
+    UNION ALL
+    SELECT doc_id, kind, 8 + 8 * s + i, sum((w >> s) & 1) % 1048576, sum((w >> (s + 21)) & 1) % 1048576, sum((w >> (s + 42)) & 1) % 1048576 FROM w, range(2) q(s) GROUP BY doc_id, kind, s, i
+), n AS (SELECT doc_id, kind, count(*) AS n FROM p GROUP BY ALL),
+f AS (
+    SELECT doc_id, kind, any_value(n) AS n, printf('%08x', any_value(n) % 4294967296) || string_agg(printf('%016x', (x + y * 2097152 + z * 4398046511104)::BIGINT), '' ORDER BY k) AS hex
+    FROM l JOIN n USING (doc_id, kind) GROUP BY doc_id, kind
+), pairs AS (
+    SELECT doc_id, 'edited' AS what, doc_id AS other, 1 AS other_kind FROM e UNION ALL SELECT doc_id, 'next', next_id, 0 FROM e
+), g AS (
+    SELECT q.doc_id, q.what, any_value(na.n) AS an, any_value(nb.n) AS bn,
+        sum(pow(2 * (((la.x - lb.x + 1572864) % 1048576) - 524288) - (na.n - nb.n), 2) + pow(2 * (((la.y - lb.y + 1572864) % 1048576) - 524288) - (na.n - nb.n), 2)
+            + pow(2 * (((la.z - lb.z + 1572864) % 1048576) - 524288) - (na.n - nb.n), 2)) AS total
+    FROM pairs q JOIN n na ON na.doc_id = q.doc_id AND na.kind = 0 JOIN n nb ON nb.doc_id = q.other AND nb.kind = q.other_kind
+        JOIN l la ON la.doc_id = q.doc_id AND la.kind = 0 AND la.k >= 8 JOIN l lb ON lb.doc_id = q.other AND lb.kind = q.other_kind AND lb.k = la.k
+    GROUP BY q.doc_id, q.what
+), s AS (
+    SELECT g.doc_id, g.what, CASE WHEN fa.hex = fb.hex THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - total::DOUBLE / (48 * (an + bn))::DOUBLE) END AS near
+    FROM g JOIN pairs q USING (doc_id, what) JOIN f fa ON fa.doc_id = g.doc_id AND fa.kind = 0 JOIN f fb ON fb.doc_id = q.other AND fb.kind = q.other_kind
+)
+SELECT e.doc_id, length(e.t) AS n_chars, sha256(e.edited) AS edited_sha256, f0.hex AS fingerprint, f1.hex AS edited_fingerprint, se.near AS near_edited, sn.near AS near_next
+FROM e JOIN f f0 ON f0.doc_id = e.doc_id AND f0.kind = 0 JOIN f f1 ON f1.doc_id = e.doc_id AND f1.kind = 1
+    JOIN s se ON se.doc_id = e.doc_id AND se.what = 'edited' JOIN s sn ON sn.doc_id = e.doc_id AND sn.what = 'next'
+""",
     "op4_partenum_join": r"""
 WITH RECURSIVE w AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
