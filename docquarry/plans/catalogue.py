@@ -609,3 +609,78 @@ def sequence_rule(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     stated = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.lag("o_orderkey").over(w).alias("p"), F.lead("o_orderkey").over(w).alias("n"))
     return V.sequence_faults(stated, "o_custkey", "o_orderkey", "p", "n").select("o_orderkey")
+
+
+@registered("""SELECT page_id, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page, regexp_extract(url, '[?&]ref=([^&#]*)', 1) AS ref FROM pages""")
+def url_parameters(spark, d):
+    return table(spark, d, "pages").select("page_id", readers.url_parameter(F.col("url"), "page").alias("page"), readers.url_parameter(F.col("url"), "ref").alias("ref"))
+
+
+@registered("""SELECT page_id, '<url><loc>' || replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</loc></url>' AS line FROM pages""")
+def sitemap_lines(spark, d):
+    return table(spark, d, "pages").select("page_id", F.concat(F.lit("<url><loc>"), sinks.escaped(F.col("url")), F.lit("</loc></url>")).alias("line"))
+
+
+@registered("""SELECT p_partkey, '{"name":"' || p_name || '\\u003c","size":' || p_size || '}' AS json FROM part""")
+def safe_embedding(spark, d):
+    return table(spark, d, "part").select("p_partkey", sinks.safe_json(F.struct(F.concat("p_name", F.lit("<")).alias("name"), F.col("p_size").alias("size"))).alias("json"))
+
+
+@registered("SELECT o_orderkey, CASE WHEN length(CAST(o_orderkey * 37 AS VARCHAR)) >= 6 THEN 'no' || (o_orderkey * 37) ELSE '' END AS number FROM orders")
+def number_queries(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", X.number_query(F.concat(F.lit("No. "), (F.col("o_orderkey") * 37).cast("string"), F.lit("號"))).alias("number"))
+
+
+@registered(f"SELECT item_id, CAST(len(list_distinct(list_filter(regexp_split_to_array({_norm('text')}, '[\\s,;]+'), lambda t: t <> ''))) AS INTEGER) AS n_tokens, CAST(length(regexp_replace(text, '\\s+', '', 'g')) AS INTEGER) AS n_compact FROM benchmark")
+def token_counts(spark, d):
+    b = table(spark, d, "benchmark")
+    return b.select("item_id", F.size(X.tokens(X.normalize(F.col("text")))).alias("n_tokens"), F.length(X.compact(F.col("text"))).alias("n_compact"))
+
+
+_MARKED_SQL = (
+    "WITH t(task, markers) AS (VALUES "
+    + ", ".join(f"('{t}', {_list(m)})" for t, m in TASKS)
+    + "), m AS (SELECT source AS owner, task, min(doc_id) AS page FROM documents, t WHERE len(list_filter(markers, lambda m: contains(text, m))) > 0 GROUP BY 1, 2) "
+)
+
+
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    return earliest_marker(spark, d).select("owner", "task", "page")
+
+
+@registered(_MARKED_SQL + "SELECT owner, task FROM (SELECT DISTINCT source AS owner FROM documents), (SELECT task FROM t) EXCEPT SELECT owner, task FROM m")
+def unmapped_tasks(spark, d):
+    tasks = readers.inline_table(spark, TASKS, "task string, markers array<string>").select("task")
+    every = table(spark, d, "documents").select(F.col("source").alias("owner")).distinct().join(F.broadcast(tasks))
+    return every.join(_marked(spark, d), ["owner", "task"], "left_anti")
+
+
+@registered(_MARKED_SQL + "SELECT page, CASE WHEN count(*) = 1 THEN min(task) END AS anchor FROM m GROUP BY page")
+def single_anchors(spark, d):
+    return E.single_anchor(_marked(spark, d).withColumn("anchor", F.col("task")))
+
+
+@registered("SELECT text AS text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_keys(spark, d):
+    return V.duplicates(table(spark, d, "documents"), "text")
+
+
+@registered("SELECT doc_id FROM documents WHERE lang = 'en' INTERSECT SELECT doc_id FROM labels WHERE quality = 1")
+def set_intersection(spark, d):
+    return table(spark, d, "documents").where("lang = 'en'").select("doc_id").intersect(table(spark, d, "labels").where("quality = 1").select("doc_id"))
+
+
+@registered("SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0)")
+def set_except(spark, d):
+    bought = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").where("c_custkey % 3 = 0").select("c_custkey").subtract(bought)
+
+
+@registered("SELECT doc_id, CAST(greatest(coalesce(length(text), 0), 0) AS INTEGER) AS size, doc_id - 2 AS printed FROM documents WHERE doc_id > 2")
+def printed_pages(spark, d):
+    return table(spark, d, "documents").where("doc_id > 2").select("doc_id", F.length("text").alias("size"), X.printed_page(F.col("doc_id")).alias("printed"))
+
+
+@registered()
+def table_fingerprint(spark, d):
+    return V.table_hash(table(spark, d, "documents"))
