@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,3 +62,15 @@ def with_running_totals(df: DataFrame, order: list[str], weights: dict[str, str]
     for k in weights:
         out = out.withColumn(k, F.col(f"_base_{k}") + F.col(f"_in_{k}"))
     return out.drop("_salt", "_part", *[f"_base_{k}" for k in weights], *[f"_in_{k}" for k in weights])
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """While it holds, Python workers get at most so many rows at a time. For jobs that run inside it, not lazy ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

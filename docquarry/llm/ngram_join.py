@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .components import connected_components
 from .tokens import _mix, _powers
 
@@ -342,6 +342,11 @@ def _tile_pairs(tiles: DataFrame, p: int, q: int) -> DataFrame:
 
 def link_documents(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_shingles and component_id (the least id reached by links) of every row."""
+    with small_batches(docs.sparkSession):
+        return _link_documents(docs, n, p, q, id_col, text_col)
+
+
+def _link_documents(docs: DataFrame, n: int, p: int, q: int, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     described = written(_describe(rows, n), "sets")
     known = described.where("id IS NOT NULL AND n_shingles > 0")
