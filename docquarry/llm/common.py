@@ -74,3 +74,32 @@ def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+class IdFilter:
+    """A Bloom filter of one hash over a written table of ids: bitmaps of 32,768 bits, at most 16 MB in all.
+
+    It lets every id of the table through and keeps most others off a shuffle; a join must follow. Beyond about ten
+    million ids it lets more and more through, which costs time but changes nothing.
+    """
+
+    BLOCK = 32_768
+
+    def __init__(self, ids: DataFrame):
+        self.bits = 1 << min(27, max(16, (16 * ids.count()).bit_length()))
+        spot = self._spot(ids.columns[0])
+        block, place = (F.floor(spot / self.BLOCK)).cast("int"), spot % self.BLOCK
+        self.maps = ids.select(block.alias("_block"), place.alias("_place")).groupBy("_block").agg(F.bitmap_construct_agg("_place").alias("_map"))
+
+    def _spot(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(self.bits))
+
+    def marked(self, df: DataFrame, column: str) -> DataFrame:
+        """``df`` with _maybe: whether the id may be in the table (false for null)."""
+        spot = self._spot(column)
+        place = spot % self.BLOCK
+        out = df.withColumns({"_block": F.when(F.col(column).isNotNull(), F.floor(spot / self.BLOCK).cast("int")), "_place": place})
+        out = out.join(F.broadcast(self.maps), "_block", "left")
+        byte = F.conv(F.hex(F.substring(F.col("_map"), F.floor(F.col("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        bit = byte.bitwiseAND(F.pow(F.lit(2.0), F.col("_place") % 8).cast("int")) != 0
+        return out.withColumn("_maybe", F.coalesce(bit, F.lit(False))).drop("_block", "_place", "_map")

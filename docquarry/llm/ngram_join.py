@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import IdFilter, small_batches, written
 from .components import connected_components
 from .tokens import _mix, _powers
 
@@ -248,7 +248,10 @@ def _signature_rows(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """Those of the pairs (a, b, both ids with their keys) whose sets of whole words are similar enough."""
     wanted = pairs.select(F.col("a").alias("id"), F.col("a_key").alias("key")).union(pairs.select("b", "b_key")).distinct()
-    texts = docs.join(wanted, "id").select("id", "key", "text")
+    wanted = written(wanted, "wanted")
+    # only texts that may be wanted are shuffled
+    some = IdFilter(wanted.select("id")).marked(docs, "id").where("_maybe").drop("_maybe")
+    texts = some.join(wanted, "id").select("id", "key", "text")
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("key").alias("a_key"), F.col("text").alias("a_text")), ["a", "a_key"])
     both = left.join(texts.select(F.col("id").alias("b"), F.col("key").alias("b_key"), F.col("text").alias("b_text")), ["b", "b_key"])
 
@@ -387,7 +390,11 @@ def _link_documents(docs: DataFrame, n: int, p: int, q: int, id_col: str, text_c
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the least of its component; of rows that repeat an id, one. Null ids stay."""
-    linked = link_documents(docs, n, p, q, id_col, text_col)
-    kept = linked.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    rows = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
-    return rows.union(docs.where(F.col(id_col).isNull()))
+    linked = written(link_documents(docs, n, p, q, id_col, text_col).where(F.col(id_col).isNotNull()).select(id_col, "component_id"), "linked")
+    ids = linked.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("n"), F.min("component_id").alias("least"))
+    # rows that go or repeat an id are the few that need a shuffle; all others pass as they are
+    special = written(ids.where("n > 1 OR least <> _id"), "special")
+    marked = IdFilter(special.select("_id")).marked(docs, id_col)
+    few = marked.where("_maybe").drop("_maybe")
+    kept = few.join(special.where("least <> _id"), F.col(id_col) == F.col("_id"), "left_anti").dropDuplicates([id_col])
+    return marked.where("NOT _maybe").drop("_maybe").unionByName(kept)
