@@ -148,7 +148,8 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, kind: str = "
         if held:
             yield image()
 
-    ordered = docs.select(id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
+    # ranges are found from ids alone: a sample of them goes to the driver
+    ordered = docs.select(id_col, text_col).repartitionByRange(order[0]).sortWithinPartitions(*order)
     return written(ordered.mapInArrow(run, f"part int, number int, n_ids long, doc_ids array<{id_type}>, image binary"), "tokens")
 
 
