@@ -11,7 +11,8 @@ in the end one that all such sets share. So no link is lost.
 Equal sets are one class from the start. Classes that share a signature are compared with the least of them; exact
 links come from the words of the whole texts. Where a signature's classes are then still in different components, they
 are compared among each other, in tiles of bounded size, first by size and by parity bits (whose number of differences
-never exceeds that of the sets), then by words.
+never exceeds that of the sets), then by words. Components need no more than that. ``link_pairs`` and ``count_links`` compare
+all classes that share a signature, also those already in one component, so they have every link.
 
 Defined results: words are lower-cased in A-Z only and separated by blank, tab, line ends, vertical tab and form feed;
 with fewer than n words the whole sequence is one shingle; null, empty or blank texts have none and are linked with
@@ -35,7 +36,7 @@ from .common import IdFilter, small_batches, written
 from .components import connected_components
 from .tokens import _mix, _powers
 
-CHUNK, TILE, SEEDS, PARITY = 300_000, 1024, 4, 512
+CHUNK, TILE, SEEDS, PARITY, HELD = 300_000, 1024, 4, 512, 100_000
 U = np.uint64
 SEPARATORS = (32, 9, 10, 11, 12, 13)
 _SPACE = np.zeros(256, bool)
@@ -246,7 +247,7 @@ def _signature_rows(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """Those of the pairs (a, b, both ids with their keys) whose sets of whole words are similar enough."""
+    """Those of the pairs (a, b, a_key, b_key) whose sets of whole words are similar enough."""
     wanted = pairs.select(F.col("a").alias("id"), F.col("a_key").alias("key")).union(pairs.select("b", "b_key")).distinct()
     wanted = written(wanted, "wanted")
     # only texts that may be wanted are shuffled
@@ -256,20 +257,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, p: int, q: int) -> Data
     both = left.join(texts.select(F.col("id").alias("b"), F.col("key").alias("b_key"), F.col("text").alias("b_text")), ["b", "b_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[tuple[int, int], frozenset] = {}
+        room = HELD
+
+        def held(key: tuple[int, int], text: str) -> frozenset:
+            nonlocal room
+            if key not in sets:
+                found = shingle_set(text, n)
+                if len(found) > room:
+                    sets.clear()
+                    room = HELD
+                room -= len(found)
+                sets[key] = found
+            return sets[key]
+
         for batch in batches:
-            a, b, a_key, b_key, a_text, b_text = (c.to_pylist() for c in batch.columns)
-            found: list[tuple[int, int]] = []
-            last, last_set = None, None
-            for i in range(len(a)):
-                if a_text[i] != last:
-                    last, last_set = a_text[i], shingle_set(a_text[i], n)
-                x, y = last_set, shingle_set(b_text[i], n)
+            a_text, b_text, *ids = (batch.column(i).to_pylist() for i in (4, 5, 0, 1, 2, 3))
+            keep = []
+            for text, other, a, b, a_key, b_key in zip(a_text, b_text, *ids):
+                x, y = held((a, a_key), text), held((b, b_key), other)
                 common = len(x & y)
-                if q * common >= p * (len(x) + len(y) - common):
-                    found.append((a[i], b[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
+                keep.append(q * common >= p * (len(x) + len(y) - common))
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1, 2, 3])
 
-    return both.select("a", "b", "a_key", "b_key", "a_text", "b_text").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "a_key", "b_key", "a_text", "b_text").mapInArrow(run, "a long, b long, a_key long, b_key long").distinct()
 
 
 def _close(a_n, b_n, differ, p: int, q: int):
@@ -291,7 +302,7 @@ def _maybe_similar(pairs: DataFrame, classes: DataFrame, p: int, q: int) -> Data
                 keep = _close(a_n, b_n, differ, p, q)
                 yield batch.filter(pa.array(keep)).select([0, 1, 2, 3])
 
-    columns = both.where("a <> b").select("a", "b", "a_key", "b_key", "a_n", "b_n", "a_parity", "b_parity")
+    columns = both.where("a_key <> b_key").select("a", "b", "a_key", "b_key", "a_n", "b_n", "a_parity", "b_parity")
     return columns.mapInArrow(run, "a long, b long, a_key long, b_key long")
 
 
@@ -308,7 +319,7 @@ def _tile_pairs(tiles: DataFrame, p: int, q: int) -> DataFrame:
         found = []
         for i in left:
             j = right[right > i] if t1[0] == t2[0] else right
-            j = j[(label[j] != label[i]) & (rep[j] != rep[i])]
+            j = j[(label[j] != label[i]) & (key[j] != key[i])]
             if len(j):
                 differ = np.bitwise_count(parity[j] ^ parity[i]).sum(1, dtype=np.int64)
                 j = j[_close(n[i], n[j], differ, p, q)]
@@ -316,7 +327,7 @@ def _tile_pairs(tiles: DataFrame, p: int, q: int) -> DataFrame:
         if not found:
             return None
         i, j = (np.concatenate(x) for x in zip(*found))
-        swap = rep[i] > rep[j]
+        swap = (rep[i] > rep[j]) | (rep[i] == rep[j]) & (key[i] > key[j])
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (rep[i], rep[j], key[i], key[j])], names=["a", "b", "a_key", "b_key"])
 
@@ -349,43 +360,102 @@ def link_documents(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_co
         return _link_documents(docs, n, p, q, id_col, text_col)
 
 
-def _link_documents(docs: DataFrame, n: int, p: int, q: int, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _sets_and_members(rows: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets of (id, text), the classes of equal sets, and the classes (sig, pivot, key) of every signature of two or more."""
     described = written(_describe(rows, n), "sets")
     known = described.where("id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy("key", "key2", "n_shingles").agg(F.min("id").alias("rep"), F.min("parity").alias("parity"))
+    classes = known.groupBy("key", "key2", "n_shingles").agg(F.min("id").alias("rep"), F.min("parity").alias("parity"), F.count("*").alias("rows"))
     classes = written(classes, "classes")
-
     dealt = _signature_rows(rows.where("id IS NOT NULL"), n, p, q).repartition("sig")
     ends = dealt.groupBy("sig").agg(F.min("key").alias("pivot"), F.max("key").alias("most")).where("pivot < most").select("sig", "pivot")
-    members = written(dealt.join(ends, "sig").select("sig", "pivot", "key").distinct(), "members")
+    return described, classes, written(dealt.join(ends, "sig").select("sig", "pivot", "key").distinct(), "members")
 
-    texts = rows.where("id IS NOT NULL")
+
+def _stars(members: DataFrame, classes: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs of a signature's least class and its others that may be similar."""
     stars = members.where("key <> pivot").select(F.col("pivot").alias("a_key"), F.col("key").alias("b_key")).distinct()
-    first = written(_verified(written(_maybe_similar(stars, classes, p, q), "stars"), texts, n, p, q), "first-links")
-    labels = connected_components(first)
+    return _maybe_similar(stars, classes, p, q)
 
-    # signatures whose classes the pivots have not brought together
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", "parity", F.coalesce("label", "rep").alias("label"))
+
+def _pairs_within(members: DataFrame, named: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs of one signature's classes (key, rep, n_shingles, parity, label) with different labels that may be similar.
+
+    Signatures of two classes are left to ``_stars``.
+    """
+    each = F.xxhash64("rep", "key")
     groups = members.join(named.select("key", "label", "rep"), "key").groupBy("sig").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 31))).alias("sum"), F.max("rep").alias("last")
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum(F.pmod(each, F.lit(1 << 31))).alias("sum"), F.bit_xor(each).alias("xor"), F.max("rep").alias("last")
     )
     # the same classes under many signatures are looked at once; two classes have been compared as pivot and member
-    apart = groups.where("low < high AND size > 2").groupBy("size", "sum", "low", "high", "last").agg(F.min("sig").alias("sig"))
+    apart = groups.where("low < high AND size > 2").groupBy("size", "sum", "xor", "low", "high", "last").agg(F.min("sig").alias("sig"))
     inside = members.join(apart.select("sig", "size"), "sig").join(named, "key")
     place = (F.row_number().over(Window.partitionBy("sig").orderBy("rep", "key")) - 1) / TILE
     tiled = inside.withColumn("t", F.floor(place).cast("int")).withColumn("o", F.explode(F.expr(f"sequence(0, CAST((size - 1) DIV {TILE} AS INT))")))
     tiled = tiled.select("sig", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), "t", "rep", "key", "label", "n_shingles", "parity")
     tiled = tiled.repartition("sig", "t1", "t2").sortWithinPartitions("sig", "t1", "t2")
-    second = _verified(written(_tile_pairs(tiled, p, q).distinct(), "tile-pairs"), texts, n, p, q)
+    return _tile_pairs(tiled, p, q).distinct()
+
+
+def _link_documents(docs: DataFrame, n: int, p: int, q: int, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    described, classes, members = _sets_and_members(rows, n, p, q)
+    texts = rows.where("id IS NOT NULL")
+    first = written(_verified(written(_stars(members, classes, p, q), "stars"), texts, n, p, q), "first-links")
+    labels = connected_components(first)
+
+    # signatures whose classes the pivots have not brought together
+    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", "parity", F.coalesce("label", "rep").alias("label"))
+    second = _verified(written(_pairs_within(members, named, p, q), "tile-pairs"), texts, n, p, q)
     second = written(second, "second-links")
     if second.limit(1).count():
         labels = connected_components(first.union(second))
+    return _with_components(described, classes, labels, id_col)
+
 
-    class_label = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "key2", "n_shingles", F.coalesce("label", "rep").alias("label"))
+def _with_components(described: DataFrame, classes: DataFrame, labels: DataFrame, id_col: str, *more: str) -> DataFrame:
+    class_label = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "key2", "n_shingles", F.coalesce("label", "rep").alias("label"), *more)
     out = described.join(class_label, ["key", "key2", "n_shingles"], "left")
     linked = F.when(F.col("n_shingles") > 0, F.col("label"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce(linked, F.col("id"))).alias("component_id"))
+    known = [F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col(c)).alias(c) for c in more]
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce(linked, F.col("id"))).alias("component_id"), *known)
+
+
+def _all_links(rows: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets, their classes, and every link (a, b, a_key, b_key) of two classes, once."""
+    described, classes, members = _sets_and_members(rows, n, p, q)
+    # each class has a label of its own, so none is spared the comparison
+    named = classes.select("key", "rep", "n_shingles", "parity", F.col("key").alias("label"))
+    turned = F.expr("a > b OR a = b AND a_key > b_key")
+    side = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
+    stars = _stars(members, classes, p, q).select(side("a", "b"), side("b", "a"), side("a_key", "b_key"), side("b_key", "a_key"))
+    maybe = written(stars.union(_pairs_within(members, named, p, q)).distinct(), "maybe-links")
+    return described, classes, written(_verified(maybe, rows.where("id IS NOT NULL"), n, p, q), "links")
+
+
+def link_pairs(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Every link: the linked pairs of classes (a, a_key, b, b_key), each once, and the members of the classes.
+
+    Members are all rows: ``id_col``, n_shingles, class_id, class_key, class_rows. A class holds the rows of one set and is
+    told by its least id and its key (an id that is repeated with other texts may be the least of more than one). Rows
+    without a class (null id, no words) have nulls there. Rows of one class are linked among themselves.
+    """
+    with small_batches(docs.sparkSession):
+        described, classes, links = _all_links(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n, p, q)
+    of = classes.select("key", "key2", "n_shingles", F.col("rep").alias("class_id"), F.col("key").alias("class_key"), F.col("rows").alias("class_rows"))
+    known = F.col("id").isNotNull() & (F.col("n_shingles") > 0)
+    shown = [F.when(known, F.col(c)).alias(c) for c in ("class_id", "class_key", "class_rows")]
+    return links.select("a", "a_key", "b", "b_key"), described.join(of, ["key", "key2", "n_shingles"], "left").select(F.col("id").alias(id_col), "n_shingles", *shown)
+
+
+def count_links(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``link_documents`` and n_links: how many other rows each row is linked with itself, not over others."""
+    with small_batches(docs.sparkSession):
+        described, classes, links = _all_links(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n, p, q)
+        labels = connected_components(links)
+        ends = links.select(F.col("a_key").alias("key"), F.col("b_key").alias("other")).union(links.select("b_key", "a_key"))
+        beside = ends.join(classes.select(F.col("key").alias("other"), "rows"), "other").groupBy("key").agg(F.sum("rows").alias("beside"))
+        counted = classes.join(beside, "key", "left").withColumn("n_links", F.col("rows") - 1 + F.coalesce("beside", F.lit(0)))
+        return _with_components(described, written(counted, "counted"), labels, id_col, "n_links").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -250,6 +250,37 @@ def test_tiles_cover_large_groups(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(docs, 2, 70, 100)
 
 
+def plain_links(docs, n, p):
+    sets = [(i, ngram_join.shingle_set(t or "", n)) for i, t in docs]
+    near = lambda x, y: bool(x) and bool(y) and 100 * len(x & y) >= p * len(x | y)
+    return [(i, sum(near(x, y) for k, (_, y) in enumerate(sets) if k != j)) for j, (i, x) in enumerate(sets)], sum(near(x, y) for j, (_, x) in enumerate(sets) for _, y in sets[:j])
+
+
+@pytest.mark.parametrize("n, p, tile", [(3, 90, 1024), (2, 70, 3)])
+def test_every_link_is_counted_and_returned(spark, monkeypatch, n, p, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    # three mutually near texts, copies of one of them, and an id that is repeated with other, near texts
+    triple = [(900 + i, " ".join(f"w{k}" for k in range(100)) + f" end{i}") for i in (0, 1, 2, 2)] + [(900, " ".join(f"w{k}" for k in range(100)) + " end9")]
+    docs = families(n) + triple
+    each, total = plain_links(docs, n, p)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = ngram_join.count_links(df, n, p, 100)
+    assert sorted((r.doc_id, r.n_links) for r in got.collect()) == sorted(each)
+    parts = lambda d: sorted((r.doc_id, r.n_shingles, r.component_id) for r in d.collect())
+    assert parts(got) == parts(ngram_join.link_documents(df, n, p, 100))
+    pairs, members = ngram_join.link_pairs(df, n, p, 100)
+    rows = {(r.class_id, r.class_key): r.class_rows for r in members.collect() if r.class_key is not None}
+    found = [((r.a, r.a_key), (r.b, r.b_key)) for r in pairs.collect()]
+    assert len(found) == len({frozenset(x) for x in found})
+    assert sum(rows[a] * rows[b] for a, b in found) + sum(r * (r - 1) // 2 for r in rows.values()) == total and members.count() == len(docs)
+
+
+def test_count_links_edges(spark):
+    got = ngram_join.count_links(table(spark), 3, 90, 100)
+    assert got.count() == len(TEXTS) + 2 and ngram_join.count_links(table(spark).limit(0)).count() == 0
+    assert sorted((r.doc_id, r.n_links) for r in got.collect() if r.doc_id in (4, 5)) == [(4, 2), (4, 2), (5, 2)] and {r.n_links for r in got.collect() if r.doc_id in (None, 0, 1, 2)} == {0}
+
+
 # --- personal data ---------------------------------------------------------------------------------------------------
 
 FOUND = [
