@@ -10,14 +10,18 @@ kind       valid if                                what moves
 =========  ======================================  =============================================================
 card       issuer prefix, length, Luhn             digits between the issuer digit and the check digit; the check
                                                    digit is set anew
-iban       letters, length, modulo 97              all after the country, class by class; check digits anew
+iban       letters, length, modulo 97; in one, or  all after the country, class by class; check digits anew
+           in groups of four if the country's
+           length is known
 phone      +1 form; area code and exchange from 2  area code, exchange and line number
-           without it; +country, 8 to 15 digits    (other countries: the digits after the first two)
+           without it or after 1; +country, 8 to   (other countries: the digits after the first two)
+           15 digits in groups of any size
 ssn        area, group and serial in use           all three, among valid ones
-date       YYYY-MM-DD, DD/MM/YYYY in the calendar  the day, within its 400 years (146,097 days)
+date       YYYY-MM-DD, DD/MM/YYYY in the calendar  the day, within its 400 years (146,097 days); in
+           or, if not, MM/DD/YYYY                  MM/DD/YYYY among the days from 13
 ip         four numbers to 255                     all 32 bits
 email      local part, host with a top level       local part and host names, class by class; top level stays
-secret     value of token/secret/password/api key  letters and digits, class by class
+secret     value of token/secret/password/api key  letters and digits, class by class, to its end
 =========  ======================================  =============================================================
 
 Defined results: null text stays null with no finding; empty text stays empty; a finding that isn't valid stays;
@@ -32,12 +36,19 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 
 EMAIL = r"[A-Za-zÀ-ÖØ-öø-ÿ0-9._%+\-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z])(?:[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Aa][Pp][Ii][_-]?[Kk][Ee][Yy])\s{0,4}[=:]\s{0,4}[\"']?[A-Za-z0-9+/_\-]{16,128}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z])(?:[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Aa][Pp][Ii][_-]?[Kk][Ee][Yy])\s{0,4}[=:]\s{0,4}[\"']?[A-Za-z0-9+/_\-]{16,}"
+#: Lengths of the countries' IBANs, so that a printed one ends where its country's do, whatever follows.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+# whole groups of digits after whole groups come along, since a card may begin before them
+_PRINTED = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "(?: [0-9]{4}(?![A-Za-z0-9])){0,4}") for n, c in IBAN_LENGTHS.items())
+IBAN = rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|(?=[A-Z]{{2}}[0-9]{{2}} )(?:{_PRINTED}))(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9/\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/\-])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
-PHONE = r"\+1[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])|\+[2-9][0-9]{0,2}(?:[ .\-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])|(?<![0-9+(\-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[\-. ])[2-9][0-9]{2}[\-. ][0-9]{4}(?![0-9\-])"
+PHONE = r"\+1[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])|\+[2-9](?:[ .\-]?\(?[0-9]\)?){7,14}(?![0-9])|(?<![0-9+(\-])(?:1[\-. ])?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[\-. ])[2-9][0-9]{2}[\-. ][0-9]{4}(?![0-9\-])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])"
 #: The order counts: what is found first takes its characters.
 KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "ip": IP, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
@@ -83,19 +94,21 @@ def feistel_text(key: str, kind: str, text: Column) -> Column:
     """Letters move among letters of their case and digits among digits; all else stays. Halves are moved in turn."""
 
     def shift(half: Column, other: Column, i: Column) -> Column:
-        # 128 hex digits, two for each character, so long halves get more blocks
-        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(half) / 64).cast("int")), lambda k: F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), k.cast("string"), other), 512))
+        # 128 hex digits, two for each character, so long halves get more blocks, each for its 64 characters
+        def block(k: Column) -> Column:
+            stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), k.cast("string"), other), 512)
+            return _let(F.struct(stream.alias("stream"), F.substring(half, k * 64 + 1, F.lit(64)).alias("part")), lambda x: moved(x["stream"], x["part"]))
 
-        def moved(stream: Column) -> Column:
+        def moved(stream: Column, part: Column) -> Column:
             def char(j: Column) -> Column:
-                c = F.substring(half, j, F.lit(1))
+                c = F.substring(part, j, F.lit(1))
                 by = F.conv(F.substring(stream, j * 2 - 1, F.lit(2)), 16, 10).cast("int")
                 at = lambda alphabet: F.substring(F.lit(alphabet), (F.instr(F.lit(alphabet), c) - 1 + by) % len(alphabet) + 1, F.lit(1))
                 return F.when(c.between("a", "z"), at(LOWER)).when(c.between("A", "Z"), at(UPPER)).when(c.between("0", "9"), at(DIGITS)).otherwise(c)
 
-            return F.when(F.length(half) == 0, half).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(half), F.lit(1))), char), ""))
+            return F.when(F.length(part) == 0, part).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), char), ""))
 
-        return _let(F.array_join(blocks, ""), moved)
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(half) / 64).cast("int")), block), "")
 
     cut = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substring(text, F.lit(1), cut).alias("a"), F.substring(text, cut + 1, F.length(text)).alias("b"))
@@ -166,21 +179,42 @@ def _card(key: str, m: Column) -> Column:
 
 
 def _iban(key: str, m: Column) -> Column:
-    turned = F.concat(F.substring(m, F.lit(5), F.length(m)), F.substring(m, 1, 4))
-    country = F.substring(m, 1, 2)
+    printed = F.contains(m, F.lit(" "))
+    lengths = F.create_map(*[F.lit(x) for n, names in IBAN_LENGTHS.items() for c in names.split() for x in (c, n + (n - 1) // 4)])
+    size = F.when(printed, lengths[F.substring(m, 1, 2)]).otherwise(F.length(m))
+
+    def use(d: Column) -> Column:
+        country = F.substring(d, 1, 2)
+
+        def fill(rest: Column) -> Column:
+            check = F.lit(98) - _mod97(F.concat(rest, country, F.lit("00")))
+            whole = F.concat(country, F.lpad(check.cast("string"), 2, "0"), rest)
+            after = _card_within(key, F.substring(m, size + 1, F.length(m)))
+            return F.when(printed, F.concat(F.regexp_replace(whole, "(.{4})(?=.)", "$1 "), after)).otherwise(whole)
+
+        valid = _mod97(F.concat(F.substring(d, F.lit(5), F.length(d)), F.substring(d, 1, 4))) == 1
+        # groups that only look like a printed IBAN may still hold a card
+        other = F.when(printed, _card_within(key, m)).otherwise(m)
+        return F.when(valid, _let(feistel_text(key, "iban", F.substring(d, F.lit(5), F.length(d))), fill)).otherwise(other)
+
+    return _let(F.regexp_replace(F.substring(m, F.lit(1), size), " ", ""), use)
 
-    def fill(rest: Column) -> Column:
-        check = F.lit(98) - _mod97(F.concat(rest, country, F.lit("00")))
-        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), rest)
 
-    return F.when(_mod97(turned) == 1, _let(feistel_text(key, "iban", F.substring(m, F.lit(5), F.length(m))), fill)).otherwise(m)
+def _card_within(key: str, m: Column) -> Column:
+    """``m`` with its first card number replaced."""
+
+    def use(card: Column) -> Column:
+        at = F.instr(m, card)
+        return F.when(card == "", m).otherwise(F.concat(F.substring(m, F.lit(1), at - 1), _card(key, card), F.substring(m, at + F.length(card), F.length(m))))
+
+    return _let(F.regexp_extract(m, CARD, 0), use)
 
 
 def _phone(key: str, m: Column) -> Column:
     def use(d: Column) -> Column:
         plus = m.startswith("+")
-        national = F.when(plus & d.startswith("1") & (F.length(d) == 11), F.substring(d, 2, 10)).when(~plus & (F.length(d) == 10), d)
-        prefix = F.when(plus, F.lit("1")).otherwise(F.lit(""))
+        national = F.when(plus & d.startswith("1") & (F.length(d) == 11), F.substring(d, 2, 10)).when(~plus & (F.length(d) == 10), d).when(~plus & d.startswith("1") & (F.length(d) == 11), F.substring(d, 2, 10))
+        prefix = F.when(plus | (F.length(d) == 11), F.lit("1")).otherwise(F.lit(""))
 
         def american(x: Column) -> Column:
             # first digits of area code and exchange stay among 0 and 1 or among 2 to 9, so assigned numbers stay such
@@ -221,16 +255,25 @@ def _ssn(key: str, m: Column) -> Column:
 def _date(key: str, m: Column) -> Column:
     iso = m.substr(5, 1) == "-"
     day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(m, "dd/MM/yyyy"))
+    first = F.lit("1800-01-01").cast("date")
 
-    def use(d: Column) -> Column:
+    def use(d: Column, month_first: bool) -> Column:
         # 400 Gregorian years have 146,097 = 189 * 773 days; the span that holds 1970 begins on 1800-01-01
-        n = F.datediff(d, F.lit("1800-01-01").cast("date")).cast("long")
+        n = F.datediff(d, first).cast("long")
         span = F.floor(n / 146097)
-        moved = feistel_number(key, "date", n - span * 146097, 189, 773) + span * 146097
-        new = F.date_add(F.lit("1800-01-01").cast("date"), moved.cast("int"))
-        return F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.date_format(new, "dd/MM/yyyy"))
+        at = lambda x: F.date_add(first, (x + span * 146097).cast("int"))
+        move = lambda x: feistel_number(key, "date", x, 189, 773)
+        if not month_first:
+            return _let(move(n - span * 146097), lambda x: F.when(iso, F.date_format(at(x), "yyyy-MM-dd")).otherwise(F.date_format(at(x), "dd/MM/yyyy")))
+        # days from 13 stay among themselves, so no pseudonym reads as one of the day-first form: on while the day is lower
+        late = F.aggregate(F.sequence(F.lit(1), F.lit(64)), move(n - span * 146097), lambda x, _: F.when(F.dayofmonth(at(x)) <= 12, move(x)).otherwise(x))
+        return _let(late, lambda x: F.date_format(at(x), "MM/dd/yyyy"))
+
+    def known(d: Column) -> Column:
+        return d.between("1000-01-01", "9799-12-31")
 
-    return F.when(day.between("1000-01-01", "9799-12-31"), _let(day, use)).otherwise(m)
+    american = F.when(~iso & day.isNull(), F.try_to_date(m, "MM/dd/yyyy"))
+    return F.when(known(day), _let(day, lambda d: use(d, False))).when(known(american), _let(american, lambda d: use(d, True))).otherwise(m)
 
 
 def _ip(key: str, m: Column) -> Column:
@@ -251,7 +294,7 @@ def _email(key: str, m: Column) -> Column:
 
 
 def _secret(key: str, m: Column) -> Column:
-    value = F.regexp_extract(m, "([A-Za-z0-9+/_-]{16,128})$", 1)
+    value = F.regexp_extract(m, "([A-Za-z0-9+/_-]{16,})$", 1)
     return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), feistel_text(key, "secret", value))
 
 

@@ -312,6 +312,35 @@ def test_pseudonyms(spark):
     assert pii.pseudonymize(df.limit(0), "k").count() == 0
 
 
+LONG = "aB3" * 100
+MORE = [
+    ("+33 1 23 45 67 89", 1), ("tel +33 6 12 34 56 78.", 1), ("+61 2 9374 4000", 1), ("+44 (0)20 7946 0958", 1), ("1-800-555-0199", 1), ("1 (800) 555-0199", 1), ("+33 1 23", 0),
+    ("GB82 WEST 1234 5698 7654 32", 1), ("BE68 5390 0754 7034 PAID", 1), ("GB82 WEST 1234 5698 7654 33", 0), ("BE68 4785 3805 9239 1139", 1), ("BE68 5390 0754 7034 2024", 1), ("DE89 3704 0044 0532 0130 00 and FR14 2004 1010 0505 0001 3M02 606", 2),
+    ("12/25/2024", 1), ("25/12/2024", 1), ("13/13/2024", 0), ("02/30/2024", 0), (f"token={LONG}", 1), (f"api_key: '{LONG}xyz' end", 1), ("+44 20 7946 0958 2024-05-06", 2),
+]
+
+
+def test_pseudonyms_of_further_forms(spark):
+    df = spark.createDataFrame(list(enumerate(t for t, _ in MORE)), "doc_id long, text string")
+    got = [(r.text, r.n) for r in pii.pseudonymize(df, "k", count_col="n").orderBy("doc_id").collect()]
+    shape = lambda t: "".join("9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in t)
+    for (text, n), (new, found) in zip(MORE, got):
+        assert (found, new == text, shape(new)) == (n, n == 0, shape(text)), (text, new)
+    at = {t: new for (t, _), (new, _) in zip(MORE, got)}
+    iban = at["GB82 WEST 1234 5698 7654 32"].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    whole = pii.pseudonymize(spark.createDataFrame([(0, "GB82WEST12345698765432")], "doc_id long, text string"), "k").collect()[0].text
+    assert whole == iban and at["BE68 5390 0754 7034 PAID"].endswith(" PAID") and luhn(at["BE68 4785 3805 9239 1139"][5:].replace(" ", ""))
+    tail = at[f"token={LONG}"][6:]
+    assert sum(a == b for a, b in zip(tail[128:], LONG[128:])) < 60
+
+
+def test_month_first_dates_stay_different(spark):
+    rows = [(y * 400 + m * 32 + d, f"{m:02}/{d:02}/{2000 + y}") for y in range(4) for m in range(1, 13) for d in range(13, 29)]
+    new = [r.text for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
+    assert len(set(new)) == len(rows) and all(int(t[:2]) <= 12 < int(t[3:5]) for t in new)
+
+
 def test_feistel_is_a_permutation(spark):
     moved = [r[0] for r in spark.range(189 * 8).select(pii.feistel_number("k", "x", F.col("id"), 189, 8)).collect()]
     assert sorted(moved) == list(range(189 * 8)) and moved != sorted(moved)
