@@ -10,7 +10,8 @@ Capital A-Z count as small letters. The commonest bytes of the sample have a sym
 further cost of telling them apart evenly, so code lengths stay exact for all bytes.
 
 Learning uses a bounded sample: about ``sample_bytes`` of whole texts in all, shared evenly by the languages and chosen
-by a hash of the id (texts larger than a language's share are not learnt from). The table has at most ``TABLE_CELLS`` cells, whatever the number of languages.
+in the order of a hash of the id. Texts larger than a language's share are not learnt from, unless it has no others: then
+the beginning of its shortest is. So every language with a text is learnt. More than ``MOST_LANGUAGES`` are an error. The table has at most ``TABLE_CELLS`` cells, whatever the number of languages.
 
 Defined results: null text or text without a letter gives ``und`` and score 0; with no language learnt too; ties go to
 the language first in order; repeated rows get equal results; an empty table gives no rows; other columns are ignored.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 TABLE_CELLS = 12_000_000
 ORDER = 3
+# Languages that the table of costs can hold apart, and bytes that a language has at least if its texts do.
+MOST_LANGUAGES, LEAST_SAMPLE = 1000, 16_384
 CHUNK = 1 << 19
 
 
@@ -136,16 +139,34 @@ def has_letter(text: str) -> bool:
 def learn_from(docs: DataFrame, sample_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> PartialMatching:
     """Learn from documents with a language that are not held out: at most about ``sample_bytes`` of whole texts."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(~held_out(id_col), F.lit(False)))
-    sizes = known.groupBy(lang_col).agg(F.sum(F.octet_length(text_col)).alias("bytes")).orderBy(F.desc("bytes")).limit(1000).collect()
-    if not sizes:
+    known = known.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.octet_length(text_col).alias("size"), F.xxhash64(F.col(id_col)).alias("hash"))
+    languages = sorted(r["l"] for r in known.select("l").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if not languages:
         return PartialMatching([], np.zeros(256, np.uint8), np.zeros((1, 1), np.float32), 0.0)
-    share = sample_bytes / len(sizes)
-    at_most = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(1.0, share / max(1, r["bytes"])))])
-    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    chosen = known.where((place < at_most[F.col(lang_col)]) & (F.octet_length(text_col) <= share))
-    texts: dict[str, list[bytes]] = {}
-    for r in chosen.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).collect():
-        texts.setdefault(r["l"], []).append(r["t"].encode())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the table of costs would tell them apart by too few bytes")
+    share = max(1, sample_bytes // len(languages))
+    eligible = known.where(F.col("size") <= share)
+    sizes = {r["l"]: r["bytes"] for r in eligible.groupBy("l").agg(F.sum("size").alias("bytes")).collect()}
+    texts: dict[str, list[bytes]] = {k: [] for k in languages}
+    if sizes:
+        # about twice the share, of which the first in hash order are taken
+        at_most = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2 * share / max(1, n)))])
+        place = F.pmod(F.col("hash"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        room = dict.fromkeys(languages, share)
+        for r in sorted(eligible.where(place < at_most[F.col("l")]).select("l", "t", place.alias("place")).collect(), key=lambda r: (r["place"], r["t"])):
+            text = r["t"].encode()
+            if len(text) <= room[r["l"]]:
+                room[r["l"]] -= len(text)
+                texts[r["l"]].append(text)
+    missing = [k for k, v in texts.items() if not any(v)]
+    if missing:
+        # what chance or the length of all its texts left out: one text, the first in hash order that fits or else the shortest
+        order = F.struct(F.col("size") == 0, F.col("size") > share, F.when(F.col("size") > share, F.col("size")), F.col("hash"))
+        cut = max(share, LEAST_SAMPLE)
+        first = known.where(F.col("l").isin(missing)).withColumn("t", F.substring("t", 1, cut)).groupBy("l").agg(F.min_by("t", order).alias("t"))
+        for r in first.collect():
+            texts[r["l"]] = [r["t"].encode()[:cut]]
     return PartialMatching.learn({k: sorted(v) for k, v in texts.items()})
 
 

@@ -413,6 +413,26 @@ def test_language(spark, documents):
     assert kept.columns == documents.columns and kept.count() >= 0.95 * documents.count()
 
 
+def test_every_language_is_learnt(spark):
+    say = {"aa": "the cat and the dog sat on the mat ", "bb": "der hund und die katze sind im haus ", "cc": "le chat et le chien sont dans la maison "}
+    rows = [(i, say["aa"] * 3, "aa") for i in range(20)] + [(100, say["aa"] * 20_000, "aa")]  # one long text beside short ones
+    rows += [(200 + i, say["bb"] * 2_000, "bb") for i in range(4)]  # long texts alone
+    rows += [(300 + i, say["cc"] * 3, "cc") for i in range(20)] + [(400 + i, say["cc"] * 40, "cc") for i in range(20)]
+    docs = spark.createDataFrame([r for i in range(8) for r in [(k + 1000 * i, t, g) for k, t, g in rows]], "doc_id long, text string, lang string")
+    for sample in (9_000, 12_000, 30_000):
+        model = language.learn_from(docs, sample)
+        assert model.languages == ["aa", "bb", "cc"]
+        got = language.identify(docs, model).join(docs, "doc_id").select("lang", "lang_pred").distinct().collect()
+        assert all(r.lang == r.lang_pred for r in got)
+
+
+def test_too_many_languages_fail(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, f"text {i}", "abc"[i % 3]) for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language.learn_from(docs)
+
+
 def test_quality(spark, small):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     # learn on one half of the labels, judge on the other
