@@ -46,6 +46,20 @@ def test_intents_need_evidence(spark):
     assert {r.ord: r.intent_boost for r in rows} == {0: 40, 1: 0}
 
 
+def test_compatibility_forms_are_found(spark):
+    wide = [(0, "Ａ類", "ＡＢＣ１２３ ﬁle", "㈱ ①②", "s", None, "農授金字第０９９１２３４５６７號", 1), (1, "b", "abc123 file", "(株) 12", "s", None, None, 2), (2, "b", None, "", "s", None, None, 3)]
+    df = spark.createDataFrame(wide, table(spark).schema)
+    run = lambda q, **k: {r.ord: r for r in S.search(df, q, proximity=False, spread=False, **k).collect()}
+    for q in ("abc123", "ＡＢＣ１２３", "file", "ﬁle", "(株)", "㈱", "12"):
+        assert set(run(q)) == {0, 1}, q
+    assert run("0991234567")[0].match_kind == run("０９９１２３４５６７")[0].match_kind == "exact-document"
+    assert run("ａｂｃ１２３ ﬁle")[1].score == run("abc123 file")[1].score >= S.WEIGHTS["exact_title"]
+    intents = spark.createDataFrame([(["ＡＢＣ１２３", None], ["b"], 40)], "triggers array<string>, preferred_types array<string>, boost int")
+    assert {o: r.intent_boost for o, r in run("abc123", intents=intents).items()} == {0: 0, 1: 40}
+    terms = spark.createDataFrame([(0, None, ["ｘｙｚ"], ["ﬁle"])], "concept_ord int, terms array<string>, trigger_terms array<string>, related_terms array<string>")
+    assert {o: r.match_kind for o, r in run("xyz", concepts=terms).items()} == {0: "related", 1: "related"}
+
+
 def test_diversity(spark):
     rows = [(i, "p", f"t{i}", "word", "s" if i < 5 else f"s{i}", None, None, i) for i in range(8)]
     df = spark.createDataFrame(rows, "ord int, type string, title string, text string, scope string, scope_group string, document_number string, pdf_page int")
