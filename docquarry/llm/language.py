@@ -1,20 +1,24 @@
 """Language identification by prediction by partial matching.
 
-For each language a byte context tree of order 3 is learnt: counts of the byte that follows each context of 3, 2, 1 and
-0 bytes. A byte unseen in a context costs the context's escape (method C: as many escapes as different followers) and
-is looked for one byte shorter; at the bottom all bytes are equally likely. The statistics are frozen after learning,
-so the cost of each (3-byte context, byte) is a constant; all costs are laid out in one table and a text's code length
-is a sum of lookups. The language of the shortest code wins.
-
-Capital A-Z count as small letters. The commonest bytes of the sample have a symbol each; the rest share one, at the
-further cost of telling them apart evenly, so code lengths stay exact for all bytes.
-
-Learning uses a bounded sample: about ``sample_bytes`` of whole texts in all, shared evenly by the languages and chosen
-in the order of a hash of the id. Texts larger than a language's share are not learnt from, unless it has no others: then
-the beginning of its shortest is. So every language with a text is learnt. More than ``MOST_LANGUAGES`` are an error. The table has at most ``TABLE_CELLS`` cells, whatever the number of languages.
+For each language a byte context tree is learnt: counts of the byte that follows each context of 4, 3, 2, 1 and 0
+bytes. A byte is coded in the longest context that was seen. If it wasn't seen there, that costs the context's escape
+(method C: as many escapes as different followers), the followers are excluded, and it is looked for one byte shorter;
+at the bottom all bytes that are left are equally likely. All 256 bytes have their own contexts, whatever the number of
+languages; only what occurs is stored (sorted windows of up to five bytes, exact in 64 bits). The statistics are frozen
+after learning. The language of the shortest code wins. Capital A-Z count as small letters.
+
+Followers of a context also follow its shorter contexts, so what is excluded after an escape is a sum that can be stored
+with the escaped context: code lengths with full exclusion come from one lookup for each order. A worker keeps the code
+lengths of windows that it has met in a table of bounded size (``CACHE_BYTES``); that table only saves time.
+
+Learning uses a bounded sample: about ``sample_bytes`` of whole texts in all, shared evenly by the languages (but
+``LEAST_SAMPLE`` for each, so with very many languages that much for each), chosen in the order of a hash of the id.
+Texts larger than a language's share are not learnt from, unless it has no others: then the beginning of its shortest is.
+So every language with a text is learnt, and none is left out.
 
 Defined results: null text or text without a letter gives ``und`` and score 0; with no language learnt too; ties go to
-the language first in order; repeated rows get equal results; an empty table gives no rows; other columns are ignored.
+the language first in order; repeated rows get equal results; an empty table gives no rows; ``identify`` ignores other
+columns and ``keep_identified`` hands them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TABLE_CELLS = 12_000_000
-ORDER = 3
-# Languages that the table of costs can hold apart, and bytes that a language has at least if its texts do.
-MOST_LANGUAGES, LEAST_SAMPLE = 1000, 16_384
-CHUNK = 1 << 19
+ORDER = 4
+LEAST_SAMPLE, CACHE_BYTES, CHUNK = 16_384, 24_000_000, 1 << 19
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+U = np.uint64
 
 
 def held_out(id_col: str = "doc_id"):
@@ -38,99 +42,131 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
+def _windows(x: np.ndarray, size: int) -> np.ndarray:
+    """The numbers that each run of ``size`` bytes spells, most significant byte first."""
+    n = max(0, len(x) - size + 1)
+    code = np.zeros(n, np.uint64)
+    for i in range(size):
+        code = code << U(8) | x[i : i + n].astype(np.uint64)
+    return code
+
+
+def _mask(size: int) -> np.uint64:
+    return U((1 << 8 * size) - 1)
+
+
+class _Tree:
+    """One language's contexts. For each order: seen windows with counts, and contexts with their number of occurrences,
+    of different followers, and of occurrences of those followers in the next shorter context."""
+
+    def __init__(self, x: np.ndarray):
+        self.windows, self.counts, self.contexts, self.total, self.kinds, self.below = [], [], [], [], [], []
+        for order in range(ORDER + 1):
+            window, count = np.unique(_windows(x, order + 1), return_counts=True)
+            context, first = np.unique(window >> U(8), return_index=True)
+            ends = np.r_[first, len(window)]
+            sums = np.r_[0, np.cumsum(count)]
+            shorter = np.zeros(len(window), np.int64)
+            if order:
+                shorter = self.counts[order - 1][np.searchsorted(self.windows[order - 1], window & _mask(order))].astype(np.int64)
+            under = np.r_[0, np.cumsum(shorter)]
+            self.windows.append(window)
+            self.counts.append(count.astype(np.uint32))
+            self.contexts.append(context)
+            self.total.append((sums[ends[1:]] - sums[ends[:-1]]).astype(np.uint32))
+            self.kinds.append(np.diff(ends).astype(np.uint16))
+            self.below.append((under[ends[1:]] - under[ends[:-1]]).astype(np.uint32))
+
+    def bits(self, window: np.ndarray) -> np.ndarray:
+        """Code lengths of the last byte of each window of ORDER + 1 bytes."""
+        out = np.zeros(len(window))
+        open_ = np.arange(len(window))
+        gone, gone_kinds = np.zeros(len(window)), np.zeros(len(window))  # excluded occurrences and bytes, of the open ones
+        for order in range(ORDER, -1, -1):
+            if not len(self.windows[order]) or not len(open_):
+                continue
+            w = window[open_] & _mask(order + 1)
+            context = w >> U(8)
+            at = np.minimum(np.searchsorted(self.contexts[order], context), len(self.contexts[order]) - 1)
+            seen = self.contexts[order][at] == context
+            total, kinds = self.total[order][at] - gone, self.kinds[order][at] - gone_kinds
+            escapes = np.where(self.kinds[order][at] < 256, kinds, 0)
+            spot = np.minimum(np.searchsorted(self.windows[order], w), len(self.windows[order]) - 1)
+            here = self.windows[order][spot] == w
+            with np.errstate(divide="ignore", invalid="ignore"):
+                coded = np.log2((total + escapes) / self.counts[order][spot])
+                escaped = np.where(seen & (kinds > 0), np.log2((total + escapes) / escapes), 0)
+            out[open_] += np.where(here, coded, escaped)
+            left = ~here
+            gone, gone_kinds = (np.where(seen, v[order][at], 0).astype(float)[left] for v in (self.below, self.kinds))
+            open_ = open_[left]
+        out[open_] += np.log2(np.maximum(256 - gone_kinds, 1))
+        return out
+
+
 class PartialMatching:
-    """Frozen code lengths (bits) of each language: ``costs[code of 4 symbols, language]``."""
+    """Frozen trees of all languages, by name."""
 
-    def __init__(self, languages: list[str], symbol_of: np.ndarray, costs: np.ndarray, rare_bits: float):
-        self.languages, self.symbol_of, self.costs, self.rare_bits = languages, symbol_of, costs, rare_bits
+    def __init__(self, trees: dict[str, _Tree]):
+        self.languages = sorted(trees)
+        self.trees = [trees[k] for k in self.languages]
+        self._keys = self._table = None
 
     @classmethod
     def learn(cls, texts: dict[str, list[bytes]]) -> PartialMatching:
-        languages = sorted(texts)
-        n = max(1, len(languages))
-        symbols = int(min(64, (TABLE_CELLS / n) ** 0.25))
-        fold = np.arange(256)
-        fold[65:91] += 32
-        joined = {k: fold[np.frombuffer(b"\n\n\n".join(texts[k]), np.uint8)] for k in languages}
-        count = sum((np.bincount(x, minlength=256) for x in joined.values()), np.zeros(256, np.int64))
-        count[0] = 0
-        common = [int(b) for b in np.argsort(-count, kind="stable")[: symbols - 1] if count[b]]
-        symbol_of = np.full(256, symbols - 1, np.uint8)
-        symbol_of[common] = np.arange(len(common))
-        symbol_of = symbol_of[fold]
-        costs = np.empty((symbols ** (ORDER + 1), n), np.float32)
-        for j, k in enumerate(languages):
-            costs[:, j] = cls._code_lengths(symbol_of[joined[k]].astype(np.int64), symbols)
-        return cls(languages, symbol_of, costs, float(np.log2(max(1, 256 - len(common)))))
-
-    @staticmethod
-    def _code_lengths(x: np.ndarray, symbols: int) -> np.ndarray:
-        """Bits of every (context of 3, symbol), by orders 0 to 3 with escapes."""
-        p = np.full((1, symbols), 1 / symbols)
-        for order in range(ORDER + 1):
-            if len(x) > order:
-                code = np.zeros(len(x) - order, np.int64)
-                for i in range(order + 1):
-                    code = code * symbols + x[i : len(x) - order + i]
-                seen = np.bincount(code, minlength=symbols ** (order + 1)).reshape(-1, symbols).astype(np.float64)
-            else:
-                seen = np.zeros((symbols**order, symbols))
-            kinds, total = (seen > 0).sum(1, keepdims=True), seen.sum(1, keepdims=True)
-            # the shorter context of (c1, c2, c3) is (c2, c3): the lower order's table repeats along the first symbol
-            lower = np.tile(p, (symbols if order else 1, 1))
-            left = np.where(seen > 0, 0, lower)  # a byte that was seen here is excluded below
-            rest = left.sum(1, keepdims=True)
-            spread = np.divide(left, rest, out=np.zeros_like(left), where=rest > 0)
-            whole = total + np.where(rest > 0, kinds, 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                mixed = np.where(seen > 0, seen / whole, np.where(rest > 0, kinds / whole, 0) * spread)
-            p = np.where(total > 0, mixed, lower)
-        return -np.log2(np.maximum(p, 1e-12)).reshape(-1)
+        return cls({k: _Tree(_FOLD[np.frombuffer(b"\n" * ORDER + (b"\n" * ORDER).join(v), np.uint8)]) for k, v in texts.items()})
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_keys": None, "_table": None}
+
+    def _costs(self, window: np.ndarray) -> np.ndarray:
+        """[window, language]: code lengths, remembered by window."""
+        if self._keys is None:
+            slots = 1 << max(8, (CACHE_BYTES // (8 + 4 * len(self.trees))).bit_length() - 1)
+            self._shift = U(65 - slots.bit_length())
+            self._keys, self._table = np.full(slots, 1 << 63, np.uint64), np.zeros((slots, len(self.trees)), np.float32)
+        place = lambda w: ((w * U(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
+        slot = place(window)
+        out = self._table[slot]
+        miss = np.flatnonzero(self._keys[slot] != window)
+        if len(miss):
+            new, back = np.unique(window[miss], return_inverse=True)
+            costs = np.empty((len(new), len(self.trees)), np.float32)
+            for j, tree in enumerate(self.trees):
+                costs[:, j] = tree.bits(new)
+            out[miss] = costs[back]
+            spot, one = np.unique(place(new), return_index=True)
+            self._keys[spot], self._table[spot] = new[one], costs[one]
+        return out
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """[text, language]: code lengths. Long texts are read in chunks that overlap by a context."""
         out = np.zeros((len(texts), max(1, len(self.languages))))
-        symbols = int(round(len(self.costs) ** 0.25))
-        start = self.symbol_of[10]
-        at, group, size = 0, [], 0
-        for i, t in enumerate([*texts, None]):
-            if t is None or size + len(t) > CHUNK and group:
-                self._add(out, at, group, symbols, start)
-                at, group, size = i, [], 0
-            if t is not None:
-                group.append(t)
-                size += len(t)
-        return out
-
-    def _add(self, out: np.ndarray, at: int, group: list[bytes], symbols: int, start: int) -> None:
-        for i, t in enumerate(group):
-            if len(t) > CHUNK:  # alone
-                for k in range(0, len(t), CHUNK):
-                    head = max(0, k - ORDER)
-                    out[at + i] += self._sums([t[head : k + CHUNK]], symbols, start, k - head)[0]
-        short = [t if len(t) <= CHUNK else b"" for t in group]
-        sums = self._sums(short, symbols, start, 0)
-        for i, t in enumerate(group):
-            if len(t) <= CHUNK:
-                out[at + i] = sums[i]
-
-    def _sums(self, texts: list[bytes], symbols: int, start: int, skip: int) -> np.ndarray:
-        x = self.symbol_of[np.frombuffer((b"\n" * ORDER).join([b"", *texts]), np.uint8)].astype(np.int32)
-        # every text is preceded by three line ends; positions of those are not counted
-        code = ((x[:-3] * symbols + x[1:-2]) * symbols + x[2:-1]) * symbols + x[3:]
-        lengths = np.array([len(t) for t in texts], np.int64)
-        ends = np.cumsum(lengths + ORDER) - ORDER
-        out = np.zeros((len(texts), self.costs.shape[1]))
-        if not len(code):
+        if not self.languages:
             return out
-        each = self.costs[code]
-        if symbols and self.rare_bits:
-            each = each + (x[3:] == symbols - 1)[:, None] * np.float32(self.rare_bits)
-        for i, (e, n) in enumerate(zip(ends, lengths)):
-            if n > skip:
-                out[i] = each[e - n + skip : e].sum(0, dtype=np.float64)
+        most = max(4096, min(CHUNK, 8 * CHUNK // len(self.languages)))
+        group: list[tuple[int, bytes]] = []  # pieces with their contexts, and the texts that they belong to
+        size = 0
+        for i, t in enumerate(texts):
+            whole = b"\n" * ORDER + t
+            for k in range(0, len(t), most):
+                piece = whole[k : k + most + ORDER]
+                if group and size + len(piece) > most:
+                    self._add(out, group)
+                    group, size = [], 0
+                group.append((i, piece))
+                size += len(piece)
+        if group:
+            self._add(out, group)
         return out
 
+    def _add(self, out: np.ndarray, group: list[tuple[int, bytes]]) -> None:
+        costs = self._costs(_windows(_FOLD[np.frombuffer(b"".join(p for _, p in group), np.uint8)], ORDER + 1))
+        at = 0
+        for i, p in group:  # windows that reach from one piece into the next are left out
+            out[i] += costs[at : at + len(p) - ORDER].sum(0, dtype=np.float64)
+            at += len(p)
+
 
 def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text) if not text.isascii() else any("a" <= c <= "z" for c in text.lower())
@@ -140,12 +176,10 @@ def learn_from(docs: DataFrame, sample_bytes: int = 4_000_000, id_col: str = "do
     """Learn from documents with a language that are not held out: at most about ``sample_bytes`` of whole texts."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(~held_out(id_col), F.lit(False)))
     known = known.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.octet_length(text_col).alias("size"), F.xxhash64(F.col(id_col)).alias("hash"))
-    languages = sorted(r["l"] for r in known.select("l").distinct().limit(MOST_LANGUAGES + 1).collect())
+    languages = sorted(r["l"] for r in known.select("l").distinct().collect())
     if not languages:
-        return PartialMatching([], np.zeros(256, np.uint8), np.zeros((1, 1), np.float32), 0.0)
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: the table of costs would tell them apart by too few bytes")
-    share = max(1, sample_bytes // len(languages))
+        return PartialMatching({})
+    share = max(LEAST_SAMPLE, sample_bytes // len(languages))
     eligible = known.where(F.col("size") <= share)
     sizes = {r["l"]: r["bytes"] for r in eligible.groupBy("l").agg(F.sum("size").alias("bytes")).collect()}
     texts: dict[str, list[bytes]] = {k: [] for k in languages}
@@ -163,10 +197,9 @@ def learn_from(docs: DataFrame, sample_bytes: int = 4_000_000, id_col: str = "do
     if missing:
         # what chance or the length of all its texts left out: one text, the first in hash order that fits or else the shortest
         order = F.struct(F.col("size") == 0, F.col("size") > share, F.when(F.col("size") > share, F.col("size")), F.col("hash"))
-        cut = max(share, LEAST_SAMPLE)
-        first = known.where(F.col("l").isin(missing)).withColumn("t", F.substring("t", 1, cut)).groupBy("l").agg(F.min_by("t", order).alias("t"))
+        first = known.where(F.col("l").isin(missing)).withColumn("t", F.substring("t", 1, share)).groupBy("l").agg(F.min_by("t", order).alias("t"))
         for r in first.collect():
-            texts[r["l"]] = [r["t"].encode()[:cut]]
+            texts[r["l"]] = [r["t"].encode()[:share]]
     return PartialMatching.learn({k: sorted(v) for k, v in texts.items()})
 
 

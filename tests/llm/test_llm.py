@@ -378,19 +378,52 @@ def test_top_k_stops_exactly_and_early():
 # --- classifiers -----------------------------------------------------------------------------------------------------
 
 
-def test_code_lengths_are_a_distribution():
+def plain_code_length(train: bytes, text: bytes) -> float:
+    """Method C with exclusion, byte by byte, from a table of followers."""
+    order = language.ORDER
+    followers = defaultdict(lambda: defaultdict(int))
+    for n in range(order + 1):
+        for i in range(n, len(train)):
+            followers[n, train[i - n : i]][train[i]] += 1
+    bits, whole = 0.0, b"\n" * order + text
+    for i in range(order, len(whole)):
+        excluded = set()
+        for n in range(order, -1, -1):
+            seen = followers.get((n, whole[i - n : i]), {})
+            left = {b: c for b, c in seen.items() if b not in excluded}
+            if not left:
+                continue
+            escapes = len(left) if len(seen) < 256 else 0
+            if whole[i] in left:
+                bits += np.log2((sum(left.values()) + escapes) / left[whole[i]])
+                break
+            bits += np.log2((sum(left.values()) + escapes) / escapes)
+            excluded |= set(left)
+        else:
+            bits += np.log2(256 - len(excluded))
+    return bits
+
+
+def test_code_lengths_agree_with_plain_matching():
     rng = np.random.default_rng(7)
-    train = rng.integers(0, 5, 400)
-    costs = language.PartialMatching._code_lengths(train, 7).reshape(-1, 7)
-    assert np.allclose((2.0**-costs).sum(1), 1, atol=1e-6)
-    # a context seen in training: its followers have count / (total + kinds)
-    context, total = train[:3], defaultdict(int)
-    for i in range(3, len(train)):
-        if (train[i - 3 : i] == context).all():
-            total[train[i]] += 1
-    row = costs[(context[0] * 7 + context[1]) * 7 + context[2]]
-    for s, c in total.items():
-        assert np.isclose(2.0 ** -row[s], c / (sum(total.values()) + len(total)), rtol=1e-4)
+    words = ["the", "cat", "sat", "mat", "über", "日本", "x9"]
+    texts = {k: [" ".join(rng.choice(w, 60)).encode() for _ in range(3)] for k, w in (("a", words[:4]), ("b", words[2:]), ("c", ["q"]), ("all", [bytes(range(256)).decode("latin1")]))}
+    model = language.PartialMatching.learn(texts)
+    asked = [b"", b"the cat", "über 日本 sat".encode(), bytes(range(256)), b"\n\nThe CAT", b"q q q\xff\xfe"]
+    got = model.bits(asked)
+    for j, k in enumerate(model.languages):
+        folded = [t.lower() if t.isascii() else bytes(language._FOLD[np.frombuffer(t, np.uint8)]) for t in texts[k]]
+        train = b"\n" * language.ORDER + (b"\n" * language.ORDER).join(folded)
+        for i, t in enumerate(asked):
+            assert np.isclose(got[i, j], plain_code_length(train, bytes(language._FOLD[np.frombuffer(t, np.uint8)])), rtol=1e-5, atol=1e-4)
+
+
+def test_remembered_windows_change_nothing(monkeypatch):
+    model = language.PartialMatching.learn({"a": [b"abcabc def " * 50], "b": [b"xyz zyx abd " * 50]})
+    texts = [bytes(np.random.default_rng(i).integers(97, 123, 400, dtype=np.uint8)) for i in range(40)]
+    fresh = [language.PartialMatching(dict(zip(model.languages, model.trees))).bits([t])[0] for t in texts]
+    monkeypatch.setattr(language, "CACHE_BYTES", 0)
+    assert (model.bits(texts) == fresh).all() and (model.bits(texts[::-1])[::-1] == fresh).all()
 
 
 def test_long_texts_have_the_same_bits(monkeypatch):
@@ -426,11 +459,24 @@ def test_every_language_is_learnt(spark):
         assert all(r.lang == r.lang_pred for r in got)
 
 
-def test_too_many_languages_fail(spark, monkeypatch):
-    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
-    docs = spark.createDataFrame([(i, f"text {i}", "abc"[i % 3]) for i in range(40)], "doc_id long, text string, lang string")
-    with pytest.raises(ValueError):
-        language.learn_from(docs)
+def test_more_than_a_thousand_languages_are_learnt(spark):
+    names = [f"l{i:04d}" for i in range(1100)]
+    docs = spark.createDataFrame([(j * 2000 + i, f"{n} says {n[::-1]} and {n}", n) for i, n in enumerate(names) for j in range(6)], "doc_id long, text string, lang string")
+    model = language.learn_from(docs)
+    assert set(model.languages) == {r.lang for r in docs.where(~language.held_out()).select("lang").distinct().collect()} and len(model.languages) > 1050
+    assert all(r.lang == r.lang_pred for r in language.identify(docs.limit(300), model).join(docs, "doc_id").where(F.col("lang").isin(model.languages)).collect())
+
+
+def test_language_edges(spark):
+    model = language.PartialMatching.learn({"aa": [b"the cat sat on the mat " * 30], "bb": [b"der hund im haus " * 30]})
+    long = "The CAT sat " * 300_000
+    rows = [(1, long, 5, "v"), (1, long, 5, "v"), (None, "der hund", 6, "w"), (2, None, 7, "x"), (3, "zz", 8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang_pred int, score string")
+    got = language.identify(docs, model)
+    assert got.columns == ["doc_id", "lang_pred", "score"] and sorted((r.lang_pred for r in got.collect() if r.doc_id == 1)) == ["aa", "aa"]
+    assert {tuple(r) for r in language.keep_identified(docs, model).collect()} >= {rows[0], rows[2]}
+    even = language.PartialMatching.learn({"bb": [b"abc"], "aa": [b"abc"]})  # a tie goes to the first in order
+    assert {r.lang_pred for r in language.identify(docs.where("doc_id = 3"), even).collect()} == {"aa"}
 
 
 def test_quality(spark, small):
