@@ -2,7 +2,8 @@
 encoded once and looked up from then on.
 
 A tokenizer's own pattern never lets a merge cross from one piece to the next, so the ids of a text are those of its
-pieces. Pieces are found by the classes of code points (letter, number, space, other) and told apart by a 64-bit hash.
+pieces. Pieces are found by the classes of code points (letter, number, space, other). Equal pieces of a chunk are brought
+together by a hash and compared byte by byte; beyond the chunk a piece is known by its own bytes.
 Texts with something that the classes alone don't settle (contractions, special tokens, text that normalization
 changes) are handed to the tokenizers library whole.
 """
@@ -39,22 +40,6 @@ def classes() -> np.ndarray:
     return _CLASSES[0]
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2^64 and of its inverse."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for x in (_BASE, inverse):
-            p = np.full(n, x, np.uint64)
-            p[0] = 1
-            _POWERS.append(np.multiply.accumulate(p))
-        del _POWERS[:-2]
-    return _POWERS[0], _POWERS[1]
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -92,6 +77,58 @@ def word_pieces(cp: np.ndarray, kind: np.ndarray, first: np.ndarray, last: np.nd
     return starts[words], ends[words]
 
 
+_HEADS = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
+#: Bytes up to which a piece is its own key, and from which it is told by its content at once.
+SHORT, LONG = 7, 64
+
+
+def _windows(raw: bytes) -> np.ndarray:
+    """The eight bytes from each place on."""
+    return np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))
+
+
+def short_keys(raw: bytes, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Bytes and number of bytes of each piece of up to seven, in one number."""
+    return _windows(raw)[starts] & _HEADS[np.minimum(length, 8)] | length.astype(np.uint64) << np.uint64(56)
+
+
+def distinct(raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each kind of equal pieces raw[start:stop], and for every piece the number of its kind. Exact.
+
+    Up to seven bytes are their own key, with their number. Longer ones are sorted by a hash and each is compared with the
+    first of its hash; should one differ, and beyond 64 bytes anyway, they are told by content.
+    """
+    window = _windows(raw)
+    length = stops - starts
+    key = short_keys(raw, starts, length)
+    long = np.flatnonzero(length > SHORT)
+    if not len(long):
+        return np.unique(key, return_index=True, return_inverse=True)[1:]
+    at, size = starts[long], length[long]
+    eight = lambda k, some: window[at[some] + 8 * k] & _HEADS[np.minimum(size[some] - 8 * k, 8)]
+    by_hash = np.flatnonzero(size <= LONG)
+    value = window[at] + size.astype(np.uint64)
+    for k in range(1, -(-LONG // 8)):
+        some = by_hash[size[by_hash] > 8 * k]
+        value[some] = _mix(value[some]) + eight(k, some)
+    key[long] = np.uint64(255 << 56) | _mix(value) >> np.uint64(8)
+    by_content = np.flatnonzero(size > LONG)
+    for attempt in range(2):
+        if len(by_content):
+            kinds: dict[bytes, int] = {}
+            numbers = [kinds.setdefault(raw[a:b], len(kinds)) for a, b in zip(at[by_content].tolist(), (at + size)[by_content].tolist())]
+            key[long[by_content]] = np.uint64(254 << 56) | np.array(numbers, np.uint64)
+        _, where, back = np.unique(key, return_index=True, return_inverse=True)
+        first = where[back[long]]
+        same = length[first] == size
+        for k in range(-(-LONG // 8)):
+            some = by_hash[size[by_hash] > 8 * k]
+            same[some] &= eight(k, some) == window[starts[first[some]] + 8 * k] & _HEADS[np.minimum(size[some] - 8 * k, 8)]
+        if attempt or same.all():
+            return where, back
+        by_hash, by_content = np.empty(0, np.int64), np.arange(len(long))
+
+
 class Encoder:
     """ids of whole texts. ``encode_pieces`` gets the distinct pieces not seen before; ``encode_text`` texts that need it."""
 
@@ -100,13 +137,13 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.pool = np.empty(1 << 16, np.uint32)
         self.used = 0
         self.at, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        for h, ids in zip(hashes, self.encode_pieces(pieces)):
+    def _learn(self, pieces: list[bytes]) -> None:
+        for piece, ids in zip(pieces, self.encode_pieces([x.decode() for x in pieces])):
             k = len(self.known)
             if k == len(self.at):
                 self.at, self.length = np.resize(self.at, 2 * k), np.resize(self.length, 2 * k)
@@ -115,7 +152,7 @@ class Encoder:
             self.pool[self.used : self.used + len(ids)] = ids
             self.at[k], self.length[k] = self.used, len(ids)
             self.used += len(ids)
-            self.known[h] = k
+            self.known[piece] = k
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of every text; null counts as empty."""
@@ -145,18 +182,17 @@ class Encoder:
         first = np.r_[0, ends[:-1]]
         kind = classes()[cp]
         starts, stops = self.cut(cp, kind, first, ends - 1)
-        powers, inverse = _powers(len(cp) + 1)
-        sums = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum(_mix(cp.astype(np.uint64) + np.uint64(0x51ED270B)) * powers[: len(cp)], out=sums[1:])
-        hashes = (sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64)
-        unique, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        raw, a, b = whole.encode(), starts, stops
+        if len(raw) > len(cp):  # from characters to bytes
+            at = np.r_[0, np.cumsum(1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF))]
+            a, b = at[starts], at[stops]
+        where, back = distinct(raw, a, b)
         if len(self.known) > REMEMBERED:
             self._forget()
-        keys = unique.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
-        if new:
-            self._learn([keys[k] for k in new], [whole[starts[where[k]] : stops[where[k]]] for k in new])
-        slots = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[back]
+        pieces = [raw[i:j] for i, j in zip(a[where].tolist(), b[where].tolist())]
+        if new := [x for x in pieces if x not in self.known]:
+            self._learn(new)
+        slots = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[back]
         lengths = self.length[slots]
         total = np.cumsum(lengths)
         at = np.arange(total[-1] if len(total) else 0) + np.repeat(self.at[slots] - (total - lengths), lengths)
