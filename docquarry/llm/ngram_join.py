@@ -8,20 +8,25 @@ any two similar sets share one. Signatures of empty cells alone are left out: th
 and a set in which more than m partitions have only empty choices has the signatures of further hash functions too,
 in the end one that all such sets share. So no link is lost.
 
-Equal sets are one class from the start. Classes that share a signature are compared with the least of them; exact
-links come from the words of the whole texts. Where a signature's classes are then still in different components, they
-are compared among each other, in tiles of bounded size, first by size and by parity bits (whose number of differences
-never exceeds that of the sets), then by words. Components need no more than that. ``link_pairs`` and ``count_links`` compare
-all classes that share a signature, also those already in one component, so they have every link.
+Words up to seven bytes are told apart by their bytes, longer ones by 128-bit BLAKE2b digests; a shingle is known by 128 bits
+made from its words', and a set by the 128-bit digest of its sorted shingles. Equal sets are one class from the
+start, and a class, not a document id, is what is linked. Classes that share a signature are compared with the least of
+them; exact links come from the words of the whole texts. Where a signature's classes are then still in different
+components, they are compared among each other, in tiles of about TILE classes dealt by a hash, first by size and by parity
+bits (whose number of differences never exceeds that of the sets), then by words. Components need no more than that.
+``link_pairs`` and ``count_links`` compare all classes that share a signature, also those already in one component, so
+they have every link.
 
 Defined results: words are lower-cased in A-Z only and separated by blank, tab, line ends, vertical tab and form feed;
 with fewer than n words the whole sequence is one shingle; null, empty or blank texts have none and are linked with
-nothing, not even each other; a null id has no component and is linked with nothing; repeated rows are in one component; an
-empty table gives no rows; other columns are ignored.
+nothing, not even each other; a null id has no component and is linked with nothing (``keep_one_of_each`` compares such rows
+too); rows that repeat an id are judged each by its text; an empty table gives no rows; other columns are ignored, and
+``keep_one_of_each`` hands them through, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,21 +34,23 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import IdFilter, small_batches, written
 from .components import connected_components
-from .tokens import _mix, _powers
+from .tokens import SHORT, _mix, distinct, short_keys
 
-CHUNK, TILE, SEEDS, PARITY, HELD = 300_000, 1024, 4, 512, 100_000
+CHUNK, TILE, SEEDS, PARITY, HELD, REMEMBERED = 300_000, 512, 4, 512, 100_000, 200_000
 U = np.uint64
 SEPARATORS = (32, 9, 10, 11, 12, 13)
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SEPARATORS)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
+#: Digests of words, remembered by a worker.
+_DIGESTS: dict[bytes, bytes] = {}
 
 
 def words(text: str) -> list[bytes]:
@@ -58,49 +65,66 @@ def shingle_set(text: str, n: int) -> frozenset:
     return frozenset(zip(*(w[i:] for i in range(n))))
 
 
-def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of each text, text by text, and their numbers."""
+def _identities(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """[2, word]: 128 bits of each word data[start:stop]; up to seven bytes are mixed one to one, longer ones digested."""
+    raw, length = data.tobytes(), stops - starts
+    short = short_keys(raw, starts, length)
+    out = np.stack([_mix(short ^ U(0xA0761D6478BD642F)), _mix(short ^ U(0xE7037ED1A0B428DB))])
+    long = np.flatnonzero(length > SHORT)
+    if len(long):
+        where, back = distinct(raw, starts[long], stops[long])
+        if len(_DIGESTS) > REMEMBERED:
+            _DIGESTS.clear()
+        found = [raw[a:b] for a, b in zip(starts[long][where].tolist(), stops[long][where].tolist())]
+        for word in found:
+            if word not in _DIGESTS:
+                _DIGESTS[word] = hashlib.blake2b(word, digest_size=16).digest()
+        out[:, long] = np.frombuffer(b"".join(map(_DIGESTS.__getitem__, found)), np.uint64).reshape(-1, 2).T[:, back]
+    return out
+
+
+def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, text by text: their two 64-bit values, sorted, and their numbers."""
     data = _LOWER[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
     first = np.cumsum([0, *[len(t) + 1 for t in texts]])[:-1]
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.r_[True, space].astype(np.int8)))
+    edge = np.flatnonzero(np.diff(np.r_[True, _SPACE[data]].astype(np.int8)))
     starts, stops = edge[::2], edge[1::2]
-    powers, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers[: len(data)], out=sums[1:])
-    word = _mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+    word = _identities(data, starts, stops)
     of = np.searchsorted(first, starts, "right") - 1
     each = np.bincount(of, minlength=len(texts))
-    whole = np.flatnonzero(np.r_[of[n - 1 :] == of[: len(of) - n + 1]] if len(of) >= n else np.zeros(0, bool))
-    value = np.full(len(whole), n, np.uint64)
-    for i in range(n):
-        value = _mix(value + word[whole + i] * U(2 * i + 3))
+    whole = np.flatnonzero(of[n - 1 :] == of[: len(of) - n + 1]) if len(of) >= n else np.zeros(0, np.int64)
+    spelt = lambda at, size: [_run(word, at, size, side) for side in (0, 1)]
+    value, more = spelt(whole, n)
     owner = of[whole]
     few = np.flatnonzero((each > 0) & (each < n))
     if len(few):
         begin = np.cumsum(each) - each
-        short = []
-        for d in few:
-            v = np.full(1, each[d], np.uint64)
-            for i in range(each[d]):
-                v = _mix(v + word[begin[d] + i : begin[d] + i + 1] * U(2 * i + 3))
-            short.append(v[0])
-        value, owner = np.r_[value, np.array(short, np.uint64)], np.r_[owner, few]
+        short = [spelt(begin[d : d + 1], each[d]) for d in few]
+        value, more, owner = np.r_[value, [x[0][0] for x in short]].astype(np.uint64), np.r_[more, [x[1][0] for x in short]].astype(np.uint64), np.r_[owner, few]
     order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
+    if ((value[order][1:] == value[order][:-1]) & (more[order][1:] != more[order][:-1])).any():
+        order = np.lexsort((more, value, owner))
+    value, more, owner = value[order], more[order], owner[order]
     new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    return value[new], np.bincount(owner[new], minlength=len(texts))
+    new[1:] = (value[1:] != value[:-1]) | (more[1:] != more[:-1]) | (owner[1:] != owner[:-1])
+    return value[new], more[new], np.bincount(owner[new], minlength=len(texts))
 
 
-def set_keys(value: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit keys of each set."""
-    ends = np.r_[0, np.cumsum(count)]
-    keys = []
-    for c in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB):
-        sums = np.r_[U(0), np.cumsum(_mix(value ^ U(c)), dtype=np.uint64)]
-        keys.append(_mix(sums[ends[1:]] - sums[ends[:-1]] + count.astype(np.uint64)).view(np.int64))
-    return keys[0], keys[1]
+def _run(word: np.ndarray, at: np.ndarray, size: int, side: int) -> np.ndarray:
+    """64 bits of ``size`` words from each place on: the one side mixed word by word, the other summed up."""
+    value = np.full(len(at), size, np.uint64)
+    for i in range(size):
+        value = value + word[side, at + i] * U(2 * i + 3)
+        value = value if side else _mix(value)
+    return value
+
+
+def set_keys(value: np.ndarray, more: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of each set's 128-bit key."""
+    ends = np.r_[0, np.cumsum(count)].tolist()
+    both = np.stack([value, more], 1)
+    keys = [hashlib.blake2b(both[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends, ends[1:])]
+    return tuple(np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2).T)
 
 
 class Bands:
@@ -219,8 +243,8 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, group in _grouped(batch.column(1).to_pylist()):
-                value, count = shingles(group, n)
-                key, key2 = set_keys(value, count)
+                value, more, count = shingles(group, n)
+                key, key2 = set_keys(value, more, count)
                 owner = np.repeat(np.arange(len(group)), count)
                 odd = np.bincount(owner * PARITY + (value % U(PARITY)).astype(np.int64), minlength=len(group) * PARITY) & 1
                 parity = np.packbits(odd.reshape(len(group), PARITY).astype(np.uint8), axis=1)
@@ -239,20 +263,32 @@ def _signature_rows(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
         at = bands(p, q)
         for batch in batches:
             for _, group in _grouped(batch.column(1).to_pylist()):
-                value, count = shingles(group, n)
+                value, more, count = shingles(group, n)
                 sig, owner = signatures(value, count, at)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(set_keys(value, count)[0][owner])], names=["sig", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(set_keys(value, more, count)[0][owner])], names=["sig", "key"])
 
     return docs.mapInArrow(run, "sig long, key long")
 
 
+def _keyed(docs: DataFrame, n: int) -> DataFrame:
+    """(id, key, text) of rows (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, group in _grouped(batch.column(1).to_pylist()):
+                part = batch.slice(at, len(group))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(set_keys(*shingles(group, n))[0]), part.column(1)], names=["id", "key", "text"])
+
+    return docs.mapInArrow(run, "id long, key long, text string")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """Those of the pairs (a, b, a_key, b_key) whose sets of whole words are similar enough."""
     wanted = pairs.select(F.col("a").alias("id"), F.col("a_key").alias("key")).union(pairs.select("b", "b_key")).distinct()
     wanted = written(wanted, "wanted")
-    # only texts that may be wanted are shuffled
+    # only texts that may be wanted are shuffled; an id may be repeated with other texts, so the set tells which is meant
     some = IdFilter(wanted.select("id")).marked(docs, "id").where("_maybe").drop("_maybe")
-    texts = some.join(wanted, "id").select("id", "key", "text")
+    texts = _keyed(some, n).join(wanted, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("key").alias("a_key"), F.col("text").alias("a_text")), ["a", "a_key"])
     both = left.join(texts.select(F.col("id").alias("b"), F.col("key").alias("b_key"), F.col("text").alias("b_text")), ["b", "b_key"])
 
@@ -380,42 +416,55 @@ def _stars(members: DataFrame, classes: DataFrame, p: int, q: int) -> DataFrame:
 def _pairs_within(members: DataFrame, named: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs of one signature's classes (key, rep, n_shingles, parity, label) with different labels that may be similar.
 
-    Signatures of two classes are left to ``_stars``.
+    Signatures of two classes are left to ``_stars``. Many signatures hold the same classes: those are looked at once. They
+    are recognized by the sums of eight 32-bit parts of the classes' SHA-256 digests. Tiles are dealt by a hash of the
+    class, so no task has to number the classes of a signature.
     """
-    each = F.xxhash64("rep", "key")
-    groups = members.join(named.select("key", "label", "rep"), "key").groupBy("sig").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum(F.pmod(each, F.lit(1 << 31))).alias("sum"), F.bit_xor(each).alias("xor"), F.max("rep").alias("last")
-    )
-    # the same classes under many signatures are looked at once; two classes have been compared as pivot and member
-    apart = groups.where("low < high AND size > 2").groupBy("size", "sum", "xor", "low", "high", "last").agg(F.min("sig").alias("sig"))
+    groups = members.join(named.select("key", "label"), "key").groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+    mixed = groups.where("low < high AND size > 2").select("sig", "size")
+    digest = F.sha2(F.col("key").cast("string"), 256)
+    parts = [F.sum(F.conv(F.substring("_digest", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"_sum{i}") for i in range(8)]
+    sums = members.join(mixed, "sig").withColumn("_digest", digest).groupBy("sig", "size").agg(*parts)
+    apart = sums.groupBy("size", *[f"_sum{i}" for i in range(8)]).agg(F.min("sig").alias("sig"))
     inside = members.join(apart.select("sig", "size"), "sig").join(named, "key")
-    place = (F.row_number().over(Window.partitionBy("sig").orderBy("rep", "key")) - 1) / TILE
-    tiled = inside.withColumn("t", F.floor(place).cast("int")).withColumn("o", F.explode(F.expr(f"sequence(0, CAST((size - 1) DIV {TILE} AS INT))")))
+    tiles = F.expr(f"CAST((size - 1) DIV {TILE} + 1 AS INT)")
+    tiled = inside.withColumn("t", F.pmod(F.xxhash64("key"), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
     tiled = tiled.select("sig", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), "t", "rep", "key", "label", "n_shingles", "parity")
     tiled = tiled.repartition("sig", "t1", "t2").sortWithinPartitions("sig", "t1", "t2")
     return _tile_pairs(tiled, p, q).distinct()
 
 
-def _link_documents(docs: DataFrame, n: int, p: int, q: int, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _components(links: DataFrame) -> DataFrame:
+    """key, label: of every linked class the least class of its component."""
+    return connected_components(links.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))).withColumnRenamed("node", "key")
+
+
+def _linked(rows: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets and classes of rows (id, text), and the labels of linked classes."""
     described, classes, members = _sets_and_members(rows, n, p, q)
     texts = rows.where("id IS NOT NULL")
     first = written(_verified(written(_stars(members, classes, p, q), "stars"), texts, n, p, q), "first-links")
-    labels = connected_components(first)
+    labels = _components(first)
 
     # signatures whose classes the pivots have not brought together
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", "parity", F.coalesce("label", "rep").alias("label"))
+    named = classes.join(labels, "key", "left").select("key", "rep", "n_shingles", "parity", F.coalesce("label", "key").alias("label"))
     second = _verified(written(_pairs_within(members, named, p, q), "tile-pairs"), texts, n, p, q)
     second = written(second, "second-links")
     if second.limit(1).count():
-        labels = connected_components(first.union(second))
-    return _with_components(described, classes, labels, id_col)
+        labels = _components(first.union(second))
+    return described, classes, labels
+
+
+def _link_documents(docs: DataFrame, n: int, p: int, q: int, id_col: str, text_col: str) -> DataFrame:
+    return _with_components(*_linked(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n, p, q), id_col)
 
 
 def _with_components(described: DataFrame, classes: DataFrame, labels: DataFrame, id_col: str, *more: str) -> DataFrame:
-    class_label = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "key2", "n_shingles", F.coalesce("label", "rep").alias("label"), *more)
+    of = classes.select("key", "rep").join(labels, "key")
+    least = of.join(of.groupBy("label").agg(F.min("rep").alias("least")), "label").select("key", "least").distinct()
+    class_label = classes.join(least, "key", "left").select("key", "key2", "n_shingles", F.coalesce("least", "rep").alias("least"), *more)
     out = described.join(class_label, ["key", "key2", "n_shingles"], "left")
-    linked = F.when(F.col("n_shingles") > 0, F.col("label"))
+    linked = F.when(F.col("n_shingles") > 0, F.col("least"))
     known = [F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col(c)).alias(c) for c in more]
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce(linked, F.col("id"))).alias("component_id"), *known)
 
@@ -451,7 +500,7 @@ def count_links(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col:
     """The columns of ``link_documents`` and n_links: how many other rows each row is linked with itself, not over others."""
     with small_batches(docs.sparkSession):
         described, classes, links = _all_links(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n, p, q)
-        labels = connected_components(links)
+        labels = _components(links)
         ends = links.select(F.col("a_key").alias("key"), F.col("b_key").alias("other")).union(links.select("b_key", "a_key"))
         beside = ends.join(classes.select(F.col("key").alias("other"), "rows"), "other").groupBy("key").agg(F.sum("rows").alias("beside"))
         counted = classes.join(beside, "key", "left").withColumn("n_links", F.col("rows") - 1 + F.coalesce("beside", F.lit(0)))
@@ -459,12 +508,35 @@ def count_links(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col:
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component; of rows that repeat an id, one. Null ids stay."""
-    linked = written(link_documents(docs, n, p, q, id_col, text_col).where(F.col(id_col).isNotNull()).select(id_col, "component_id"), "linked")
-    ids = linked.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("n"), F.min("component_id").alias("least"))
-    # rows that go or repeat an id are the few that need a shuffle; all others pass as they are
-    special = written(ids.where("n > 1 OR least <> _id"), "special")
-    marked = IdFilter(special.select("_id")).marked(docs, id_col)
-    few = marked.where("_maybe").drop("_maybe")
-    kept = few.join(special.where("least <> _id"), F.col(id_col) == F.col("_id"), "left_anti").dropDuplicates([id_col])
-    return marked.where("NOT _maybe").drop("_maybe").unionByName(kept)
+    """Of each component of linked texts one row of ``docs``, with all columns: that of the least id (null ids last).
+
+    Texts are judged each by itself, also where rows repeat an id. Texts without words all stay.
+    """
+    # null ids stand behind all others here; what a row is, its id and its set tell together
+    number = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    with small_batches(docs.sparkSession):
+        described, classes, labels = _linked(docs.select(number.alias("id"), F.col(text_col).alias("text")), n, p, q)
+        rows = described.where("n_shingles > 0").groupBy("id", "key").agg(F.count("*").alias("rows"))
+        rows = rows.join(labels, "key", "left").select("id", "key", "rows", F.coalesce("label", "key").alias("label"))
+        first = rows.groupBy("label").agg(F.min(F.struct("id", "key")).alias("first"))
+        judged = rows.join(first, "label").select("id", "key", "rows", (F.struct("id", "key") != F.col("first")).alias("goes"))
+        special = written(judged.where("goes OR rows > 1").select("id", "key", "goes"), "special")
+        # rows that may go or are repeated are the few that need a shuffle; all others pass as they are
+        marked = IdFilter(special.select("id")).marked(docs.select(F.struct("*").alias("row"), number.alias("id")), "id")
+        few = _with_keys(marked.where("_maybe").select("id", "row"), n, docs.schema.fieldNames().index(text_col))
+        met = few.join(special, ["id", "key"], "left")
+        again = met.where("NOT goes").dropDuplicates(["id", "key"])
+        kept = met.where("goes IS NULL").select("row.*").union(again.select("row.*"))
+        return marked.where("NOT _maybe").select("row.*").union(kept)
+
+
+def _with_keys(rows: DataFrame, n: int, text_at: int) -> DataFrame:
+    """Rows (id, row) with the key of the set of the text, which is the row's field ``text_at``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, group in _grouped(batch.column(1).field(text_at).to_pylist()):
+                part = batch.slice(at, len(group))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(set_keys(*shingles(group, n))[0])], names=["id", "row", "key"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("key", T.LongType())]))

@@ -243,6 +243,38 @@ def test_join_edges(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([0, 1, 2, 3, 4, 6, 7, 8, 9, 10, None], key=repr) and kept.columns == table(spark).columns
 
 
+def thue_morse(n):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [1024, 2048])
+def test_words_of_one_polynomial_hash_are_told_apart(spark, size):
+    x, y = thue_morse(size)
+    docs = [(1, x), (2, y), (3, f"{x} {y}"), (4, f"{x} one two three"), (5, f"{y} one two three"), (6, x + "\n"), (7, f"{x} {y} {x} {x} {y} {y}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for n in (1, 3):
+        got = ngram_join.link_documents(df, n, 90, 100).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(docs, n, 90, 100)
+    for kind, path in (("byte", BYTE), ("word", WORD)):
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        texts = [t for _, t in docs]
+        assert [e.tolist() for e in tokens.encoder(kind, path).encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    pairs = bpe.BytePairs(BYTE)
+    assert [pairs.decode(x.tolist()) for x in pairs.encoder().encode(texts)] == texts
+
+
+def test_repeated_and_null_ids_are_judged_by_their_texts(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, near, "a"), (1, "quite another text of its own", "b"), (2, near + " end", "c"), (None, near, "d"), (None, "null ids have texts too, this one", "e"), (3, "null ids have texts too, this one", "f"),
+            (1, "quite another text of its own", "g"), (None, None, "h"), (None, "only here and nowhere else, no copy", "i"), (4, "", "j"), (4, "", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _block string")
+    got = {r._block for r in ngram_join.keep_one_of_each(docs).collect()}
+    assert got in ({"a", "b", "f", "h", "i", "j", "k"}, {"a", "g", "f", "h", "i", "j", "k"})
+
+
 def test_tiles_cover_large_groups(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 3)
     docs = families(9)
