@@ -8,11 +8,13 @@
    of the rates themselves gives (method of moments): sparse sites end near their parents.
 4. Posterior: the log odds of the evidence plus those of the path's posterior rate against the global rate.
 
-The sums are of whole millionths, so they don't depend on the order of rows.
+The evidence of each text is computed once and written with the row; sums and posteriors read it from there. The sums are of
+whole millionths, so they don't depend on the order of rows.
 
 Defined results: null or blank text is rejected with score 0; a null source is the host ''; rows with equal content get
-equal results; a table without labels gets the evidence of a fixed prior model; an empty table gives no rows. Other
-columns are handed through by ``keep_good`` and left out by ``score_documents``.
+equal results; a table without labels gets the evidence of a fixed prior model; of labelled rows that repeat an id, one (the
+least features) is learnt from; an empty table gives no rows. Other columns are handed through by ``keep_good``, whatever
+their names, and left out by ``score_documents``.
 """
 
 from __future__ import annotations
@@ -21,10 +23,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 FEATURES = ("symbols", "capitals", "bars", "bangs", "digits", "repeated_lines", "spaces", "letters_per_word", "brevity")
 #: For tables without labels: noise speaks against a document.
 PRIOR_WEIGHTS = (4.0, -30.0, -6.0, -60.0, -60.0, -5.0, -4.0, 0.0, 0.0, 0.0)
 MILLION = 1_000_000
+#: Sites (of about 100 bytes) up to which their table is broadcast; beyond, rows and sites are shuffled to each other.
+BROADCAST_SITES = 100_000
 
 
 def features(text: Column) -> list[Column]:
@@ -77,7 +83,8 @@ def learn_evidence(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000,
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     chosen = known.where(place < share).withColumnRenamed("doc_id", "_id")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    got = rows.select("_id", F.col("quality").cast("double"), *features(F.col("_text"))).limit(2 * max_labelled).collect()
+    features_ = F.struct(*features(F.col("_text")))
+    got = rows.groupBy("_id", F.col("quality").cast("double").alias("quality")).agg(F.min(features_).alias("_features")).select("_id", "quality", "_features.*").collect()
     got.sort(key=lambda r: tuple(r))
     table = np.array([list(r)[1:] for r in got], float)
     if not len(table) or len(set(table[:, 0])) < 2:
@@ -100,18 +107,16 @@ def _strength(groups: DataFrame, parent_rate: Column) -> Column:
     return F.least(F.greatest(mean_var / between - 1, F.lit(1.0)), F.lit(1e6))
 
 
-def score_documents(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (``id_col`` alone if none), evidence, host_rate, path_rate, quality (0 to 1) and good (boolean) of every row."""
-    keep = [id_col] if keep is None else keep
+def _scored(docs: DataFrame, carried: Column, weights: list[float], text_col: str, source_col: str) -> DataFrame:
+    """``carried`` as _row, with _z, _host_rate, _path_rate and _quality, of every row."""
     host, path = _site(F.col(source_col))
     z = F.lit(weights[0])
     for w, f in zip(weights[1:], features(F.col(text_col))):
         z = z + F.lit(w) * f
     z = F.greatest(F.least(z, F.lit(20.0)), F.lit(-20.0))
     blank = F.col(text_col).isNull() | ~F.col(text_col).rlike(r"\S")
-    carried = F.struct(*[F.col(c) for c in keep]).alias("_row")
-    rows = docs.select(carried, host.alias("_host"), path.alias("_path"), F.when(~blank, z).alias("_z"))
-    # slim rows for the sites: the sums of a hot host are partly added before any shuffle
+    rows = written(docs.select(carried.alias("_row"), host.alias("_host"), path.alias("_path"), F.when(~blank, z).alias("_z")), "evidence")
+    # the sums of a hot host are partly added before any shuffle
     p = F.round(F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_z"))), F.lit(0.0)) * MILLION).cast("long")
     paths = rows.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(p).alias("good_millionths"))
     paths = paths.withColumn("good", F.col("good_millionths") / MILLION)
@@ -126,15 +131,22 @@ def score_documents(docs: DataFrame, weights: list[float], id_col: str = "doc_id
     sites = with_hosts.join(F.broadcast(path_strength)).select(
         "_host", "_path", "world", "host_rate", ((F.col("good") + F.col("path_strength") * F.col("host_rate")) / (F.col("n") + F.col("path_strength"))).alias("path_rate")
     )
-    joined = rows.join(sites, ["_host", "_path"])
+    sites = written(sites, "sites")
+    joined = rows.join(F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites, ["_host", "_path"])
     odds = lambda r: F.log(r / (1 - r))
     kept_in = lambda c: F.greatest(F.least(F.col(c), F.lit(0.999)), F.lit(0.001))
     posterior = F.col("_z") + odds(kept_in("path_rate")) - odds(kept_in("world"))
     quality = F.when(F.col("_z").isNull(), F.lit(0.0)).otherwise(F.lit(1.0) / (F.lit(1.0) + F.exp(-posterior)))
-    return joined.select("_row.*", F.col("_z").alias("evidence"), "host_rate", "path_rate", quality.alias("quality")).withColumn("good", F.col("quality") >= threshold)
+    return joined.select("_row", "_z", F.col("host_rate").alias("_host_rate"), F.col("path_rate").alias("_path_rate"), quality.alias("_quality"))
+
+
+def score_documents(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", threshold: float = 0.5) -> DataFrame:
+    """``id_col``, evidence, host_rate, path_rate, quality (0 to 1) and good (boolean) of every row."""
+    scored = _scored(docs, F.struct(F.col(id_col).alias("id")), weights, text_col, source_col)
+    own = {"evidence": F.col("_z"), "host_rate": F.col("_host_rate"), "path_rate": F.col("_path_rate"), "quality": F.col("_quality"), "good": F.col("_quality") >= threshold}
+    return scored.select(F.col("_row.id").alias(id_col), *[v.alias(k) for k, v in own.items()])
 
 
-def keep_good(docs: DataFrame, weights: list[float], threshold: float = 0.5, **columns: str) -> DataFrame:
+def keep_good(docs: DataFrame, weights: list[float], threshold: float = 0.5, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, all columns, whose posterior is at least ``threshold``."""
-    marked = score_documents(docs, weights, threshold=threshold, keep=docs.columns, **columns)
-    return marked.where("good").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _scored(docs, F.struct("*"), weights, text_col, source_col).where(F.col("_quality") >= threshold).select("_row.*")

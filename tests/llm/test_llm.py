@@ -525,6 +525,52 @@ def test_quality(spark, small):
     assert quality.learn_evidence(docs, labels.limit(0)) == list(quality.PRIOR_WEIGHTS)
 
 
+def plain_quality(rows, weights):
+    """Evidence given, sites and posteriors by plain loops. rows: (id, evidence or None, host, path)."""
+    from collections import Counter
+
+    p = lambda z: 0 if z is None else round(1e6 / (1 + np.exp(-z)))
+    n, good = Counter(), Counter()
+    for _, z, host, path in rows:
+        n[host, path] += 1
+        good[host, path] += p(z) / 1e6
+    hn, hg = Counter(), Counter()
+    for (h, _), c in n.items():
+        hn[h] += c
+    for (h, _), c in good.items():
+        hg[h] += c
+    world = min(max(sum(hg.values()) / sum(hn.values()), 0.001), 0.999)
+
+    def strength(groups):  # (n, good, parent rate)
+        total = sum(g[0] for g in groups)
+        spread = sum(c * (g / c - r) ** 2 for c, g, r in groups) / total
+        between = max(spread - sum(r * (1 - r) for _, _, r in groups) / total, 1e-6)
+        return min(max(sum(c * r * (1 - r) for c, _, r in groups) / total / between - 1, 1), 1e6)
+
+    k = strength([(hn[h], hg[h], world) for h in hn])
+    rate = {h: (hg[h] + k * world) / (hn[h] + k) for h in hn}
+    k = strength([(n[s], good[s], rate[s[0]]) for s in n])
+    site = {s: (good[s] + k * rate[s[0]]) / (n[s] + k) for s in n}
+    odds = lambda r: np.log(min(max(r, 0.001), 0.999) / (1 - min(max(r, 0.001), 0.999)))
+    return [(i, 0.0 if z is None else 1 / (1 + np.exp(-(z + odds(site[h, q]) - odds(world))))) for i, z, h, q in rows]
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_posteriors_agree_with_plain_loops(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "BROADCAST_SITES", most)
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["good plain words here. ", "#$%^ ||| !!! ", "ALL CAPS AND 12345 "]) * rng.randint(1, 9), rng.choice(["http://A.com/x/1", "a.com/y", "b.org", "b.org/x?q", None, "c.net/z"])) for i in range(200)]
+    rows += [(200, None, "a.com/y"), (201, " \n", "b.org"), (201, " \n", "b.org"), (None, "no id", "c.net/z")]
+    weights = list(quality.PRIOR_WEIGHTS)
+    got = quality.score_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights).collect()
+    place = lambda s: ((s or "").lower().removeprefix("http://").split("/")[0], ((s or "").removeprefix("http://").split("/") + [""])[1].split("?")[0])
+    source = {r[0]: r[2] for r in rows}
+    expected = plain_quality([(r.doc_id, r.evidence, *place(source[r.doc_id])) for r in got], weights)
+    assert len(got) == len(rows) and all(np.isclose(r.quality, q, atol=1e-6) and r.good == (q >= 0.5) for r, (_, q) in zip(got, expected))
+    # paths of one host have rates of their own
+    assert len({r.path_rate for r in got if source[r.doc_id] in ("b.org", "b.org/x?q")}) == 2
+
+
 def test_sparse_sites_shrink_to_the_whole(spark):
     clean, noise = "The words of a plain text stand here in order. " * 5, "*** $$$ ### %%% &&& " * 12
     rows = [(i, clean if i % 10 else noise, "big.example/a") for i in range(200)] + [(1000 + i, noise, "bad.example") for i in range(60)] + [(2000, noise, "one.example")]
