@@ -3,7 +3,8 @@
 A text is cut by one pattern into what lies between findings and the findings. Each finding is checked (check digits,
 ranges, calendar) and, if valid, moved within its own format by a keyed Feistel network; all else stays as it is. The
 network is a bijection on the format, so equal values get equal pseudonyms in every document and different values
-different ones, and whoever has the key can go back.
+different ones, and whoever has the key can go back with ``restore`` (numbers of an address come back without leading zeros).
+The key stands in a table of one row, which is broadcast, so no plan, page or log shows it.
 
 =========  ======================================  =============================================================
 kind       valid if                                what moves
@@ -13,9 +14,10 @@ card       issuer prefix, length, Luhn             digits between the issuer dig
 iban       letters, length, modulo 97; in one, or  all after the country, class by class; check digits anew
            in groups of four if the country's
            length is known
-phone      +1 form; area code and exchange from 2  area code, exchange and line number
-           without it or after 1; +country, 8 to   (other countries: the digits after the first two)
-           15 digits in groups of any size
+phone      +1 and ten digits, exchange from 2, an  area code, exchange and line number
+           area code other than 000; without +,    (other countries: the digits after the first two)
+           area code and exchange from 2;
+           +country, 8 to 15 digits in any groups
 ssn        area, group and serial in use           all three, among valid ones
 date       YYYY-MM-DD, DD/MM/YYYY in the calendar  the day, within its 400 years (146,097 days); in
            or, if not, MM/DD/YYYY                  MM/DD/YYYY among the days from 13
@@ -25,7 +27,7 @@ secret     value of token/secret/password/api key  letters and digits, class by
 =========  ======================================  =============================================================
 
 Defined results: null text stays null with no finding; empty text stays empty; a finding that isn't valid stays;
-rows are kept one for one, whatever their id; other columns are handed through unchanged.
+rows are kept one for one, whatever their id; other columns are handed through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -66,44 +68,62 @@ def _number(text: Column) -> Column:
     return text.cast("decimal(19,0)").cast("long")
 
 
-def _noise(key: str, kind: str, i: Column, value: Column) -> Column:
+class Key:
+    """The secret as a column (or a literal, for tests), and whether to go back."""
+
+    def __init__(self, secret: str | Column, back: bool = False):
+        self.secret, self.back = secret if isinstance(secret, Column) else F.lit(secret), back
+
+    def rounds(self) -> Column:
+        return F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if self.back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+
+
+def _as_key(key: Key | str) -> Key:
+    return key if isinstance(key, Key) else Key(key)
+
+
+def _noise(key: Key, kind: str, i: Column, value: Column) -> Column:
     """52 bits from the key, the kind, the round and the other half."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), value.cast("string")), 256), 1, 13), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", key.secret, F.lit(kind), i.cast("string"), value.cast("string")), 256), 1, 13), 16, 10).cast("long")
 
 
-def feistel(key: str, kind: str, a: Column, b: Column, size_a: int | Column, size_b: int | Column) -> Column:
+def feistel(key: Key | str, kind: str, a: Column, b: Column, size_a: int | Column, size_b: int | Column) -> Column:
     """struct<a, b>: a keyed permutation of the pairs with a < size_a and b < size_b."""
+    key = _as_key(key)
     size_a, size_b = (x if isinstance(x, Column) else F.lit(x) for x in (size_a, size_b))
+    moved = lambda x, noise, size: F.pmod(x - noise, size) if key.back else (x + noise) % size
 
     def one(acc: Column, i: Column) -> Column:
         even = i % 2 == 0
         return F.struct(
-            F.when(even, (acc["a"] + _noise(key, kind, i, acc["b"])) % size_a).otherwise(acc["a"]).cast("long").alias("a"),
-            F.when(even, acc["b"]).otherwise((acc["b"] + _noise(key, kind, i, acc["a"])) % size_b).cast("long").alias("b"),
+            F.when(even, moved(acc["a"], _noise(key, kind, i, acc["b"]), size_a)).otherwise(acc["a"]).cast("long").alias("a"),
+            F.when(even, acc["b"]).otherwise(moved(acc["b"], _noise(key, kind, i, acc["a"]), size_b)).cast("long").alias("b"),
         )
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), one)
+    return F.aggregate(key.rounds(), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), one)
 
 
-def feistel_number(key: str, kind: str, x: Column, size_a: int, size_b: int) -> Column:
+def feistel_number(key: Key | str, kind: str, x: Column, size_a: int, size_b: int) -> Column:
     """A keyed permutation of the numbers below size_a * size_b."""
     return _let(feistel(key, kind, F.floor(x / F.lit(size_b)), x % size_b, size_a, size_b), lambda p: p["a"] * size_b + p["b"])
 
 
-def feistel_text(key: str, kind: str, text: Column) -> Column:
+def feistel_text(key: Key | str, kind: str, text: Column) -> Column:
     """Letters move among letters of their case and digits among digits; all else stays. Halves are moved in turn."""
+    key = _as_key(key)
 
     def shift(half: Column, other: Column, i: Column) -> Column:
         # 128 hex digits, two for each character, so long halves get more blocks, each for its 64 characters
         def block(k: Column) -> Column:
-            stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), k.cast("string"), other), 512)
+            stream = F.sha2(F.concat_ws("|", key.secret, F.lit(kind), i.cast("string"), k.cast("string"), other), 512)
             return _let(F.struct(stream.alias("stream"), F.substring(half, k * 64 + 1, F.lit(64)).alias("part")), lambda x: moved(x["stream"], x["part"]))
 
         def moved(stream: Column, part: Column) -> Column:
             def char(j: Column) -> Column:
                 c = F.substring(part, j, F.lit(1))
                 by = F.conv(F.substring(stream, j * 2 - 1, F.lit(2)), 16, 10).cast("int")
-                at = lambda alphabet: F.substring(F.lit(alphabet), (F.instr(F.lit(alphabet), c) - 1 + by) % len(alphabet) + 1, F.lit(1))
+                by = -by if key.back else by
+                at = lambda alphabet: F.substring(F.lit(alphabet), F.pmod(F.instr(F.lit(alphabet), c) - 1 + by, F.lit(len(alphabet))) + 1, F.lit(1))
                 return F.when(c.between("a", "z"), at(LOWER)).when(c.between("A", "Z"), at(UPPER)).when(c.between("0", "9"), at(DIGITS)).otherwise(c)
 
             return F.when(F.length(part) == 0, part).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), char), ""))
@@ -117,7 +137,7 @@ def feistel_text(key: str, kind: str, text: Column) -> Column:
         even = i % 2 == 0
         return F.struct(F.when(even, shift(acc["a"], acc["b"], i)).otherwise(acc["a"]).alias("a"), F.when(even, acc["b"]).otherwise(shift(acc["b"], acc["a"], i)).alias("b"))
 
-    return _let(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, one), lambda p: F.concat(p["a"], p["b"]))
+    return _let(F.aggregate(key.rounds(), start, one), lambda p: F.concat(p["a"], p["b"]))
 
 
 def _only_digits(m: Column) -> Column:
@@ -158,7 +178,7 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), one)
 
 
-def _card(key: str, m: Column) -> Column:
+def _card(key: Key, m: Column) -> Column:
     issuer = r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}|3(?:0[0-5]|[68][0-9])[0-9]{11}|35[0-9]{14}|6(?:011|5[0-9]{2}|4[4-9][0-9])[0-9]{12})$"
 
     def use(d: Column) -> Column:
@@ -178,7 +198,7 @@ def _card(key: str, m: Column) -> Column:
     return _let(_only_digits(m), use)
 
 
-def _iban(key: str, m: Column) -> Column:
+def _iban(key: Key, m: Column) -> Column:
     printed = F.contains(m, F.lit(" "))
     lengths = F.create_map(*[F.lit(x) for n, names in IBAN_LENGTHS.items() for c in names.split() for x in (c, n + (n - 1) // 4)])
     size = F.when(printed, lengths[F.substring(m, 1, 2)]).otherwise(F.length(m))
@@ -200,7 +220,7 @@ def _iban(key: str, m: Column) -> Column:
     return _let(F.regexp_replace(F.substring(m, F.lit(1), size), " ", ""), use)
 
 
-def _card_within(key: str, m: Column) -> Column:
+def _card_within(key: Key, m: Column) -> Column:
     """``m`` with its first card number replaced."""
 
     def use(card: Column) -> Column:
@@ -210,19 +230,18 @@ def _card_within(key: str, m: Column) -> Column:
     return _let(F.regexp_extract(m, CARD, 0), use)
 
 
-def _phone(key: str, m: Column) -> Column:
+def _phone(key: Key, m: Column) -> Column:
     def use(d: Column) -> Column:
         plus = m.startswith("+")
         national = F.when(plus & d.startswith("1") & (F.length(d) == 11), F.substring(d, 2, 10)).when(~plus & (F.length(d) == 10), d).when(~plus & d.startswith("1") & (F.length(d) == 11), F.substring(d, 2, 10))
         prefix = F.when(plus | (F.length(d) == 11), F.lit("1")).otherwise(F.lit(""))
 
         def american(x: Column) -> Column:
-            # first digits of area code and exchange stay among 0 and 1 or among 2 to 9, so assigned numbers stay such
+            # area codes from 200 stay such, and those below; the exchange stays from 200
             area, rest = _number(F.substring(x, 1, 3)), _number(F.substring(x, 4, 7))
-            low_a, low_b = F.when(area >= 200, 200).otherwise(0), F.when(rest >= 2_000_000, 2_000_000).otherwise(0)
-            size_a, size_b = F.when(area >= 200, 800).otherwise(200), F.when(rest >= 2_000_000, 8_000_000).otherwise(2_000_000)
-            p = feistel(key, "phone", area - low_a, rest - low_b, size_a, size_b)
-            return _let(p, lambda p: F.concat(prefix, F.lpad((p["a"] + low_a).cast("string"), 3, "0"), F.lpad((p["b"] + low_b).cast("string"), 7, "0")))
+            low, size = F.when(area >= 200, 200).otherwise(1), F.when(area >= 200, 800).otherwise(199)
+            p = feistel(key, "phone", area - low, rest - 2_000_000, size, 8_000_000)
+            return _let(p, lambda p: F.concat(prefix, F.lpad((p["a"] + low).cast("string"), 3, "0"), (p["b"] + 2_000_000).cast("string")))
 
         rest = F.substring(d, 3, 13)
         left = F.floor(F.length(rest) / 2).cast("int")
@@ -232,14 +251,14 @@ def _phone(key: str, m: Column) -> Column:
             return F.concat(F.substring(d, 1, 2), F.lpad(p["a"].cast("string"), left, "0"), F.lpad(p["b"].cast("string"), right, "0"))
 
         world = _let(feistel(key, "tel", _number(F.substring(rest, F.lit(1), left)), _number(F.substring(rest, left + 1, right)), F.pow(F.lit(10.0), left).cast("long"), F.pow(F.lit(10.0), right).cast("long")), abroad)
-        valid = national.isNotNull() & (plus | national.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"))
+        valid = national.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$") | plus & national.rlike("^(?!000)[0-9]{3}[2-9][0-9]{6}$")
         digits = F.when(valid, _let(national, american)).when(plus & ~d.startswith("1") & F.length(d).between(8, 15), world)
         return F.when(digits.isNotNull(), _refill(m, digits)).otherwise(m)
 
     return _let(_only_digits(m), use)
 
 
-def _ssn(key: str, m: Column) -> Column:
+def _ssn(key: Key, m: Column) -> Column:
     area, group, serial = (_number(F.substring(m, a, n)) for a, n in ((1, 3), (5, 2), (8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     p = feistel(key, "ssn", area - 1 - (area > 666).cast("long"), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
@@ -252,7 +271,7 @@ def _ssn(key: str, m: Column) -> Column:
     return F.when(valid, _let(p, show)).otherwise(m)
 
 
-def _date(key: str, m: Column) -> Column:
+def _date(key: Key, m: Column) -> Column:
     iso = m.substr(5, 1) == "-"
     day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(m, "dd/MM/yyyy"))
     first = F.lit("1800-01-01").cast("date")
@@ -276,7 +295,7 @@ def _date(key: str, m: Column) -> Column:
     return F.when(known(day), _let(day, lambda d: use(d, False))).when(known(american), _let(american, lambda d: use(d, True))).otherwise(m)
 
 
-def _ip(key: str, m: Column) -> Column:
+def _ip(key: Key, m: Column) -> Column:
     def use(o: Column) -> Column:
         p = feistel(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
         show = lambda p: F.concat_ws(".", *[x.cast("string") for half in (p["a"], p["b"]) for x in (F.floor(half / 256), half % 256)])
@@ -285,7 +304,7 @@ def _ip(key: str, m: Column) -> Column:
     return _let(F.transform(F.split(m, r"\."), lambda x: x.cast("long")), use)
 
 
-def _email(key: str, m: Column) -> Column:
+def _email(key: Key, m: Column) -> Column:
     local, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     names = F.split(host, r"\.")
     last = F.size(names)
@@ -293,7 +312,7 @@ def _email(key: str, m: Column) -> Column:
     return F.concat(feistel_text(key, "mail", local), F.lit("@"), F.array_join(moved, "."))
 
 
-def _secret(key: str, m: Column) -> Column:
+def _secret(key: Key, m: Column) -> Column:
     value = F.regexp_extract(m, "([A-Za-z0-9+/_-]{16,})$", 1)
     return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), feistel_text(key, "secret", value))
 
@@ -301,9 +320,9 @@ def _secret(key: str, m: Column) -> Column:
 _MOVE = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def pseudonym(key: str, found: Column) -> Column:
+def pseudonym(key: Key | str, found: Column) -> Column:
     """The pseudonym of one finding; the finding itself if it isn't valid."""
-    out = found
+    key, out = _as_key(key), found
     for kind in reversed(KINDS):
         out = F.when(found.rlike(f"^(?:{KINDS[kind]})$"), _MOVE[kind](key, found)).otherwise(out)
     return out
@@ -311,17 +330,28 @@ def pseudonym(key: str, found: Column) -> Column:
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with ``text_col`` pseudonymized; ``count_col`` gets the number of replaced findings."""
-    text = F.col(text_col)
+    return _replaced(docs, key, text_col, count_col, False)
+
+
+def restore(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """``docs`` with the pseudonyms in ``text_col`` turned back into what they stand for."""
+    return _replaced(docs, key, text_col, count_col, True)
+
+
+def _replaced(docs: DataFrame, secret: str, text_col: str, count_col: str | None, back: bool) -> DataFrame:
+    keys = docs.sparkSession.createDataFrame([(secret,)], "_key string")
+    rows = docs.select(F.struct("*").alias("_row")).crossJoin(F.broadcast(keys))  # one row
+    key, text = Key(F.col("_key"), back), F.col("_row").getField(text_col)
     # texts without a digit, an @ or a sign of a secret have no finding; only the others meet the large pattern
     maybe = text.rlike(r"[0-9@]|[=:]")
     found = F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn("_found", found)
+    rows = rows.withColumn("_found", found)
     rows = rows.withColumn("_new", F.transform("_found", lambda m: pseudonym(key, m)))
     between = F.split(text, ANY, -1)
     whole = F.concat(F.get(between, F.lit(0)), F.array_join(F.zip_with(F.col("_new"), F.slice(between, F.lit(2), F.greatest(F.size(between), F.lit(1))), lambda a, b: F.concat(a, b)), ""))
     rows = rows.withColumn("_text", F.when(F.size("_found") > 0, whole).otherwise(text))
+    columns = [F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns if c != count_col]
     if count_col:
         changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-        rows = rows.withColumn(count_col, F.when(text.isNull(), F.lit(0)).otherwise(changed).cast("long"))
-    keep = [c for c in docs.columns if c != count_col]
-    return rows.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in keep], *([count_col] if count_col else []))
+        columns.append(F.when(text.isNull(), F.lit(0)).otherwise(changed).cast("long").alias(count_col))
+    return rows.select(*columns)
