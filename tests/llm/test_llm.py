@@ -397,30 +397,61 @@ def test_every_pseudonym_leads_back(spark, documents):
 # --- search ----------------------------------------------------------------------------------------------------------
 
 
-def test_top_k(spark):
-    rng = np.random.default_rng(5)
-    rows = [(i, [float(x) for x in rng.normal(size=8) * (i % 3 + 0.1)]) for i in range(500)]
-    rows += [(500, None), (600, [float("nan")] * 8), (700, [None] * 8), (800, rows[0][1]), (900, []), (None, rows[1][1]), (7, rows[7][1])]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 10).collect()
+def plain_top_k(rows, k=10):
     clean = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     expected = []
     for q, v in clean:
         if q % 100 == 0:
-            scored = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in clean if i != q))[:10]
-            expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
-    assert sorted(map(tuple, got)) == sorted(expected)
+            scored = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in clean if i != q))[:k]
+            expected += [(q, j + 1, i, -s) for j, (s, i) in enumerate(scored)]
+    return sorted(expected)
+
+
+@pytest.mark.parametrize("block, sample, pivots", [(4096, 2048, 128), (64, 40, 6), (64, 5, 128)])
+def test_top_k(spark, monkeypatch, block, sample, pivots):
+    for name, value in (("BLOCK", block), ("QUERY_BLOCK", block // 16), ("SAMPLE", sample), ("PIVOTS", pivots)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8) * (i % 3 + 0.1) + 40 * np.eye(8)[i % 7]]) for i in range(500)]
+    rows += [(500, None), (600, [float("nan")] * 8), (700, [None] * 8), (800, rows[0][1]), (900, []), (None, rows[1][1]), (7, rows[7][1]), (1000, [3.0] * 11)]
+    rows += [(1100, [2.0**25] * 8)] * (block == 64)  # beyond exact doubles: all of its pairs are summed as integers
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, rank int")
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0, 10).collect())) == plain_top_k(rows)
+
+
+def test_top_k_of_an_empty_table(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).count() == 0
 
 
 def test_top_k_stops_exactly_and_early():
     rng = np.random.default_rng(6)
-    x = rng.integers(-50, 50, (3000, 4)).astype(float)
+    middle = rng.integers(-3000, 3000, (30, 16))
+    x = (np.repeat(middle, 100, axis=0) + rng.integers(-40, 40, (3000, 16))).astype(float)  # thirty groups
     ids = np.arange(3000)
-    got = topk.search_block(ids[:5], x[:5], ids, x, 10)
-    for q in range(5):
-        scores = x @ x[q]
-        best = [i for i in np.lexsort((ids, -scores)) if i != q][:10]
-        assert [(a, b, c) for a, b, c in got if a == q] == [(q, i, int(scores[i])) for i in best]
+    pivots = topk.choose_pivots(x[::7], 64)
+    table = topk.distances(x, pivots)
+    for floors in (np.full(5, -np.inf), np.sort(x[:5] @ x[::7].T, 1)[:, -11]):
+        seen = []
+        got = topk.search_block(ids[:5], x[:5], table[:, :5], floors, ids, x, table, 10, seen)
+        for q in range(5):
+            scores = x @ x[q]
+            best = [i for i in np.lexsort((ids, -scores)) if i != q][:10]
+            assert [(a, b, c) for a, b, c in got if a == q] == [(q, i, int(scores[i])) for i in best]
+        assert max(seen) < 0.3 * len(x)
+
+
+def test_blocks_out_of_reach_are_not_moved(spark, monkeypatch):
+    for name, value in (("BLOCK", 50), ("QUERY_BLOCK", 4)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(8)
+    middle = 10 * rng.normal(size=(40, 12))
+    rows = [(i, [float(v) for v in middle[i % 40] + 0.01 * rng.normal(size=12)]) for i in range(2000)]
+    moved = []
+    monkeypatch.setattr(topk, "written", lambda df, name, write=topk.written: moved.append((name, out := write(df, name))) or out)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 10).collect()
+    tables = dict(moved)
+    assert sorted(map(tuple, got)) == plain_top_k(rows)
+    assert tables["reached"].count() < 0.5 * tables["candidates"].count() * tables["probes"].count()
 
 
 # --- classifiers -----------------------------------------------------------------------------------------------------
