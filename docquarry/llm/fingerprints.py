@@ -10,8 +10,8 @@ Three lanes lie in one long, each with a guard bit that is cleared after an addi
 ``insert`` and ``delete`` change a fingerprint without the rest of the text.
 
 Defined results: null text is the empty text, which has one empty paragraph; equal texts have equal fingerprints;
-rows with a null id come first; rows of equal id are ordered by text; an empty table gives no rows; in a table of one
-row the next document is the row itself.
+rows with a null id come first; rows of equal id are ordered by a hash of the text, then by text; an empty table gives no
+rows; in a table of one row the next document is the row itself; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,49 +100,66 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - total.cast("double") / (F.lit(lanes) * (a["n"] + b["n"])).cast("double")))
 
 
-def with_next(docs: DataFrame, columns: list[str], id_col: str, blocks: int) -> DataFrame:
-    """Adds ``next_<column>`` of the row with the next id (after the last: the first) with one shuffle of the rows.
+#: Bytes of a block of texts that the number of blocks aims at, and bounds of that number.
+BLOCK_BYTES, LEAST_BLOCKS, MOST_BLOCKS = 128 << 20, 256, 65_536
 
-    Ids are cut into ``blocks`` ranges at their approximate quantiles (``blocks`` numbers on the driver). Each range's
-    first row is also dealt to the range before, as that one's last successor, so a window over a range is complete.
-    """
-    spark = docs.sparkSession
-    marks = [i / blocks for i in range(1, blocks)]
-    cuts = docs.agg(F.percentile_approx(id_col, marks, 100 * blocks)).first()[0] or []
+
+def _block_count(docs: DataFrame) -> int:
+    """From the size that the plan's statistics tell, without a scan."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_BLOCKS, max(LEAST_BLOCKS, -(-size // BLOCK_BYTES)))
+
+
+def _block_number(id_: Column, hash_: Column, cuts: list[int]) -> Column:
+    """The block of a row: the number of cuts up to the id, looked up in two steps, and for null ids and ids that fill more
+    than one block a part of them by the high bits of the hash."""
+    part = F.shiftright(hash_, 56) + 128
+    heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
     cuts = sorted(set(cuts))
-    if cuts:
-        block = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col(id_col)))
+    literal = lambda values: F.array(*[F.lit(c).cast("long") for c in values])
+    below = lambda values: F.size(F.filter(values, lambda c: c <= id_))
+    if len(cuts) <= 256:
+        block = below(literal(cuts)) if cuts else F.lit(0)
     else:
-        block = F.lit(0)
-    rows = docs.withColumn("_block", F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(block).cast("int"))
-    least = F.struct(F.col(id_col).isNotNull().alias("has"), F.col(id_col).alias("id"))
-    firsts = rows.groupBy("_block").agg(F.min(least).alias("_least"))  # a row for each block
-    order = Window.orderBy("_block")
-    firsts = firsts.select("_block", "_least", F.coalesce(F.lag("_block").over(order), F.max("_block").over(Window.partitionBy(F.lit(1)))).alias("_before"))
-    firsts = written(firsts, "blocks")
-    ids = rows.join(F.broadcast(firsts), "_block")
-    is_first = F.struct(F.col(id_col).isNotNull().alias("has"), F.col(id_col).alias("id")) == F.col("_least")
-    places = F.when(is_first, F.array(F.struct(F.col("_block").alias("b"), F.lit(0).alias("guest")), F.struct(F.col("_before").alias("b"), F.lit(1).alias("guest")))).otherwise(
-        F.array(F.struct(F.col("_block").alias("b"), F.lit(0).alias("guest")))
-    )
-    dealt = ids.select(id_col, *columns, F.explode(places).alias("_at")).select(id_col, *columns, F.col("_at.b").alias("_block"), F.col("_at.guest").alias("_guest"))
-    window = Window.partitionBy("_block").orderBy("_guest", F.col(id_col).asc_nulls_first(), columns[0])
-    out = dealt
-    for c in columns:
-        out = out.withColumn(f"next_{c}", F.lead(c).over(window))
-    return out.where("_guest = 0").drop("_guest", "_block")
+        groups = [cuts[i : i + 256] for i in range(0, len(cuts), 256)]
+        group = F.greatest(below(literal(g[0] for g in groups)) - 1, F.lit(0))
+        block = _bound(group, lambda g: g * 256 + below(F.get(F.array(*[literal(x) for x in groups]), g)))
+    inside = F.when(id_.isin(heavy), part).otherwise(F.lit(256)) if heavy else F.lit(256)
+    return F.when(id_.isNull(), part - 512).otherwise(block * 512 + inside).cast("long")
+
 
+def with_next(docs: DataFrame, id_col: str, text_col: str, blocks: int | None = None) -> DataFrame:
+    """id, text, fp and those of the row with the next id (after the last: the first), with one shuffle of the texts.
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int = 256) -> DataFrame:
+    Ids are cut into ranges at their approximate quantiles; how many follows from the bytes of the table. Null ids, and ids
+    that alone fill more than one range, are cut further by a hash of the text. One copy of each block's first row is also
+    dealt to the block before, as its last row's successor, so a window over a block is complete.
+    """
+    blocks = blocks or _block_count(docs)
+    cuts = docs.agg(F.percentile_approx(id_col, [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0] if blocks > 1 else []
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("block", _block_number(F.col("id").cast("long"), F.col("hash"), cuts or []))
+    place = F.struct(F.col("id").isNotNull().alias("has"), F.col("id").alias("id"), F.col("hash").alias("hash"))
+    firsts = rows.groupBy("block").agg(F.min(place).alias("least"))  # a row for each block
+    before = F.coalesce(F.lag("block").over(Window.orderBy("block")), F.max("block").over(Window.partitionBy(F.lit(1))))
+    firsts = written(firsts.select("block", "least", before.alias("before")), "blocks")
+    guests = rows.withColumn("place", place).join(F.broadcast(firsts), "block").where(F.col("place").eqNullSafe(F.col("least"))).dropDuplicates(["block"])
+    fp = vector(F.col("text")).alias("fp")
+    dealt = rows.select("id", "text", "hash", "block", F.lit(0).alias("guest"), fp).union(guests.select("id", "text", "hash", F.col("before").alias("block"), F.lit(1).alias("guest"), fp))
+    window = Window.partitionBy("block").orderBy("guest", F.col("id").asc_nulls_first(), "hash", "text")
+    following = F.lead(F.struct("text", "fp")).over(window)
+    return dealt.select("id", "text", "fp", "guest", following.alias("next")).where("guest = 0").drop("guest")
+
+
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last half gives way to the next document's beginning."""
-    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("fp", vector(F.col("text")))
-    rows = with_next(base, ["text", "fp"], id_col, blocks)
+    rows = with_next(docs.select(id_col, text_col), id_col, text_col, blocks)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
-    rows = rows.select(id_col, n.cast("long").alias("n_chars"), "fp", "next_fp", F.sha2("edited", 256).alias("edited_sha256"), vector(F.col("edited")).alias("edited_fp"))
+    rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half)))
+    rows = rows.select("id", n.cast("long").alias("n_chars"), "fp", F.col("next.fp").alias("next_fp"), F.sha2("edited", 256).alias("edited_sha256"), vector(F.col("edited")).alias("edited_fp"))
     return rows.select(
-        id_col,
+        F.col("id").alias(id_col),
         "n_chars",
         "edited_sha256",
         as_hex(F.col("fp")).alias("fingerprint"),
