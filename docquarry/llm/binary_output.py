@@ -12,8 +12,9 @@ is found by a scan of a few bytes: about 2 + log2(ids / documents) bits for each
 Images are rows of a Parquet dataset in the shared folder (part, number, doc_ids, image), so any store that Spark writes to
 will do, and each is bounded by ``image_ids`` ids and ``image_docs`` documents (a longer document is an image alone).
 
-Defined results: null text is the empty text, one end id; null ids come first; equal ids are ordered by text; repeated
-rows have a place each; an empty table gives no files and no rows; other columns are ignored.
+Defined results: null text is the empty text, one end id; null ids come first; equal ids are ordered by a hash of the
+text, then by text (so one id may fill many ranges); repeated rows have a place each; an id of the vocabulary that doesn't fit
+the width is an error; an empty table gives no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,6 +86,8 @@ class EliasFano:
 
 
 def write_image(documents: list[np.ndarray], first: int, width: int) -> bytes:
+    if any(len(x) and int(x.max()) >> 8 * width for x in documents):
+        raise ValueError(f"an id doesn't fit {width} bytes")
     ends = np.cumsum([len(x) for x in documents])
     total = int(ends[-1]) if len(ends) else 0
     ef = EliasFano.of(ends, total)
@@ -114,7 +117,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, kind: str = "
     The texts are range-partitioned by id, so a partition's files follow the one before it.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    order = [F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first()]
+    order = [F.col(id_col).asc_nulls_first(), F.xxhash64(text_col), F.col(text_col).asc_nulls_first()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(kind, path)
@@ -148,8 +151,8 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, kind: str = "
         if held:
             yield image()
 
-    # ranges are found from ids alone: a sample of them goes to the driver
-    ordered = docs.select(id_col, text_col).repartitionByRange(order[0]).sortWithinPartitions(*order)
+    # ranges are found from ids and hashes: a sample of those, not of texts, goes to the driver
+    ordered = docs.select(id_col, text_col).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     return written(ordered.mapInArrow(run, f"part int, number int, n_ids long, doc_ids array<{id_type}>, image binary"), "tokens")
 
 
@@ -164,7 +167,8 @@ def read_token_files(images: DataFrame, id_col: str = "doc_id", with_ids: bool =
         for batch in batches:
             for k in range(batch.num_rows):
                 image = Image(batch.column(2)[k].as_py())
-                ends = image.ends.all()
+                # offsets come one by one from the select structure; no table of them is unpacked
+                ends = np.fromiter(map(image.ends.select, range(image.documents)), np.int64, image.documents)
                 starts = np.r_[0, ends[:-1]]
                 ids = image.ids.astype("<u4")
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends)]

@@ -14,10 +14,16 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only where it is unset (local mode, tests) a temporary folder is made and set.
+    A folder given to ``SparkContext.setCheckpointDir`` will do too. Only in local mode, where both are unset, a temporary
+    folder is made and set; on a cluster that is an error, since executors don't see the driver's folders.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            return given.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="docquarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

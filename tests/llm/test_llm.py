@@ -74,6 +74,30 @@ def test_fingerprints(spark, documents):
     assert all(len(v) == 1 for v in by_text.values()) and len({v.pop() for v in by_text.values()}) == len(by_text)
 
 
+@pytest.mark.parametrize("blocks", [1, 3, 40, 600])
+def test_every_row_meets_the_next(spark, blocks):
+    rng = random.Random(blocks)
+    rows = [(rng.choice([None, 7, 7, 7, i, i - 500]), f"text {rng.randint(0, 60)}", i) for i in range(400)] + [(9000, None, 0), (None, "", 0)]
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string, block int").select("doc_id", "text"), "doc_id", "text", blocks).collect()
+    # whatever the order of equal ids, each row follows one and the ids follow in order
+    key = lambda i: (i is not None, i or 0)
+    assert sorted(((r.id, r.text) for r in got), key=repr) == sorted(((i, t or "") for i, t, _ in rows), key=repr)
+    assert sorted(r.next.text for r in got) == sorted(r.text for r in got)
+    ids = sorted((r[0] for r in rows), key=key)
+    after = {a: b for a, b in zip(ids, [*ids[1:], ids[0]])}
+    by_id = defaultdict(set)
+    for r in got:
+        by_id[r.id].add(r.text)
+    assert all(r.next.text in by_id[r.id] | by_id[after[r.id]] for r in got)
+
+
+def test_hot_ids_are_split(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(5)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / 64 for i in range(1, 64)], 640)).first()[0]
+    dealt = docs.select(fingerprints._block_number(F.col("doc_id"), F.xxhash64("text"), cuts).alias("b")).groupBy("b").count()
+    assert dealt.agg(F.max("count")).first()[0] < 100
+
+
 def test_fingerprint_changes_by_one_paragraph(spark):
     v = lambda t: fingerprints.vector(F.lit(t))
     r = spark.range(1).select(
@@ -131,6 +155,8 @@ def test_elias_fano():
     docs = [np.array([1, 2, 3], np.uint32), np.array([], np.uint32), np.array([65535], np.uint32)]
     image = binary_output.Image(binary_output.write_image(docs, 7, 2))
     assert [image.document(i).tolist() for i in range(3)] == [[1, 2, 3], [], [65535]] and image.first == 7
+    with pytest.raises(ValueError):
+        binary_output.write_image([np.array([65536], np.uint32)], 0, 2)
 
 
 @pytest.mark.parametrize("docs_each", [1024, 3])
