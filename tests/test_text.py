@@ -87,7 +87,3 @@ def test_snippets_stay_in_bounds_and_mark_originals():
     assert U.snippet("abc", ["x"], []) == {"start": 0, "end": 3, "matches": []}
 
 
-def test_proximity():
-    assert U.term_distance("a x b", ["a", "b"]) == 5
-    assert U.term_distance("a x", ["a", "b"]) is None
-    assert U.proximity_bonus(180) == 60 and U.proximity_bonus(181) == 0
