@@ -33,6 +33,11 @@ def _or_empty(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
+def bound(values: dict[str, Column], use) -> Column:
+    """``use(x)`` where x has each of ``values`` as a field, computed once however often it is used."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), use), F.lit(0))
+
+
 def squeeze(value: Column) -> Column:
     """White space runs become one blank; none at the ends."""
     return F.regexp_replace(F.regexp_replace(value, f"[{SPACE}]+", " "), "^ | $", "")
@@ -113,19 +118,27 @@ def layout_spaces(line: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Lines joined into paragraphs: a new one after an empty line, after a sentence's end and at an item's start."""
-    lines = F.split(F.regexp_replace(_or_empty(text), "\r\n?", "\n"), "\n", -1)
-    lines = F.transform(lines, layout_spaces)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def add(acc: Column, line: Column) -> Column:
-        opened = acc["open"]
-        fresh = (opened == "") | line.rlike(ITEM_START) | opened.rlike("[。！？]$")
-        glue = F.when(opened.rlike("[A-Za-z0-9]$") & line.rlike("^[A-Za-z0-9]"), F.lit(" ")).otherwise(F.lit(""))
-        closed = F.when((opened != "") & (fresh | (line == "")), F.concat(acc["done"], F.array(opened))).otherwise(acc["done"])
-        return F.struct(closed.alias("done"), F.when(line == "", F.lit("")).when(fresh, line).otherwise(F.concat(opened, glue, line)).alias("open"))
-
-    return F.aggregate(lines, start, add, lambda acc: F.when(acc["open"] != "", F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
+    """Lines joined into paragraphs: a new one after an empty line, after a sentence's end and at an item's start.
+
+    Whether a line begins a paragraph shows from it and the line before, so all breaks are marked in one pass and the
+    lines between two breaks are joined: the work grows with the text, not with its square.
+    """
+    lines = F.transform(F.split(F.regexp_replace(_or_empty(text), "\r\n?", "\n"), "\n", -1), layout_spaces)
+
+    def marked(before: Column, line: Column) -> Column:
+        fresh = (before == "") | line.rlike(ITEM_START) | before.rlike("[。！？]$")
+        glue = F.when(~fresh & before.rlike("[A-Za-z0-9]$") & line.rlike("^[A-Za-z0-9]"), F.lit(" ")).otherwise(F.lit(""))
+        return F.struct(fresh.alias("fresh"), F.concat(glue, line).alias("piece"), (line == "").alias("empty"))
+
+    pairs = bound({"l": lines}, lambda x: F.zip_with(F.concat(F.array(F.lit("")), F.slice(x["l"], F.lit(1), F.size(x["l"]) - 1)), x["l"], marked))
+    kept = F.filter(pairs, lambda x: ~x["empty"])
+
+    def joined(x: Column) -> Column:
+        n = F.size(x["k"])
+        begins = F.filter(F.transform(x["k"], lambda y, i: F.when(y["fresh"], i + 1)), lambda i: i.isNotNull())
+        return bound({"k": x["k"], "b": begins, "n": n}, lambda y: F.transform(y["b"], lambda i, j: F.array_join(F.transform(F.slice(y["k"], i, F.coalesce(F.get(y["b"], j + 1), y["n"] + 1) - i), lambda z: z["piece"]), "")))
+
+    return bound({"k": kept}, joined)
 
 
 def display_text(raw: Column, printed: Column) -> Column:

@@ -49,6 +49,12 @@ def bracket_headers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("【[^】]+】"), F.lit(0))
 
 
+def loose_references(pages: DataFrame, key: str, text: str, nfkc=None) -> DataFrame:
+    """A row for each document number in running text: key, place on the page and the number without blanks."""
+    found = F.regexp_extract_all(F.col(text), F.lit(LOOSE_NUMBER), F.lit(0))
+    return pages.select(key, F.posexplode(found).alias("place", "raw")).select(key, "place", X.canonical_source_number(F.col("raw"), nfkc).alias("document_number"))
+
+
 def subject(body: Column) -> Column:
     """The subject of a letter, at most 240 characters; null without one."""
     got = F.regexp_extract(body, "(?s)主旨\\s*[：:]\\s*(.+?)(?=\n(?:說明|依據|公告事項)\\s*[：:]|\n函令摘要|$)", 1)

@@ -8,56 +8,84 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def _has(column: Column, part: Column) -> Column:
-    return F.contains(column, part)
+# Fixed value: digits that a query must have to be taken for a number.
+LEAST_DIGITS = 4
 
 
 def letter_score(query: Column, canonical: Column, number: Column, title: Column, header: Column, program: Column) -> Column:
-    """Letters: number, title, program, header, body."""
-    q, d = X.lookup_form(query), X.digits(query)
-    body = X.lookup_form(F.concat_ws(" ", title, header, program))
-    return (
-        F.when(q == "", 0)
-        .when((d != "") & (d == X.digits(canonical)), 100000)
-        .when((d != "") & (d == X.digits(number)), 90000)
-        .when(X.lookup_form(title) == q, 80000)
-        .when(_has(X.lookup_form(title), q), 70000)
-        .when(_has(X.lookup_form(program), q), 50000)
-        .when(_has(X.lookup_form(header), q), 40000)
-        .when(_has(body, q), 30000)
-        .otherwise(0)
-    )
+    """Letters: number (of four digits or more), title, program, header, body."""
+    forms = {
+        "q": X.lookup_form(query), "d": X.digits(query), "c": X.digits(canonical), "n": X.digits(number), "t": X.lookup_form(title),
+        "p": X.lookup_form(program), "h": X.lookup_form(header), "b": X.lookup_form(F.concat_ws(" ", title, header, program)),
+    }
+
+    def tiers(x: Column) -> Column:
+        numeric = F.length(x["d"]) >= LEAST_DIGITS
+        return (
+            F.when(x["q"] == "", 0)
+            .when(numeric & (x["d"] == x["c"]), 100000)
+            .when(numeric & (x["d"] == x["n"]), 90000)
+            .when(x["t"] == x["q"], 80000)
+            .when(F.contains(x["t"], x["q"]), 70000)
+            .when(F.contains(x["p"], x["q"]), 50000)
+            .when(F.contains(x["h"], x["q"]), 40000)
+            .when(F.contains(x["b"], x["q"]), 30000)
+            .otherwise(0)
+        )
+
+    return X.bound(forms, tiers)
 
 
 def question_score(query: Column, question: Column, answer: Column) -> Column:
     """Questions: the question, then question and answer."""
-    q = X.lookup_form(query)
-    return F.when(q == "", 0).when(_has(X.lookup_form(question), q), 60000).when(_has(X.lookup_form(F.concat_ws(" ", question, answer)), q), 40000).otherwise(0)
+    forms = {"q": X.lookup_form(query), "t": X.lookup_form(question), "b": X.lookup_form(F.concat_ws(" ", question, answer))}
+    return X.bound(forms, lambda x: F.when(x["q"] == "", 0).when(F.contains(x["t"], x["q"]), 60000).when(F.contains(x["b"], x["q"]), 40000).otherwise(0))
 
 
 def update_score(query: Column, title: Column, number: Column, programs: Column, sections: Column, body: Column) -> Column:
     """Updates: number, title, programs, sections, body, then all of at least two words in the body."""
-    q = X.lookup_form(query)
     words = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(query, F.lit("")), f"[{X.SPACE}{X.TOKEN_SEPARATORS}]+"), X.lookup_form), lambda t: t != ""))
-    n, b = X.number_query(query), X.lookup_form(body)
-    return (
-        F.when(q == "", 0)
-        .when(q.rlike("^[0-9]+$") & (F.length(q) < 6), 0)
-        .when((n != "") & (n == X.official_number(number)), 100000)
-        .when(X.lookup_form(title) == q, 90000)
-        .when(_has(X.lookup_form(title), q), 80000)
-        .when(_has(X.lookup_form(programs), q), 70000)
-        .when(_has(X.lookup_form(sections), q), 65000)
-        .when(_has(b, q), 50000)
-        .when((F.size(words) >= 2) & F.forall(words, lambda t: _has(b, t)), F.lit(30000) + F.size(words))
-        .otherwise(0)
-    )
+    forms = {
+        "q": X.lookup_form(query), "n": X.number_query(query), "o": X.official_number(number), "t": X.lookup_form(title), "p": X.lookup_form(programs),
+        "s": X.lookup_form(sections), "b": X.lookup_form(body), "w": words,
+    }
+
+    def tiers(x: Column) -> Column:
+        return (
+            F.when(x["q"] == "", 0)
+            .when(x["q"].rlike("^[0-9]+$") & (F.length(x["q"]) < 6), 0)
+            .when((x["n"] != "") & (x["n"] == x["o"]), 100000)
+            .when(x["t"] == x["q"], 90000)
+            .when(F.contains(x["t"], x["q"]), 80000)
+            .when(F.contains(x["p"], x["q"]), 70000)
+            .when(F.contains(x["s"], x["q"]), 65000)
+            .when(F.contains(x["b"], x["q"]), 50000)
+            .when((F.size(x["w"]) >= 2) & F.forall(x["w"], lambda t: F.contains(x["b"], t)), F.lit(30000) + F.size(x["w"]))
+            .otherwise(0)
+        )
+
+    return X.bound(forms, tiers)
+
+
+def scored_rows(rows: DataFrame, query: Column, score: Column) -> DataFrame:
+    """Rows with a score above 0, worked out once for each; all rows for the empty query, none for one of punctuation alone."""
+    kept = F.filter(F.array(score.cast("long")), lambda s: (F.coalesce(query, F.lit("")) == "") | (s > 0))
+    return rows.withColumn("score", F.explode(kept))
 
 
 def looked_up(rows: DataFrame, query: Column, score: Column, *ties: Column) -> DataFrame:
-    """Rows with a score, ranked; all rows for the empty query, none for one of punctuation alone."""
-    kept = rows.withColumn("score", score.cast("long")).where((F.coalesce(query, F.lit("")) == "") | (F.col("score") > 0))
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *ties)))
+    """``scored_rows``, ranked. The rank of one lookup's results is one task's work: filter or limit it for a page."""
+    return scored_rows(rows, query, score).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *ties)))
+
+
+def update_order() -> list[Column]:
+    """The order of found updates: score, then date (none last), then id, then place."""
+    return [F.desc("score"), F.desc(F.coalesce("event_date", F.lit(""))), F.col("id"), F.col("ord")]
+
+
+def filter_group(rows: DataFrame, group: str = "", column: str = "group_id") -> DataFrame:
+    """Rows of one group; all for an empty choice."""
+    return rows.where(F.col(column) == group) if group else rows
 
 
 def ranked_in_groups(rows: DataFrame, group: str, *order: Column) -> DataFrame:

@@ -1,7 +1,8 @@
 """Interval and lookup joins that tell which owner a page, section or form belongs to.
 
-Dimensions are small tables of closed intervals. Up to ``EXPAND`` pages in all, they are spread out to single pages
-and joined by equality (a broadcast hash join where small); wider ones are compared by a range condition.
+Dimensions are small tables of closed intervals; a null end is open. Intervals are cut to the span of the points and dealt to
+buckets of a width that makes at most about ``EXPAND`` of them, so a point meets the intervals of its bucket by equality
+(a broadcast hash join where small) and is then compared with their ends.
 """
 
 from __future__ import annotations
@@ -9,17 +10,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Buckets that all intervals are spread to, about.
+EXPAND = 1_000_000
+
+
+def _met(points: DataFrame, point: str, intervals: DataFrame, low: str, high: str) -> DataFrame:
+    """Points with all intervals that hold them, as _low and _high beside the intervals' columns."""
+    span = points.agg(F.min(point).cast("long").alias("a"), F.max(point).cast("long").alias("b")).first()
+    first, last = (0, -1) if span["a"] is None else (span["a"], span["b"])
+    cut = intervals.withColumn("_low", F.greatest(F.coalesce(F.col(low).cast("long"), F.lit(first)), F.lit(first)))
+    cut = cut.withColumn("_high", F.least(F.coalesce(F.col(high).cast("long"), F.lit(last)), F.lit(last))).where("_low <= _high")
+    total = cut.agg(F.sum(F.col("_high") - F.col("_low") + 1)).first()[0] or 0
+    width = max(1, -(-total // EXPAND))
+    bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    spread = cut.withColumn("_bucket", F.explode(F.sequence(bucket("_low"), bucket("_high"))))
+    met = points.withColumn("_bucket", F.floor(F.col(point) / F.lit(width)).cast("long")).join(spread, "_bucket")
+    return met.where((F.col(point) >= F.col("_low")) & (F.col(point) <= F.col("_high"))).drop("_bucket", "_low", "_high")
+
 
 def interval_members(points: DataFrame, point: str, intervals: DataFrame, low: str, high: str) -> DataFrame:
     """Every point with every closed interval that holds it (points without one are left out)."""
-    spread = intervals.where(F.col(low) <= F.col(high)).withColumn("_at", F.explode(F.sequence(low, high)))
-    return points.join(spread, points[point] == spread["_at"]).drop("_at")
+    return _met(points, point, intervals, low, high)
 
 
 def first_owner(points: DataFrame, key: str, point: str, intervals: DataFrame, low: str, high: str, order: str, owner: str, alias: str = "owner") -> DataFrame:
     """``points`` with the first interval (by ``order``) that holds each point; null without one."""
-    spread = intervals.where(F.col(low) <= F.col(high)).select(F.explode(F.sequence(low, high)).alias("_at"), F.struct(F.col(order).alias("o"), F.col(owner).alias("w")).alias("s"))
-    best = spread.groupBy("_at").agg(F.min("s")["w"].alias(alias))
+    slim = intervals.select(F.col(low).alias("_l"), F.col(high).alias("_h"), F.struct(F.col(order).alias("o"), F.col(owner).alias("w")).alias("_s"))
+    at = points.select(F.col(point).alias("_at")).where("_at IS NOT NULL").distinct()
+    best = _met(at, "_at", slim, "_l", "_h").groupBy("_at").agg(F.min("_s")["w"].alias(alias))
     return points.join(best, points[point] == best["_at"], "left").drop("_at")
 
 
@@ -32,7 +50,7 @@ def chapter(points: DataFrame, point: str, ranges: DataFrame, default: str = "un
 def with_override(rows: DataFrame, overrides: DataFrame, key: str, value: str, *fallbacks: Column, alias: str = "owner") -> DataFrame:
     """The override where the key has one, even if that is null; else the first fallback that isn't null."""
     o = overrides.select(F.col(key).alias("_key"), F.col(value).alias("_value"), F.lit(True).alias("_has"))
-    out = rows.join(F.broadcast(o), rows[key] == o["_key"], "left")
+    out = rows.join(o, rows[key] == o["_key"], "left")  # Spark broadcasts it where its size allows
     return out.withColumn(alias, F.when(F.col("_has"), F.col("_value")).otherwise(F.coalesce(*fallbacks))).drop("_key", "_value", "_has")
 
 

@@ -115,7 +115,8 @@ def nearest_rank(column: str, share: float) -> Column:
     return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {column})")
 
 
-def floor_rank(column: str, share: float) -> Column:
-    """The value at place floor(n * share), counted from 0, at most the last. For small groups: it gathers a group's values."""
-    values = F.array_sort(F.collect_list(column))
-    return F.element_at(values, F.least(F.size(values) - 1, F.floor(F.size(values) * F.lit(share)).cast("int")) + 1)
+def at_floor_rank(rows: DataFrame, group: str, column: str, share: float, alias: str) -> DataFrame:
+    """The value at place floor(n * share) of each group, counted from 0, at most the last. No group is gathered in a row."""
+    w = Window.partitionBy(group)
+    placed = rows.where(F.col(column).isNotNull()).select(group, F.col(column).alias(alias), (F.row_number().over(w.orderBy(column)) - 1).alias("_at"), F.count("*").over(w).alias("_n"))
+    return placed.where(F.col("_at") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(share)))).drop("_at", "_n")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def parquet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,12 +37,23 @@ def is_pdf(content: Column) -> Column:
     return F.substring(content, 1, 4) == F.lit(b"%PDF")
 
 
-def html_text(html: Column, between: str = " ") -> Column:
-    """Text of HTML: tags give way to ``between``, the five named entities to their characters."""
-    bare = F.regexp_replace(html, "<[^>]+>", between)
+@F.pandas_udf(T.StringType())
+def _unescaped(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else unescape(v))
+
+
+def unescape_entities(value: Column) -> Column:
+    """Named and numbered entities to their characters. Texts with the five commonest alone stay in the JVM."""
+    plain = value
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(name), F.lit(char))
-    return bare
+        plain = F.replace(plain, F.lit(name), F.lit(char))
+    other = value.rlike("&(?!(?:lt|gt|quot|amp|#39);)[#A-Za-z]") | value.rlike("&amp;(?:[#A-Za-z])")
+    return F.when(other, _unescaped(F.when(other, value))).otherwise(plain)
+
+
+def html_text(html: Column, between: str = " ") -> Column:
+    """Text of HTML: tags give way to ``between``, entities to their characters."""
+    return unescape_entities(F.regexp_replace(html, "<[^>]+>", between))
 
 
 def html_attributes(html: Column, name: str, tag: str = "[a-zA-Z][a-zA-Z0-9]*") -> Column:
@@ -59,10 +72,11 @@ def url_parameter(url: Column, name: str) -> Column:
     return F.coalesce(F.try_url_decode(F.parse_url(url, F.lit("QUERY"), F.lit(name))), F.lit(""))
 
 
-def allowed_value(value: Column, options: DataFrame, option: str) -> Column:
-    """The value if it is one of a (small, distinct) set of options, else ''. ``options`` is collected into one row."""
-    allowed = [r[0] for r in options.select(option).distinct().limit(10_000).collect()]
-    return F.when(value.isin(*allowed), value).otherwise(F.lit(""))
+def with_allowed(rows: DataFrame, column: str, options: DataFrame, option: str) -> DataFrame:
+    """``rows`` with '' in ``column`` wherever its value is none of the options, however many there are."""
+    known = options.select(F.col(option).alias("_option")).distinct()
+    met = rows.join(known, rows[column] == known["_option"], "left")
+    return met.withColumn(column, F.coalesce("_option", F.lit(""))).drop("_option")
 
 
 class _Cards(HTMLParser):
@@ -78,7 +92,7 @@ class _Cards(HTMLParser):
         value = dict(attrs).get(self.attribute)
         row = None
         if value is not None:
-            row = [value, tag, len([s for s in self.stack if s[1] is not None]), ""]
+            row = [value, tag, len([s for s in self.stack if s[1] is not None]), []]
             self.rows.append(row)
         if tag not in self.VOID:
             self.stack.append((tag, row))
@@ -92,7 +106,7 @@ class _Cards(HTMLParser):
     def handle_data(self, data):
         for _, row in self.stack:
             if row is not None:
-                row[3] += data
+                row[3].append(data)
 
 
 def html_cards(pages: DataFrame, attribute: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -105,7 +119,7 @@ def html_cards(pages: DataFrame, attribute: str, id_col: str = "page_id", html_c
             for key, html in zip(batch[id_col], batch[html_col]):
                 parser = _Cards(attribute)
                 parser.feed(html or "")
-                out += [(key, i, *row) for i, row in enumerate(parser.rows)]
+                out += [(key, i, *row[:3], "".join(row[3])) for i, row in enumerate(parser.rows)]
             yield pd.DataFrame(out, columns=[id_col, "ord", "value", "tag", "depth", "text"])
 
     return pages.select(id_col, html_col).mapInPandas(run, f"{id_col} {kind}, ord int, value string, tag string, depth int, text string")

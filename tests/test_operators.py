@@ -130,3 +130,39 @@ def test_file_manifest(spark, tmp_path):
     (tmp_path / "d" / "a.txt").write_text("x")
     got = readers.file_manifest(spark, str(tmp_path)).collect()
     assert [(r.path, r.length) for r in got] == [("d/a.txt", 1)] and len(got[0].sha256) == 64
+
+
+def test_open_and_wide_intervals_have_owners(spark, monkeypatch):
+    from docquarry.operators import ownership
+
+    points = spark.createDataFrame([(i, p) for i, p in enumerate([None, -5, 0, 7, 8, 9, 10_000_000, 5_000_000])], "i int, p long")
+    ranges = spark.createDataFrame([(0, "low", None, 0), (1, "mid", 8, 9), (2, "wide", 10, 9_000_000), (3, "all", None, None), (4, "none", 9, 8)], "ord int, slug string, low long, high long")
+    expected = {0: None, 1: "low", 2: "low", 3: "all", 4: "mid", 5: "mid", 6: "all", 7: "wide"}
+    for most in (1_000_000, 5):
+        monkeypatch.setattr(ownership, "EXPAND", most)
+        got = ownership.first_owner(points, "i", "p", ranges, "low", "high", "ord", "slug").collect()
+        assert {r.i: r.owner for r in got} == expected
+        members = ownership.interval_members(points, "p", ranges, "low", "high").collect()
+        assert sorted((r.i, r.slug) for r in members if r.slug != "all") == [(1, "low"), (2, "low"), (4, "mid"), (5, "mid"), (7, "wide")] and len(members) == 12
+    assert ownership.first_owner(points.limit(0), "i", "p", ranges, "low", "high", "ord", "slug").count() == 0
+
+
+def test_entities_and_options(spark):
+    from html import unescape
+
+    from docquarry.sources import readers
+
+    texts = ["a &lt; b &amp;amp; c", "&copy; &middot; &#39; &#x4e00;", "&amp;lt;", "plain", "&notit; &amp", None, "&amp;copy;"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", readers.unescape_entities(F.col("t")).alias("u")).orderBy("i").collect()
+    assert [r.u for r in got] == [t and unescape(t) for t in texts]
+    options = spark.range(12_000).select(F.col("id").cast("string").alias("o"))
+    rows = spark.createDataFrame([(0, "11999"), (1, "x"), (2, None)], "i int, v string")
+    assert sorted((r.i, r.v) for r in readers.with_allowed(rows, "v", options, "o").collect()) == [(0, "11999"), (1, ""), (2, "")]
+
+
+def test_loose_references(spark):
+    from docquarry.operators import extraction
+
+    pages = spark.createDataFrame([(1, "依農授字第 123 號及農金三字第456號辦理"), (2, "無")], "page int, text string")
+    got = [(r.page, r.place, r.document_number) for r in extraction.loose_references(pages, "page", "text").collect()]
+    assert got == [(1, 0, "農授字第123號"), (1, 1, "農金三字第456號")]
