@@ -144,13 +144,18 @@ def paragraphs(text: Column) -> Column:
 def display_text(raw: Column, printed: Column) -> Column:
     """Page text for readers: the printed page number among the last six lines is dropped (its last occurrence), blank lines at the
     ends too, and a date keeps its distance from an agency's number."""
-    lines = F.split(ascii_digits(_or_empty(raw)), "\n", -1)
-    original = F.split(_or_empty(raw), "\n", -1)
-    n = F.size(lines)
-    hits = F.filter(F.sequence(F.lit(1), n), lambda i: (i > n - 6) & (F.trim(F.element_at(lines, i)) == printed.cast("string")))
-    last = F.coalesce(F.array_max(hits), F.lit(0))
-    kept = F.filter(original, lambda x, i: i + 1 != last)
-    text = F.array_join(F.transform(kept, lambda x: F.rtrim(x)), "\n")
+    own = F.coalesce(printed.cast("string"), F.lit(""))
+
+    def dropped(x: Column) -> Column:
+        n = F.size(x["l"])
+        tail = F.slice(x["l"], F.greatest(n - 5, F.lit(1)), F.lit(6))
+        hits = F.filter(F.transform(tail, lambda t, i: F.when((own != "") & (F.trim(ascii_digits(t)) == own), i + 1)), lambda i: i.isNotNull())
+        at = F.greatest(n - 6, F.lit(0)) + F.array_max(hits)  # null without a hit
+        whole = F.transform(x["l"], lambda t: F.rtrim(t))
+        kept = F.when(at.isNull(), whole).otherwise(F.concat(F.slice(whole, F.lit(1), at - 1), F.slice(whole, at + 1, n)))
+        return F.array_join(kept, "\n")
+
+    text = bound({"l": F.split(_or_empty(raw), "\n", -1)}, dropped)
     text = F.regexp_replace(text, f"^(?:[{SPACE}]*\n)+|(?:\n[{SPACE}]*)+$", "")
     return F.replace(text, F.lit("日農授金字"), F.lit("日 農授金字"))
 

@@ -62,9 +62,9 @@ def first_lookup(rows: DataFrame, dimension: DataFrame, key: str, order: str) ->
 
 def titles_of(rows: DataFrame, key: str, ids: str, dimension: DataFrame, alias: str) -> DataFrame:
     """key and the titles of an array of ids, in its order; unknown ids are dropped."""
-    flat = rows.select(key, F.posexplode(ids).alias("_at", "id"))
-    found = flat.join(dimension.select("id", "title"), "id").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", "title"))).alias("_all"))
-    return found.select(key, F.transform("_all", lambda x: x["title"]).alias(alias))
+    flat = rows.select(F.col(key).alias("_key"), F.posexplode(ids).alias("_at", "_id"))
+    found = flat.join(dimension.select(F.col("id").alias("_id"), "title"), "_id").groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_at", "title"))).alias("_all"))
+    return found.select(F.col("_key").alias(key), F.transform("_all", lambda x: x["title"]).alias(alias))
 
 
 def union_index(*kinds: DataFrame) -> DataFrame:

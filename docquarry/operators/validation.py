@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-# Hosts of official sources, kinds of sources, bases of relations and kinds of decisions.
+# Hosts of official sources, kinds of sources and bases of relations.
 HOSTS = ("law.afna.gov.tw", "afna.gov.tw", "www.afna.gov.tw", "moa.gov.tw", "www.moa.gov.tw", "wm.moa.gov.tw", "agribank.com.tw", "www.agribank.com.tw")
 SOURCE_TYPES = ("regulation", "administrative-rule", "interpretation", "announcement", "faq", "form", "disaster-measure", "other-official")
 BASES = ("explicit-title", "explicit-subject", "explicit-body", "common-rule", "disaster-rule", "bank-product", "human-reviewed")
-DECISIONS = ("include", "already-covered", "exclude-irrelevant", "needs-human-review")
 
 
 def valid_date(value: Column) -> Column:
@@ -99,6 +98,122 @@ def inventory_faults(counts: DataFrame, total: str, parts: list[str]) -> DataFra
     return counts.where(F.col(total) != whole)
 
 
+def parity_faults(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows of two tables that should say the same: key and missing-right, missing-left, repeated or the columns that differ."""
+    side = lambda df, s: df.groupBy(key).agg(F.count("*").alias(f"_{s}"), *[F.min(c).alias(f"_{s}_{c}") for c in columns])
+    met = side(left, "l").join(side(right, "r"), key, "full")
+    rules = [F.when(F.col("_r").isNull(), F.lit("missing-right")), F.when(F.col("_l").isNull(), F.lit("missing-left")), F.when(F.greatest("_l", "_r") > 1, F.lit("repeated"))]
+    both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    rules += [F.when(both & ~F.col(f"_l_{c}").eqNullSafe(F.col(f"_r_{c}")), F.lit(c)) for c in columns]
+    return met.select(key, F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("fault"))
+
+
+def unresolved_links(links: DataFrame, targets: DataFrame) -> DataFrame:
+    """Links (source, path, fragment) to a page that isn't there, or to an id that the page hasn't. targets: path, fragment."""
+    pages = targets.select("path").distinct().withColumn("_page", F.lit(True))
+    ids = targets.where("fragment <> ''").select("path", "fragment").distinct().withColumn("_id", F.lit(True))
+    met = links.join(pages, "path", "left").join(ids, ["path", "fragment"], "left")
+    fault = F.when(F.col("_page").isNull(), "no-page").when((F.col("fragment") != "") & F.col("_id").isNull(), "no-id")
+    return met.withColumn("fault", fault).where("fault IS NOT NULL").select("source", "path", "fragment", "fault")
+
+
+def reparse_faults(letters: DataFrame, parsed: Column) -> DataFrame:
+    """Letters (id, document_number, pdf_page) that a strict parse reads otherwise, or whose number and page occur twice."""
+    same = F.count("*").over(Window.partitionBy("document_number", "pdf_page"))
+    rules = [F.when(~parsed.eqNullSafe(F.col("document_number")), F.lit("reparse")), F.when(F.col("_same") > 1, F.lit("twice"))]
+    return letters.withColumn("_same", same).select("id", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("fault"))
+
+
+def weak_evidence(decisions: DataFrame, pages: DataFrame, id_col: str = "id") -> DataFrame:
+    """Decisions (id, excerpt, evidence_pages) whose excerpt stands on none of their pages (page, text), white space aside."""
+    flat = decisions.select(id_col, X.compact(F.col("excerpt")).alias("_e"), F.explode_outer("evidence_pages").alias("page"))
+    met = flat.join(pages.select("page", X.compact(F.col("text")).alias("_t")), "page", "left")
+    held = met.groupBy(id_col).agg(F.coalesce(F.bool_or((F.col("_e") != "") & F.contains("_t", F.col("_e"))), F.lit(False)).alias("_held"))
+    return held.where("NOT _held").select(id_col)
+
+
+def index_faults(records: DataFrame, owners: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Index records that are incomplete or out of scope: id and fault. kinds: a type and what its scope begins with.
+
+    owners: scope, for every scope that a record's scope_group may name.
+    """
+    again = F.count("*").over(Window.partitionBy("id"))
+    begins = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("type")]
+    met = records.withColumn("_again", again).join(owners.select(F.col("scope").alias("scope_group"), F.lit(True).alias("_owner")).distinct(), "scope_group", "left")
+    rules = [
+        F.when(F.col("_again") > 1, F.lit("id-twice")),
+        F.when(begins.isNull(), F.lit("type")),
+        F.when(begins.isNotNull() & ~F.coalesce(F.col("scope").startswith(begins), F.lit(False)), F.lit("scope")),
+        F.when(F.col("scope_group").isNotNull() & F.col("_owner").isNull(), F.lit("owner")),
+        F.when(F.coalesce(X.squeeze(F.col("title")), F.lit("")) == "", F.lit("title")),
+        F.when(F.coalesce(F.col("url"), F.lit("")).rlike("^$|^/|^[a-z]+:"), F.lit("url")),
+    ]
+    return met.select("id", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("fault"))
+
+
+def lineage_faults(reviews: DataFrame) -> DataFrame:
+    """Sources whose hits are fewer than their candidates and what is out of scope, or reviewed only before the verified date."""
+    rules = [
+        F.when(F.col("hits") < F.col("candidates") + F.coalesce("out_of_scope", F.lit(0)), F.lit("hits")),
+        F.when(F.col("reviewed_through") < F.col("verified_through"), F.lit("reviewed-through")),
+    ]
+    return reviews.select("source_id", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("fault"))
+
+
+def structure_faults(pages: DataFrame, rules: dict[str, tuple[str, int, int]], id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Pages on which a pattern occurs too seldom or too often. rules: name to (pattern, least, most)."""
+    n = lambda p: F.regexp_count(F.col(html_col), F.lit(p))
+    found = [F.when(~n(p).between(a, b), F.lit(name)) for name, (p, a, b) in rules.items()]
+    return pages.select(id_col, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("fault"))
+
+
+def forbidden_tokens(rows: DataFrame, id_col: str, text_col: str, patterns: dict[str, str]) -> DataFrame:
+    """Rows with something that mustn't be published (scripts, residues, local paths): id and the pattern's name."""
+    found = [F.when(F.col(text_col).rlike(p), F.lit(name)) for name, p in patterns.items()]
+    return rows.select(id_col, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("fault"))
+
+
+def without_tokens(rows: DataFrame, id_col: str, text_col: str, tokens: list[str]) -> DataFrame:
+    """Rows that lack a token that must be there: id and token."""
+    lacking = F.filter(F.array(*map(F.lit, tokens)), lambda t: ~F.contains(F.coalesce(F.col(text_col), F.lit("")), t))
+    return rows.select(id_col, F.explode(lacking).alias("token"))
+
+
+def inconsistent(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Groups that don't all say the same, with the number of different values."""
+    return rows.groupBy(group).agg(F.countDistinct(value).alias("n_values")).where("n_values > 1")
+
+
+def untold(rows: DataFrame, id_col: str, text: Column, title: Column, number: Column) -> DataFrame:
+    """Rows of which neither the title nor the number stands in the text of the source, letters and digits alone."""
+    form, held = X.audit_form(text), lambda c: (X.audit_form(c) != "") & F.contains(F.col("_f"), X.audit_form(c))
+    return rows.withColumn("_f", form).where(~(held(title) | held(number))).select(id_col)
+
+
+def fixture_faults(results: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """Fixtures (name, expected: ids in order) that the results (name, id, rank) don't meet in this order."""
+    got = results.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("got"))
+    none = fixtures.join(got, "name", "left").withColumn("got", F.coalesce("got", F.slice("expected", 1, 0)))
+    return none.where(~F.col("got").eqNullSafe(F.col("expected"))).select("name")
+
+
+def without_top(results: DataFrame, k: int, wanted: Column) -> DataFrame:
+    """Queries with no wanted row among the first k."""
+    return results.groupBy("query_id").agg(F.coalesce(F.bool_or((F.col("rank") <= k) & wanted), F.lit(False)).alias("_hit")).where("NOT _hit").select("query_id")
+
+
+def ranking_changes(before: DataFrame, after: DataFrame, k: int = 10) -> DataFrame:
+    """For each query: how many of the first k stayed, came and went, and whether the first row is the same."""
+    side = lambda df, s: df.where(F.col("rank") <= k).select("query_id", "ord", F.col("rank").alias(f"_{s}"))
+    met = side(before, "b").join(side(after, "a"), ["query_id", "ord"], "full")
+    return met.groupBy("query_id").agg(
+        F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("stayed"),
+        F.count_if(F.col("_b").isNull()).alias("came"),
+        F.count_if(F.col("_a").isNull()).alias("went"),
+        F.coalesce(F.bool_or((F.col("_a") == 1) & (F.col("_b") == 1)), F.lit(False)).alias("same_first"),
+    )
+
+
 def table_hash(df: DataFrame) -> DataFrame:
     """One row: number of rows and a hash that doesn't depend on their order. Equal for equal builds."""
     row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
