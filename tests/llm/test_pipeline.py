@@ -88,3 +88,28 @@ def test_an_empty_table_passes_through(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
     assert docs.count() == 0
+
+
+CLASHING = ["quality", "good", "evidence", "_found", "_new", "_text", "_block", "_row", "_id", "id", "key", "score", "row", "_key", "_host"]
+
+
+def test_odd_rows_and_clashing_columns_pass_every_stage(spark):
+    """Null, blank and very long texts, repeated and null ids, repeated rows, and columns named as the operators' own."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    clean = docs.where("lang = 'en' AND length(text) > 400").orderBy("doc_id").first()
+    rng, some = np.random.default_rng(1), clean.text.split()
+    long = "\n".join(" ".join(rng.choice(some, 14)) for _ in range(20_000))
+    odd = [(9001, None), (9002, ""), (9003, " \n "), (9004, long), (9005, clean.text + " My number is 123-45-6789."), (9006, clean.text), (9006, clean.text), (9006, clean.text[::-1]), (None, clean.text + " End.")]
+    rows = docs.unionByName(spark.createDataFrame([(i, t, "en", clean.source, len(t or "")) for i, t in odd], docs.schema))
+    rows = written(rows.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) for c in CLASHING}), "odd")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = written(stage(spark, rows, "/root/testdata/sf0.001"), name)
+        assert kept.columns == rows.columns and 0 < kept.count() <= rows.count()
+        bad = [F.col(c) != F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) for c in CLASHING]
+        assert kept.where(F.greatest(*[b.cast("int") for b in bad]) > 0).count() == 0
+        rows = kept
+    texts = [(r.doc_id, r.text) for r in rows.collect()]
+    assert not any(i in (9001, 9002, 9003) for i, _ in texts) and len([t for i, t in texts if i == 9004]) == 1
+    assert len([1 for i, t in texts if t == clean.text]) == 1  # of the copies one stays
+    packed = written(corpus_pipeline.STAGES[-1][1](spark, rows, ""), "packed").groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id for r in packed} == {i for i, _ in texts}
