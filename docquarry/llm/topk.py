@@ -8,8 +8,8 @@ inner product from above, since 2<q, x> = |q|^2 + |x|^2 - d(q, x)^2.
 
 The k-th best score of a query in the sample is its threshold from the start. Blocks of queries meet ranges of the blocks'
 distances first, and only where some query's bound for a whole block reaches its threshold is the block moved to the
-queries. There a query's candidates are evaluated in the order of their bounds, a few hundred at a time, until the next
-bound is below the threshold or the k-th best score: then no candidate left can enter the result, so it is exact.
+queries. There a query's candidates are evaluated in the order of their bounds, in steps that double, until the next bound
+is below the threshold or the k-th best score: then no candidate left can enter the result, so it is exact.
 Sample and pivots only decide how much is evaluated. On vectors without structure little can be left out: of 2,000 random
 unit vectors of 64 dimensions the bounds of 128 pivots leave about four fifths to be evaluated.
 
@@ -128,7 +128,7 @@ def _blocks(rows: DataFrame, scale: int, size: int, sample: Sample, seeded: bool
             cells = batch.column(2).to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(cells[1:] != cells[:-1]) + 1 if not seeded else []
             for k, end in zip([0, *cuts], [*cuts, batch.num_rows]):
-                if have and not seeded and cells[k] != cell:
+                if 4 * have >= size and not seeded and cells[k] != cell:  # small cells share a block
                     yield block()
                 while k < end:
                     piece = batch.slice(k, min(size - have, end - k))
@@ -183,9 +183,8 @@ def _reached(probes: DataFrame, candidates: DataFrame, pivots: int) -> DataFrame
                 q2 = (np.frombuffer(data, "<f8").reshape(len(floors), dims) ** 2).sum(1)
                 keep = []
                 for i, (lo, hi) in enumerate(zip(low, high)):
-                    far = np.zeros(len(floors), np.float32)
-                    for row, a, b in zip(d, np.frombuffer(lo, "<f4"), np.frombuffer(hi, "<f4")):
-                        np.maximum(far, np.maximum(row - b, a - row), out=far)
+                    lo, hi = np.frombuffer(lo, "<f4")[:, None], np.frombuffer(hi, "<f4")[:, None]
+                    far = np.maximum(d - hi, lo - d).max(0, initial=0)
                     if not _exact(max(dims, x_dims[i]), max(most, x_most[i])) or (_bound(q2, longest[i], far) >= floors).any():
                         keep.append(i)
                 at = [pa.array([{"part": x_part[i], "number": x_number[i]} for i in keep], pa.struct([("part", pa.int32()), ("number", pa.int32())]))]
@@ -213,21 +212,24 @@ def search_block(qi: np.ndarray, q: np.ndarray, q_dist: np.ndarray, floors: np.n
     q2, x2 = (q * q).sum(1), (x * x).sum(1)
     out = []
     for i in range(len(q)):
-        far = np.zeros(len(x), np.float32)
-        for row, d in zip(x_dist, q_dist[:, i]):
-            np.maximum(far, np.abs(row - d), out=far)
+        far = x_dist - q_dist[:, i : i + 1]
+        far = np.abs(far, out=far).max(0, initial=0)
         bound = _bound(q2[i], x2, far)
         order = np.flatnonzero(bound >= floors[i])
         order = order[np.argsort(-bound[order], kind="stable")]
         best_ids, best, met = np.empty(0, np.int64), np.empty(0), 0
-        for at in range(0, len(order), STEP):
-            if len(best) == k and bound[order[at]] < best[-1]:
-                break
-            some = order[at : at + STEP]
+        at, step = 0, STEP
+        while at < len(order) and not (len(best) == k and bound[order[at]] < best[-1]):
+            some = order[at : at + step]
+            at, step = at + step, 2 * step
             some = some[xi[some] != qi[i]]
+            met += len(some)
             ids, scores = np.r_[best_ids, xi[some]], np.r_[best, x[some] @ q[i]]
+            if len(scores) > k:  # ties of the k-th best stay for the order of ids
+                high = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+                ids, scores = ids[high], scores[high]
             keep = np.lexsort((ids, -scores))[:k]
-            best_ids, best, met = ids[keep], scores[keep], met + len(some)
+            best_ids, best = ids[keep], scores[keep]
         out += [(int(qi[i]), int(a), int(b)) for a, b in zip(best_ids, best)]
         if seen is not None:
             seen.append(met)
