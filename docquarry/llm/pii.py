@@ -32,7 +32,7 @@ rows are kept one for one, whatever their id; other columns are handed through u
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
@@ -338,9 +338,17 @@ def restore(docs: DataFrame, key: str, text_col: str = "text", count_col: str |
     return _replaced(docs, key, text_col, count_col, True)
 
 
+def _key_table(spark: SparkSession, secret: str) -> DataFrame:
+    """One row, made in the JVM: plans show the column's name, not its value."""
+    jvm, cells = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.java.lang.Object, 1)
+    cells[0] = secret
+    rows = jvm.java.util.ArrayList()
+    rows.add(jvm.org.apache.spark.sql.RowFactory.create(cells))
+    return DataFrame(spark._jsparkSession.createDataFrame(rows, jvm.org.apache.spark.sql.types.StructType.fromDDL("_key STRING")), spark)
+
+
 def _replaced(docs: DataFrame, secret: str, text_col: str, count_col: str | None, back: bool) -> DataFrame:
-    keys = docs.sparkSession.createDataFrame([(secret,)], "_key string")
-    rows = docs.select(F.struct("*").alias("_row")).crossJoin(F.broadcast(keys))  # one row
+    rows = docs.select(F.struct("*").alias("_row")).crossJoin(F.broadcast(_key_table(docs.sparkSession, secret)))  # one row
     key, text = Key(F.col("_key"), back), F.col("_row").getField(text_col)
     # texts without a digit, an @ or a sign of a secret have no finding; only the others meet the large pattern
     maybe = text.rlike(r"[0-9@]|[=:]")
