@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import regex
@@ -190,9 +191,11 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self._forget()
         pieces = [raw[i:j] for i, j in zip(a[where].tolist(), b[where].tolist())]
-        if new := [x for x in pieces if x not in self.known]:
-            self._learn(new)
-        slots = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[back]
+        slots = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(new := np.flatnonzero(slots < 0)):
+            slots[new] = len(self.known) + np.arange(len(new))
+            self._learn([pieces[i] for i in new.tolist()])
+        slots = slots[back]
         lengths = self.length[slots]
         total = np.cumsum(lengths)
         at = np.arange(total[-1] if len(total) else 0) + np.repeat(self.at[slots] - (total - lengths), lengths)
@@ -213,6 +216,26 @@ def _batch(tokenizer) -> Callable[[list[str]], list[list[int]]]:
     return lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
+def _ended(tokenizer, end: str) -> Callable[[list[str]], list[list[int]]]:
+    """Pieces are encoded many at a time, with blanks between, and told apart by the ids that end a word."""
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith(end)]] = True
+    plainly = _batch(tokenizer)
+
+    def encode(pieces: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for k in range(0, len(pieces), 4000):
+            some = pieces[k : k + 4000]
+            ids = tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            cuts = (np.flatnonzero(ends[ids]) + 1).tolist()
+            # a piece without such an id (of a character that the vocabulary lacks) would shift all others
+            out += [ids[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(some) else plainly(some)
+        return out
+
+    return encode
+
+
 def _open(path: str):
     import os
 
@@ -246,7 +269,7 @@ def word_level(path: str) -> Encoder:
         # capital sigma and dotted I are the letters that str.lower() changes by context or into two characters
         return t.isascii() or unicodedata.is_normalized("NFC", t) and "Σ" not in t and "İ" not in t
 
-    return Encoder(word_pieces, _batch(tokenizer), whole, str.lower, plain)
+    return Encoder(word_pieces, _ended(tokenizer, "</w>"), whole, str.lower, plain)
 
 
 _OPENED: dict[tuple, Encoder] = {}

@@ -124,6 +124,15 @@ def test_encoders_agree_with_the_library(kind, path):
         assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_joined_pieces_are_told_apart():
+    whole, rng = Tokenizer.from_file(WORD), random.Random(3)
+    pieces = ["".join(rng.choice("abcxyzéß日") for _ in range(rng.randint(1, 30))) for _ in range(9000)] + ["'", "1", "²", "!!", "</", "<|", "|>", "😀"]
+    each = tokens._batch(whole)(pieces)
+    assert tokens._ended(whole, "</w>")(pieces) == each
+    assert tokens._ended(whole, "no such end")(pieces) == each
+    assert tokens._ended(whole, "</w>")([]) == []
+
+
 def test_rank_array_agrees_with_the_library(spark):
     whole, pairs = Tokenizer.from_file(BYTE), bpe.BytePairs(BYTE)
     rng = random.Random(2)
