@@ -86,6 +86,25 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit_documents
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
+    return audit_documents(_documents(spark, sf_dir, "doc_id", "text", "lang"), labels)
+
+
+def op12_pivot_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_documents(spark, sf_dir, "text", "lang"), least=100, first=2000)
+
+
+def op13_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .page_diff import main_texts
+
+    return main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,6 +118,9 @@ QUERIES = {
         op8_ppm_language,
         op9_site_bayes_quality,
         op10_harmonic_packing,
+        op11_filter_audit,
+        op12_pivot_collocations,
+        op13_page_differencing,
     )
 }
 
@@ -191,5 +213,65 @@ WITH v AS (
     FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op11_filter_audit": r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+        min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+    FROM documents
+), l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+            regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > first_id, false)] AS fails
+    FROM d LEFT JOIN l USING (doc_id)
+), c AS (
+    SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic, len(list_filter(fails, lambda x: x)) AS size FROM f GROUP BY ALL
+), one AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM one a JOIN one b ON a.x <> b.x JOIN one c ON c.x NOT IN (a.x, b.x)
+        JOIN one d ON d.x NOT IN (a.x, b.x, c.x) JOIN one e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+), s AS (
+    SELECT filter_order, step, fails[ascii(filter_order[step]) - 64] AS own, c.*,
+        len(list_filter(range(1, step), lambda i: fails[ascii(filter_order[i]) - 64])) > 0 AS earlier
+    FROM o, range(1, 6) r(step), c
+)
+SELECT part, filter_order, step::INTEGER AS step,
+    coalesce(sum(n) FILTER (NOT own AND NOT earlier), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (own AND NOT earlier), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (own AND earlier), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (own AND size = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (own AND NOT earlier), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (own AND NOT earlier), 0)::BIGINT AS toxic_lost,
+    coalesce(sum(n * 120 // greatest(size, 1)) FILTER (own), 0)::BIGINT AS shapley
+FROM s GROUP BY part, filter_order, step
+""",
+    "op12_pivot_collocations": r"""
+WITH d AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+    FROM documents
+), p AS (SELECT lang, unnest(list_transform(pieces, lambda x: regexp_extract_all(x, '[^\x20\x09]+'))) AS ws FROM d),
+g AS (
+    SELECT lang, k, phrase, count(*) AS f
+    FROM (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM p, range(1, 6) r(k))
+    GROUP BY ALL
+), t AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE k > 1 AND f >= 100),
+cut AS (
+    SELECT lang, phrase, k, f AS a, unnest(range(1, k)) AS j, string_split(phrase, ' ') AS ws FROM c
+), s AS (
+    SELECT cut.lang, cut.phrase, cut.k, cut.a, cut.j, x.f AS l, y.f AS r, t.n,
+        ((1000::HUGEINT * cut.a * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cut JOIN t USING (lang)
+        JOIN g x ON x.lang = cut.lang AND x.phrase = array_to_string(ws[1:j], ' ')
+        JOIN g y ON y.lang = cut.lang AND y.phrase = array_to_string(ws[j + 1:cut.k], ' ')
+), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+sub AS (
+    SELECT DISTINCT lang, a, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+    FROM (SELECT lang, f AS a, k, string_split(phrase, ' ') AS ws FROM c), range(2, 5) r(m)
+    WHERE m < k
+), kept AS (SELECT * FROM b ANTI JOIN sub ON sub.lang = b.lang AND sub.phrase = b.phrase AND 100 * sub.a >= 100 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+WHERE rank <= 2000
 """,
 }
