@@ -5,13 +5,14 @@ fragments of its pivot are, so texts are rewritten for each pivot: around every
 four neighbours on either side stay that are at least as frequent; the rest is cut off. Fragments go to the pivot's
 partition; there phrases are counted, shorter ones first, and only those that hold the pivot are given out.
 
-1. ``encode_blocks``: texts become blocks of a quarter of a million word numbers with their own word list, so words are
+1. ``encode_blocks``: texts become blocks of a million word numbers with their own word list, so words are
    handled as strings once. The blocks are written; word counts come from their lists alone.
 2. Words that reach ``least`` get a number in the order of falling frequency, by range partitions and their totals.
 3. ``fragments``: each block meets the numbers of its own words (no table of all words is sent to anyone) and emits the
-   rewritten fragments, equal ones counted once, a row for each pivot and few millions of words.
-4. ``mine``: partitions by pivot. A word of more than ``GROUP`` occurrences is split over several groups by a salt; the
-   groups' counts are added up afterwards. What doesn't reach ``least`` in a group that is whole ends there.
+   rewritten fragments, equal ones counted once, a row for each bucket of pivots and four million words.
+4. ``mine``: each bucket by itself; their number grows with the words. A pivot of more than ``GROUP`` occurrences is
+   split over several buckets by a salt, whose counts are added up afterwards. What doesn't reach ``least`` where a pivot
+   is whole ends there.
 5. Scores, the phrases that a longer one explains, and the first rows of each language are joins and aggregations.
 
 Nulls and odd rows: a null text is empty, a null language is ``und``, repeated rows count again, ids aren't read. Texts
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import with_running_totals, written
 
 #: Words of a block, of what is rewritten at once, and of a group that is mined as a whole.
-BLOCK, CHUNK, GROUP = 1 << 18, 1 << 22, 1 << 21
+BLOCK, CHUNK, GROUP = 1 << 20, 1 << 22, 1 << 19
+#: Words whose fragments one bucket holds on average; a bucket is mined at once.
+BUCKET = 1 << 21
 LONGEST, AROUND = 5, 4
 #: A-Z to a-z, blank for tab, and a line end for whatever ends a piece: [.,;:!?] and \x0A to \x0D.
 _FOLD = bytes(ord(chr(c).lower()) if 65 <= c <= 90 else 32 if c == 9 else 10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c for c in range(256))
@@ -128,7 +131,9 @@ def _runs(columns: list[np.ndarray], first: np.ndarray | None = None) -> tuple[n
 
 
 def _rewritten(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """pivot, left and right neighbours (nearest first, 0 where cut off) of each word; the pivot is its phrases' first of that word."""
+    """Places of the words with a neighbour left, and their left and right neighbours (nearest first, 0 where cut off).
+
+    A phrase that holds its pivot several times is found at the first of them: words on the left must be more frequent."""
     n = len(ids)
     padded = np.concatenate([np.zeros(AROUND, ids.dtype), ids, np.zeros(AROUND, ids.dtype)])
     left, right = [], []
@@ -139,78 +144,91 @@ def _rewritten(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.n
             stands = stands & (x != 0) & ((x < ids) if side == "left" else (x <= ids))
             out.append(np.where(stands, x, 0))
     some = (left[0] != 0) | (right[0] != 0)
-    return ids[some], [x[some] for x in left], [x[some] for x in right]
+    return np.flatnonzero(some), [x[some] for x in left], [x[some] for x in right]
 
 
-def _packed(ids: np.ndarray, lang: str) -> Iterator[dict]:
-    """A row for each pivot of ``ids`` with its fragments, equal ones counted."""
-    pivot, left, right = _rewritten(ids)
-    if not len(pivot):
+def _packed(ids: np.ndarray, salts_of: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, fragments, packed) of ``ids``, equal fragments counted. ``salts_of``: groups of each word's pivot."""
+    some, left, right = _rewritten(ids)
+    if not len(some):
         return
+    pivot, salts = ids[some], salts_of[some]
     order, begins = _runs([*left, *right], pivot)
-    counts = np.diff(np.append(begins, len(order)))
+    times = np.diff(np.append(begins, len(order)))
     order = order[begins]
-    pivot = pivot[order]
     context = np.stack([x[order] for x in [*left, *right]], axis=1)
-    cuts = np.append(np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1])), len(pivot))
+    pivot, salts = pivot[order], salts[order]
+    mix = _mixed([context[:, 0], context[:, AROUND], context[:, 1], context[:, AROUND + 1]])
+    bucket = (_mixed([pivot, mix % salts.astype(np.uint64)]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")  # pivots stay in order
+    cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)), len(order))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        for k in range(a, b, 1 << 16):
-            part = context[k : min(b, k + (1 << 16))]
-            words = part[part != 0]
-            width = 2 if words.max(initial=0) < 65_536 else 4 if words.max() < 1 << 32 else 8
-            sizes = ((part[:, :AROUND] != 0).sum(1) * 8 + (part[:, AROUND:] != 0).sum(1)).astype(np.uint8)
-            yield {
-                "lang": lang,
-                "pivot": int(pivot[a]),
-                "n": len(part),
-                "width": width,
-                "times": counts[k : k + len(part)].astype("<u4").tobytes() if counts[k : k + len(part)].max() > 1 else b"",
-                "sizes": sizes.tobytes(),
-                "words": words.astype(f"<u{width}").tobytes(),
-            }
-
-
-_FRAGMENTS = pa.schema([("lang", pa.string()), ("pivot", pa.int64()), ("n", pa.int32()), ("width", pa.int32()), ("times", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())])
-_FRAGMENTS_SQL = "lang string, pivot long, n int, width int, times binary, sizes binary, words binary"
-
-
-def fragments(blocks: DataFrame, numbered: DataFrame) -> DataFrame:
-    """The rewritten fragments of every pivot, many in a row."""
+        at = order[a:b]
+        part = context[at]
+        sizes = ((part[:, :AROUND] != 0).sum(1) * 8 + (part[:, AROUND:] != 0).sum(1)).astype(np.uint8)
+        words = np.concatenate([part[:, k][part[:, k] != 0] for k in range(2 * AROUND)])
+        fields = [np.diff(pivot[at], prepend=0), salts[at] > 1, times[at], sizes, words]
+        yield int(bucket[at[0]]), len(at), zlib.compress(b"".join(_narrow(x) for x in fields), 1)
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs, byte by byte (the high bytes of all, then the next)."""
+    width = next(w for w in (1, 2, 4, 8) if int(values.max(initial=0)) < 1 << (8 * w))
+    planes = values.astype(f">u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + len(values).to_bytes(8, "little") + np.ascontiguousarray(planes).tobytes()
+
+
+def _unpacked(packed: bytes) -> list[np.ndarray]:
+    """pivot, split, times, left and right contexts."""
+    data, at, fields = zlib.decompress(packed), 0, []
+    while at < len(data):
+        width, n = data[at], int.from_bytes(data[at + 1 : at + 9], "little")
+        planes = np.frombuffer(data, np.uint8, width * n, at + 9).reshape(width, n)
+        fields.append(np.ascontiguousarray(planes.T).view(f">u{width}").reshape(-1).astype(np.int64))
+        at += 9 + width * n
+    gaps, split, times, sizes, words = fields
+    stands = np.concatenate([np.arange(AROUND) < (sizes // 8)[:, None], np.arange(AROUND) < (sizes % 8)[:, None]], axis=1)
+    context = np.zeros((2 * AROUND, len(sizes)), np.int64)
+    context[stands.T] = words  # row by row: all nearest left neighbours first
+    return [np.cumsum(gaps), split.astype(bool), times, context[:AROUND].T, context[AROUND:].T]
+
+
+_FRAGMENTS = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int32()), ("packed", pa.binary())])
+
+
+def fragments(blocks: DataFrame, numbered: DataFrame, buckets: int) -> DataFrame:
+    """The rewritten fragments of every bucket of pivots (a language's own), many in a row."""
     places = blocks.select("block", "lang", F.posexplode("words").alias("place", "word"))
-    ids = places.join(numbered.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))
-    joined = blocks.select("block", "lang", "width", "codes", F.size("words").alias("n_words")).join(ids, "block")
-    joined = joined.select("lang", "width", "codes", "n_words", F.col("known.place").alias("places"), F.col("known.id").alias("ids"))
+    known = numbered.select("lang", "word", "id", F.ceil(F.col("f") / GROUP).cast("int").alias("salts"))
+    ids = places.join(known, ["lang", "word"], "left").groupBy("block").agg(F.collect_list(F.struct("place", F.coalesce("id", F.lit(0)).alias("id"), F.coalesce("salts", F.lit(0)).alias("salts"))).alias("known"))
+    joined = blocks.select("block", "lang", "width", "codes").join(ids, "block")
+    joined = joined.select("lang", "width", "codes", F.col("known.place").alias("places"), F.col("known.id").alias("ids"), F.col("known.salts").alias("salts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, list[np.ndarray]] = {}
+        waiting: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         total = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, parts in waiting.items():
-                rows: list[dict] = []
-                for row in _packed(np.concatenate(parts), lang):
-                    rows.append(row)
-                    if len(rows) == 4096:
-                        yield pa.RecordBatch.from_pylist(rows, _FRAGMENTS)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, _FRAGMENTS)
+                for bucket, n, packed in _packed(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]), buckets):
+                    yield pa.RecordBatch.from_pylist([{"lang": lang, "bucket": bucket, "n": n, "packed": packed}], _FRAGMENTS)
             waiting.clear()
 
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, width, codes, n_words = (batch.column(k)[i].as_py() for k in range(4))
-                of = np.zeros(n_words + 1, np.int64)
-                of[batch.column(4)[i].values.to_numpy() + 1] = batch.column(5)[i].values.to_numpy()
-                known = of[np.frombuffer(zlib.decompress(codes), f"<u{width}")]
-                waiting.setdefault(lang, []).append(known)
-                total += len(known)
+                lang, width, codes = (batch.column(k)[i].as_py() for k in range(3))
+                places, ids, salts = (batch.column(k)[i].values.to_numpy() for k in range(3, 6))
+                of, split = np.zeros(len(places) + 1, np.int64), np.zeros(len(places) + 1, np.int32)
+                of[places + 1], split[places + 1] = ids, salts
+                words = np.frombuffer(zlib.decompress(codes), f"<u{width}")
+                waiting.setdefault(lang, []).append((of[words], split[words]))
+                total += len(words)
                 if total >= CHUNK:
                     yield from flush()
                     total = 0
         yield from flush()
 
-    return joined.mapInArrow(run, _FRAGMENTS_SQL)
+    return joined.mapInArrow(run, "lang string, bucket long, n int, packed binary")
 
 
 def _mined(pivot: np.ndarray, times: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -246,56 +264,38 @@ def _mined(pivot: np.ndarray, times: np.ndarray, left: np.ndarray, right: np.nda
             begin += len(taken)
 
 
-def mine(fragment_rows: DataFrame, numbered: DataFrame, least: int) -> DataFrame:
+def mine(fragment_rows: DataFrame, least: int) -> DataFrame:
     """Rows (lang, gram, n, f) of all phrases of 2 to 5 words that occur ``least`` times; gram: 8 bytes for each word's id."""
-    salts = numbered.select(F.col("id").alias("pivot"), F.ceil(F.col("f") / GROUP).cast("int").alias("salts"))
-    salted = fragment_rows.join(salts, "pivot").withColumn("salt", F.pmod(F.xxhash64("sizes", "words"), F.col("salts").cast("long")).cast("int"))
-    dealt = salted.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt")
+    dealt = fragment_rows.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
     schema = pa.schema([("lang", pa.string()), ("gram", pa.binary()), ("n", pa.int32()), ("f", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[dict] = []
-        size, key = 0, None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not group:
-                return
-            part = [(r["salts"] > 1, r["lang"], r) for r in group]
-            for split, lang in sorted({(s, g) for s, g, _ in part}):
-                rows = [r for s, g, r in part if (s, g) == (split, lang)]
-                n = np.array([r["n"] for r in rows])
-                pivot = np.repeat(np.array([r["pivot"] for r in rows], np.int64), n)
-                times = np.concatenate([np.frombuffer(r["times"], "<u4") if r["times"] else np.ones(r["n"], np.uint32) for r in rows]).astype(np.int64)
-                sizes = np.frombuffer(b"".join(r["sizes"] for r in rows), np.uint8)
-                words = np.concatenate([np.frombuffer(r["words"], f"<u{r['width']}").astype(np.int64) for r in rows])
-                context = np.zeros((len(pivot), 2 * AROUND), np.int64)
-                steps = np.arange(AROUND)
-                context[np.concatenate([steps < (sizes // 8)[:, None], steps < (sizes % 8)[:, None]], axis=1)] = words
-                most = 1 if split else least
-                for grams, f in _mined(pivot, times, context[:, :AROUND], context[:, AROUND:], most):
+    def mined(lang: str, rows: list[bytes]) -> Iterator[pa.RecordBatch]:
+        pivot, split, *rest = (np.concatenate(x) for x in zip(*map(_unpacked, rows), strict=True))
+        for part, most in ((split, 1), (~split, least)):
+            if part.any():
+                times, left, right = (x[part] for x in rest)
+                for grams, f in _mined(pivot[part], times, left, right, most):
                     kept = f >= most
                     grams, f = grams[kept].astype(">u8"), f[kept]
-                    n_words = grams.shape[1]
                     for k in range(0, len(f), 1 << 16):
-                        here = np.ascontiguousarray(grams[k : k + (1 << 16)])
-                        m = len(here)
-                        cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * n_words), m, [None, pa.py_buffer(here.tobytes())]).cast(pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), cells, pa.array(np.full(m, n_words, np.int32)), pa.array(f[k : k + m])], schema=schema)
-            group.clear()
+                        here = grams[k : k + (1 << 16)]
+                        cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * here.shape[1]), len(here), [None, pa.py_buffer(here.tobytes())]).cast(pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(here), pa.string()), cells, pa.array(np.full(len(here), here.shape[1], np.int32)), pa.array(f[k : k + (1 << 16)])], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                if (row["pivot"], row["salt"]) != key:
-                    if size >= CHUNK // 8:
-                        yield from flush()
-                        size = 0
-                    key = row["pivot"], row["salt"]
-                group.append(row)
-                size += row["n"]
-        yield from flush()
+            for lang, bucket, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if (lang, bucket) != key:
+                    if rows:
+                        yield from mined(key[0], rows)
+                    key, rows = (lang, bucket), []
+                rows.append(packed)
+        if rows:
+            yield from mined(key[0], rows)
 
-    mined = dealt.select("lang", "pivot", "salt", "salts", "n", "width", "times", "sizes", "words").mapInArrow(run, "lang string, gram binary, n int, f long")
-    return mined.groupBy("lang", "gram", "n").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    found = dealt.select("lang", "bucket", "packed").mapInArrow(run, "lang string, gram binary, n int, f long")
+    return found.groupBy("lang", "gram", "n").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def _words_of(gram: Column, first: Column | int, count: Column) -> Column:
@@ -331,7 +331,8 @@ def collocations(docs: DataFrame, least: int = 100, first: int = 2000, text_col:
     blocks = written(encode_blocks(docs, text_col, lang_col), "blocks")
     numbered = written(number_words(blocks, least), "numbers")
     totals = blocks.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (s, x) -> s + x)")).alias("n"))
-    grams = written(mine(fragments(blocks, numbered), numbered, least), "grams")
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
+    grams = written(mine(fragments(blocks, numbered, max(1, n_words // BUCKET)), least), "grams")
     scored = score(grams, numbered, totals)
     # first in each of 16 parts of a language, so that the last window gets a bounded number of rows (but for ties)
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(16))).orderBy(F.desc("score"), F.desc("a"))

@@ -95,9 +95,9 @@ def phrase_rows(rng, n):
     return [("".join(rng.choice(["a ", "b ", "The ", "é\xa0ß ", "c. ", "d\t", "x\n", "y!", rng.choice(lines) + " ", f"r{rng.randint(0, 40)} "]) for _ in range(rng.randint(0, 60))), rng.choice(["en", "en", None, "und", "de"])) for _ in range(n)]
 
 
-@pytest.mark.parametrize("sizes", [(1 << 18, 1 << 22, 1 << 21), (40, 64, 16)])
+@pytest.mark.parametrize("sizes", [None, (40, 64, 16, 50)])
 def test_collocations(spark, sizes, monkeypatch):
-    for name, size in zip(("BLOCK", "CHUNK", "GROUP"), sizes, strict=True):
+    for name, size in zip(("BLOCK", "CHUNK", "GROUP", "BUCKET"), sizes or (), strict=bool(sizes)):
         monkeypatch.setattr(collocations, name, size)
     rows = [*phrase_rows(random.Random(7), 300), (None, "en"), ("", None), (" \n.", "fr"), ("no blank " * 3000, "long")]
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
