@@ -9,7 +9,7 @@ partition; there phrases are counted, shorter ones first, and only those that ho
    handled as strings once. The blocks are written; word counts come from their lists alone.
 2. Words that reach ``least`` get a number in the order of falling frequency, by range partitions and their totals.
 3. ``fragments``: each block meets the numbers of its own words (no table of all words is sent to anyone) and emits the
-   rewritten fragments, equal ones counted once, a row for each bucket of pivots and four million words.
+   rewritten fragments, equal ones counted once, a row for each bucket of pivots and two million words.
 4. ``mine``: each bucket by itself; their number grows with the words. A pivot of more than ``GROUP`` occurrences is
    split over several buckets by a salt, whose counts are added up afterwards. What doesn't reach ``least`` where a pivot
    is whole ends there.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import with_running_totals, written
 
 #: Words of a block, of what is rewritten at once, and of a group that is mined as a whole.
-BLOCK, CHUNK, GROUP = 1 << 20, 1 << 22, 1 << 19
+BLOCK, CHUNK, GROUP = 1 << 20, 1 << 21, 1 << 19
 #: Words whose fragments one bucket holds on average; a bucket is mined at once.
 BUCKET = 1 << 21
 LONGEST, AROUND = 5, 4
@@ -61,13 +61,12 @@ class _Block:
         codes = np.concatenate(self.codes)
         codes = codes[np.append(True, (codes[1:] != 0) | (codes[:-1] != 0))]  # one end is enough
         counts = np.bincount(codes, minlength=len(self.number) + 1)[1:]
-        width = 2 if len(self.number) < 65_536 else 4
-        return {"width": width, "codes": zlib.compress(codes.astype(f"<u{width}").tobytes(), 1), "words": [w.decode() for w in self.number], "counts": counts.tolist()}
+        return {"codes": zlib.compress(_narrow(codes), 6), "words": [w.decode() for w in self.number], "counts": counts.tolist()}
 
 
 def encode_blocks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows (block, lang, width, codes, words, counts): the word numbers of many texts of one language."""
-    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("width", pa.int32()), ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+    """Rows (block, lang, codes, words, counts): the word numbers of many texts of one language."""
+    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[str, _Block] = {}
@@ -94,7 +93,7 @@ def encode_blocks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         yield from flush(list(blocks))
 
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "block long, lang string, width int, codes binary, words array<string>, counts array<long>")
+    return rows.mapInArrow(run, "block long, lang string, codes binary, words array<string>, counts array<long>")
 
 
 def number_words(blocks: DataFrame, least: int) -> DataFrame:
@@ -178,15 +177,20 @@ def _narrow(values: np.ndarray) -> bytes:
     return bytes([width]) + len(values).to_bytes(8, "little") + np.ascontiguousarray(planes).tobytes()
 
 
-def _unpacked(packed: bytes) -> list[np.ndarray]:
-    """pivot, split, times, left and right contexts."""
-    data, at, fields = zlib.decompress(packed), 0, []
+def _fields(data: bytes) -> list[np.ndarray]:
+    """What :func:`_narrow` packed, one after the other."""
+    at, fields = 0, []
     while at < len(data):
         width, n = data[at], int.from_bytes(data[at + 1 : at + 9], "little")
         planes = np.frombuffer(data, np.uint8, width * n, at + 9).reshape(width, n)
         fields.append(np.ascontiguousarray(planes.T).view(f">u{width}").reshape(-1).astype(np.int64))
         at += 9 + width * n
-    gaps, split, times, sizes, words = fields
+    return fields
+
+
+def _unpacked(packed: bytes) -> list[np.ndarray]:
+    """pivot, split, times, left and right contexts."""
+    gaps, split, times, sizes, words = _fields(zlib.decompress(packed))
     stands = np.concatenate([np.arange(AROUND) < (sizes // 8)[:, None], np.arange(AROUND) < (sizes % 8)[:, None]], axis=1)
     context = np.zeros((2 * AROUND, len(sizes)), np.int64)
     context[stands.T] = words  # row by row: all nearest left neighbours first
@@ -199,29 +203,30 @@ _FRAGMENTS = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.
 def fragments(blocks: DataFrame, numbered: DataFrame, buckets: int) -> DataFrame:
     """The rewritten fragments of every bucket of pivots (a language's own), many in a row."""
     places = blocks.select("block", "lang", F.posexplode("words").alias("place", "word"))
-    known = numbered.select("lang", "word", "id", F.ceil(F.col("f") / GROUP).cast("int").alias("salts"))
-    ids = places.join(known, ["lang", "word"], "left").groupBy("block").agg(F.collect_list(F.struct("place", F.coalesce("id", F.lit(0)).alias("id"), F.coalesce("salts", F.lit(0)).alias("salts"))).alias("known"))
-    joined = blocks.select("block", "lang", "width", "codes").join(ids, "block")
-    joined = joined.select("lang", "width", "codes", F.col("known.place").alias("places"), F.col("known.id").alias("ids"), F.col("known.salts").alias("salts"))
+    salts = F.least(F.ceil(F.col("f") / GROUP), F.lit(1 << 22)).cast("long")
+    known = numbered.select("lang", "word", F.shiftleft(salts, 40).bitwiseOR(F.col("id")).alias("known"))  # both in one number, so that lists are short
+    ids = places.join(known, ["lang", "word"], "left").groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list(F.coalesce("known", F.lit(0))).alias("known"))
+    joined = blocks.select("block", "lang", "codes").join(ids, "block").select("lang", "codes", "places", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        waiting: dict[str, list[np.ndarray]] = {}
         total = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, parts in waiting.items():
-                for bucket, n, packed in _packed(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]), buckets):
+                known = np.concatenate(parts)
+                for bucket, n, packed in _packed(known & ((1 << 40) - 1), known >> 40, buckets):
                     yield pa.RecordBatch.from_pylist([{"lang": lang, "bucket": bucket, "n": n, "packed": packed}], _FRAGMENTS)
             waiting.clear()
 
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, width, codes = (batch.column(k)[i].as_py() for k in range(3))
-                places, ids, salts = (batch.column(k)[i].values.to_numpy() for k in range(3, 6))
-                of, split = np.zeros(len(places) + 1, np.int64), np.zeros(len(places) + 1, np.int32)
-                of[places + 1], split[places + 1] = ids, salts
-                words = np.frombuffer(zlib.decompress(codes), f"<u{width}")
-                waiting.setdefault(lang, []).append((of[words], split[words]))
+                lang, codes = (batch.column(k)[i].as_py() for k in range(2))
+                places, known = (batch.column(k)[i].values.to_numpy() for k in (2, 3))
+                of = np.zeros(len(places) + 1, np.int64)
+                of[places + 1] = known
+                (words,) = _fields(zlib.decompress(codes))
+                waiting.setdefault(lang, []).append(of[words])
                 total += len(words)
                 if total >= CHUNK:
                     yield from flush()
