@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import unicode as U
+
 # The white space that the search recognises (a closed list, since the \s of engines differ).
 SPACE = r"\t\n\x0B\f\r    -     　﻿"
+# The white space of the rules for page text, and what ends a line there.
+PAGE_SPACE = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+LINE_END = r"[\n\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 # What separates query tokens besides white space.
 TOKEN_SEPARATORS = ",，、;；"
 # Punctuation that the scoped lookups ignore.
@@ -14,7 +19,9 @@ LOOKUP_PUNCTUATION = r"，。；：！？、（）「」『』【】《》〈〉
 # Han characters for layout rules.
 HAN = r"㐀-鿿"
 # Punctuation beside which layout blanks are dropped.
-CJK_PUNCTUATION = "，。；：！？、（）「」『』【】《》〈〉％﹪"
+CJK_PUNCTUATION = "，。；：！？】【、（）「」『』《》〈〉／/%％﹪○"
+# Digits before a per cent sign, superscripts, subscripts and circled ones included.
+ANY_DIGIT = r"\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨"
 FULL_DIGITS, DIGITS = "０１２３４５６７８９", "0123456789"
 # How an item of a list begins.
 ITEM_START = (
@@ -54,10 +61,10 @@ def canonical_number(value: Column, nfkc=None) -> Column:
     return F.upper(F.regexp_replace(normalize(value, nfkc), f"[{SPACE}]", ""))
 
 
-def canonical_source_number(value: Column, nfkc=None) -> Column:
-    """Document number of an extracted record: no blanks, no closing kind of letter, letters as they are."""
+def canonical_source_number(value: Column, nfkc=U.nfkc) -> Column:
+    """Document number of an extracted record: compatibility form without blanks and closing kind of letter, letters as they are."""
     value = nfkc(value) if nfkc else value
-    return F.regexp_replace(F.regexp_replace(value, f"[{SPACE}]+", ""), "(?:函|公告)$", "")
+    return F.regexp_replace(F.regexp_replace(value, f"[{PAGE_SPACE}]+", ""), "(?:函|公告)$", "")
 
 
 def tokens(normalized: Column) -> Column:
@@ -84,18 +91,21 @@ def number_query(value: Column) -> Column:
     return F.when(n.rlike("[0-9]{6,}"), n).otherwise(F.lit(""))
 
 
-def search_text(value: Column, nfkc=None) -> Column:
-    """Page text for the index: no blanks between Han characters but before an agency's number, others squeezed."""
+def search_text(value: Column, nfkc=U.nfkc) -> Column:
+    """Page text for the index, in compatibility form: no blanks between Han characters, but one where a date meets an
+    agency's number across any; others squeezed. A section sign counts as a blank."""
     value = _or_empty(value)
     value = nfkc(value) if nfkc else value
-    value = F.regexp_replace(value, "日[ \\t\\u3000]*農授金字", "日農授金字")
-    value = F.regexp_replace(value, f"(?<=[{HAN}])[{SPACE}]+(?=[{HAN}])", "")
-    return squeeze(F.replace(value, F.lit(""), F.lit(" ")))
+    han, blank = f"[{HAN}]", f"[{PAGE_SPACE}]+"
+    value = F.regexp_replace(value, f"(?<!日)(?<={han}){blank}(?={han})|(?<=日){blank}(?!農授金字)(?={han})", "")
+    value = F.replace(F.regexp_replace(value, blank, " "), F.lit("§"), F.lit(" "))
+    return F.regexp_replace(value, "^ +| +$", "")
 
 
 def audit_form(value: Column) -> Column:
-    """Letters and digits alone, in small letters."""
-    return F.lower(F.regexp_replace(_or_empty(value), r"(?U)[\W_]+", ""))
+    """Letters and digits alone, without difference of case (by capitals, so that final and long s count as s; ß is ss)."""
+    bare = F.regexp_replace(_or_empty(value), r"(?U)[\W_]+", "")
+    return F.lower(F.upper(F.regexp_replace(bare, "[ßẞ]", "ss")))
 
 
 def ascii_digits(value: Column) -> Column:
@@ -112,7 +122,7 @@ def layout_spaces(line: Column) -> Column:
     mark = f"{HAN}{CJK_PUNCTUATION}０-９"
     line = F.regexp_replace(line, "日[ \\t\\u3000]+(?=農授金字)", "日")
     line = F.regexp_replace(line, f"(?<=[{mark}])[ \\t\\u3000]+(?=[{mark}])", "")
-    line = F.regexp_replace(line, "(?<=[0-9０-９])[ \\t\\u3000]+(?=[％﹪%])", "")
+    line = F.regexp_replace(line, f"(?<=[{ANY_DIGIT}])[ \\t\\u3000]+(?=[％﹪%])", "")
     line = F.regexp_replace(line, "[ \\t\\u3000]+", " ")
     return F.trim(F.replace(line, F.lit(""), F.lit(" ")))
 
@@ -141,22 +151,24 @@ def paragraphs(text: Column) -> Column:
     return bound({"k": kept}, joined)
 
 
-def display_text(raw: Column, printed: Column) -> Column:
-    """Page text for readers: the printed page number among the last six lines is dropped (its last occurrence), blank lines at the
-    ends too, and a date keeps its distance from an agency's number."""
-    own = F.coalesce(printed.cast("string"), F.lit(""))
+def display_text(raw: Column, printed: Column, nfkc_each=U.nfkc_each) -> Column:
+    """Page text for readers: the printed page number among the last six lines is dropped (its last occurrence; wide forms
+    and blanks inside don't hide it), blank lines at the ends too, and a date keeps its distance from an agency's number."""
+    lines = F.split(F.replace(_or_empty(raw), F.lit("\r"), F.lit("\n")), LINE_END, -1)
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    tail = F.slice(lines, F.greatest(F.size(lines) - 5, F.lit(1)), F.lit(6))
+    own = printed.cast("string")
+    bare = F.transform(nfkc_each(tail), lambda t: F.regexp_replace(t, f"[{PAGE_SPACE}]+", ""))
 
     def dropped(x: Column) -> Column:
         n = F.size(x["l"])
-        tail = F.slice(x["l"], F.greatest(n - 5, F.lit(1)), F.lit(6))
-        hits = F.filter(F.transform(tail, lambda t, i: F.when((own != "") & (F.trim(ascii_digits(t)) == own), i + 1)), lambda i: i.isNotNull())
+        hits = F.filter(F.transform(x["t"], lambda t, i: F.when(t == own, i + 1)), lambda i: i.isNotNull())
         at = F.greatest(n - 6, F.lit(0)) + F.array_max(hits)  # null without a hit
-        whole = F.transform(x["l"], lambda t: F.rtrim(t))
+        whole = F.transform(x["l"], lambda t: F.regexp_replace(t, f"[{PAGE_SPACE}]+$", ""))
         kept = F.when(at.isNull(), whole).otherwise(F.concat(F.slice(whole, F.lit(1), at - 1), F.slice(whole, at + 1, n)))
         return F.array_join(kept, "\n")
 
-    text = bound({"l": F.split(_or_empty(raw), "\n", -1)}, dropped)
-    text = F.regexp_replace(text, f"^(?:[{SPACE}]*\n)+|(?:\n[{SPACE}]*)+$", "")
+    text = F.regexp_replace(bound({"l": lines, "t": bare}, dropped), "^\n+|\n+$", "")
     return F.replace(text, F.lit("日農授金字"), F.lit("日 農授金字"))
 
 
@@ -171,11 +183,15 @@ def roc_year(date: Column) -> Column:
 
 
 def period(start: Column, end: Column) -> Column:
-    """Application period in words; null if open on both sides."""
+    """Application period in words, dates counted as in ``roc_date``; '' if open on both sides."""
+    # How a period is told.
+    told = "官方資料所載受理期"
+    a, b = roc_date(start), roc_date(end)
     return (
-        F.when(start.isNotNull() & end.isNotNull(), F.concat(start, F.lit("至"), end))
-        .when(start.isNotNull(), F.concat(start, F.lit("起")))
-        .when(end.isNotNull(), F.concat(F.lit("至"), end))
+        F.when(a.isNotNull() & b.isNotNull(), F.concat(F.lit(f"{told}間："), a, F.lit("－"), b))
+        .when(b.isNotNull(), F.concat(F.lit(f"{told}限：至 "), b))
+        .when(a.isNotNull(), F.concat(F.lit(f"{told}間：自 "), a, F.lit(" 起")))
+        .otherwise(F.lit(""))
     )
 
 
@@ -194,10 +210,15 @@ def heading_trimmed(answer: Column) -> Column:
 
 
 def title_variants(title: Column) -> Column:
-    """Spellings under which a form's title may be found: without its attachment number, without its edition, renamed."""
-    bare = F.regexp_replace(title, "^附件[0-9一二三四五六七八九十]*[：:、 ]*", "")
-    edition = F.regexp_replace(bare, "-[^-]*版$", "")
-    return F.array_distinct(F.filter(F.array(title, bare, edition, F.replace(edition, F.lit("申請表"), F.lit("申請書"))), lambda x: x != ""))
+    """Spellings under which a form's title may be found: as it is, without attachment number and edition, and both with
+    the other name of the form where the title has it."""
+    # How attachments are numbered, how editions are told, and the two names of the form.
+    blank, number = f"[{PAGE_SPACE}]*", r"\p{Nd}+"
+    bare = F.regexp_replace(title, f"^附件(?:{blank}{number})?{blank}[-、,，]?{blank}", "")
+    core = F.regexp_replace(bare, f"-{{1,2}}{blank}{number}{blank}版$", "")
+    old, new = F.lit("申請書及審核表"), F.lit("申請書及檢核表")
+    renamed = F.when(F.contains(title, old), F.array(F.replace(title, old, new), F.replace(core, old, new))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(title, core), renamed))
 
 
 def numbered(prefix: str, number: Column) -> Column:

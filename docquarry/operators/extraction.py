@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import unicode as U
+from .markers import marker_hits
+from .numbering import numbered_rows
 
 # Dates, numbers and issuers in a letter's header.
 HEADER_DATE = r"(?:中華民國)?\s*([0-9０-９]+)\s*年\s*([0-9０-９]+)\s*月\s*([0-9０-９]+)\s*日"
@@ -31,9 +34,9 @@ TASKS = (
 )
 
 
-def header_fields(header: Column, nfkc=None) -> Column:
-    """struct<date, document_number>; null unless the whole header is understood."""
-    c = X.compact(nfkc(header) if nfkc else header)
+def header_fields(header: Column, nfkc=U.nfkc) -> Column:
+    """struct<date, document_number>; null unless the whole header is understood, in compatibility form."""
+    c = F.regexp_replace(nfkc(header) if nfkc else header, f"[{X.PAGE_SPACE}]+", "")
     c = F.regexp_replace(c, "^【(.*)】$", "$1")
     part = lambda i: X.ascii_digits(F.regexp_extract(c, HEADER_DATE, i))
     date = F.concat(*[x for i, unit in ((1, "年"), (2, "月"), (3, "日")) for x in (part(i).cast("int").cast("string"), F.lit(unit))])
@@ -49,7 +52,7 @@ def bracket_headers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("【[^】]+】"), F.lit(0))
 
 
-def loose_references(pages: DataFrame, key: str, text: str, nfkc=None) -> DataFrame:
+def loose_references(pages: DataFrame, key: str, text: str, nfkc=U.nfkc) -> DataFrame:
     """A row for each document number in running text: key, place on the page and the number without blanks."""
     found = F.regexp_extract_all(F.col(text), F.lit(LOOSE_NUMBER), F.lit(0))
     return pages.select(key, F.posexplode(found).alias("place", "raw")).select(key, "place", X.canonical_source_number(F.col("raw"), nfkc).alias("document_number"))
@@ -70,12 +73,20 @@ def split_blocks(pages: DataFrame, key: str, text: str, opening: str) -> DataFra
 
 
 def letters(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Letters of the pages inside the given ranges (page_start, page_end), numbered in page order."""
-    wanted = ranges.select(F.explode(F.sequence("page_start", "page_end")).alias("printed_page")).distinct()
-    blocks = split_blocks(pages.join(wanted, "printed_page"), "printed_page", "raw_text", "【[^】]+】")
-    out = blocks.withColumn("h", header_fields(F.col("mark"))).where("h IS NOT NULL")
-    out = out.withColumn("ord", F.row_number().over(Window.orderBy("printed_page", "number")))
-    return out.select(X.numbered("interpretation", F.col("ord")).alias("id"), "printed_page", "number", F.col("mark").alias("source_header"), "h.date", "h.document_number", subject(F.col("body")).alias("title"))
+    """Letters of pages (printed_page, raw_text) inside the given ranges (ord, program, page_start, page_end).
+
+    They are numbered by range, page and place; a block counts if its header is understood and it states a subject. Pages in
+    two ranges count in both.
+    """
+    wanted = ranges.select(F.col("ord").alias("range"), "program", F.explode(F.sequence("page_start", "page_end")).alias("printed_page"))
+    inside = pages.select("printed_page", "raw_text").join(wanted.select("printed_page").distinct(), "printed_page", "left_semi")
+    blocks = split_blocks(inside, "printed_page", "raw_text", "【[^】]+】").withColumns({"h": header_fields(F.col("mark")), "title": subject(F.col("body"))})
+    found = blocks.where("h IS NOT NULL AND title IS NOT NULL").join(wanted, "printed_page")
+    out = numbered_rows(found, "range", "printed_page", "number", name="ord")
+    return out.select(
+        X.numbered("interpretation", F.col("ord")).alias("id"), "program", "printed_page", "number", F.col("mark").alias("source_header"), "h.date", "h.document_number",
+        "title", (F.col("printed_page") + 2).alias("pdf_page"),
+    )
 
 
 def classify_candidates(sources: DataFrame, detections: DataFrame) -> DataFrame:
@@ -85,7 +96,7 @@ def classify_candidates(sources: DataFrame, detections: DataFrame) -> DataFrame:
     are among the sources is promoted, others await review.
     """
     both = sources.select(F.lit(0).alias("pass"), "ord", "canonical", "page", "subject").unionByName(detections.select(F.lit(1).alias("pass"), "ord", "canonical", "page", "subject"))
-    both = both.withColumn("ord", F.row_number().over(Window.orderBy("pass", "ord"))).withColumn("id", X.numbered("candidate", F.col("ord")))
+    both = numbered_rows(both.withColumnRenamed("ord", "_at"), "pass", "_at", name="ord").drop("_at").withColumn("id", X.numbered("candidate", F.col("ord")))
     w = Window.partitionBy("canonical", "page", X.normalize(F.col("subject"))).orderBy("ord")
     first = F.first("id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     known = sources.select("canonical", "page").distinct().withColumn("known", F.lit(True))
@@ -102,7 +113,7 @@ def form_titles(pages: DataFrame, key: str = "printed_page", text: str = "raw_te
     lines = lines.withColumn("t", F.trim(F.regexp_replace("t", r"^[一二三四五六七八九十、.．()（）0-9０-９\s]+", "")))
     lines = lines.where(~any_of(FORM_STOPS) & ~F.col("t").rlike("[，,；]") & (F.length("t") >= 5))
     first = lines.groupBy(key, "t").agg(F.min("line").alias("line"))
-    numbered = first.withColumn("ord", F.row_number().over(Window.orderBy(key, "line")))
+    numbered = numbered_rows(first, key, "line", name="ord")
     return numbered.select(X.numbered("form", F.col("ord")).alias("id"), key, F.col("t").alias("title"))
 
 
@@ -167,17 +178,16 @@ def missing_numbers(items: DataFrame, group: str, number: str) -> DataFrame:
     return found.select(group, F.explode(F.array_except(F.expr("sequence(1, most)"), "have")).alias("missing"))
 
 
-def earliest_marks(paragraphs: DataFrame, tasks: DataFrame) -> DataFrame:
+def earliest_marks(texts: DataFrame, tasks: DataFrame, paragraph_end: str = "\n") -> DataFrame:
     """For each owner and task the first paragraph (page, paragraph) with one of its markers, and the first such marker.
 
-    paragraphs: owner, page, paragraph, text; tasks: task, task_ord, markers (array), a few rows.
+    texts: owner, page, text, read once for all tasks; tasks: task, task_ord, markers (array).
     """
-    hit = F.exists("markers", lambda m: F.contains(F.col("text"), m))
-    found = paragraphs.join(F.broadcast(tasks), hit)
-    best = F.min_by(F.struct("page", "paragraph", "text", "markers"), F.struct("page", "paragraph"))
-    rows = found.groupBy("owner", "task").agg(best.alias("b"))
-    marker = F.get(F.filter("b.markers", lambda m: F.contains(F.col("b.text"), m)), F.lit(0))
-    return rows.select("owner", "task", F.col("b.page").alias("page"), F.col("b.paragraph").alias("paragraph"), marker.alias("marker"))
+    markers = tasks.select("task", F.posexplode("markers").alias("marker_ord", "marker"))
+    found = marker_hits(texts.select("owner", "page", "text"), "text", markers.select("marker"), piece_end=paragraph_end)
+    met = found.join(markers, "marker")
+    best = met.groupBy("owner", "task").agg(F.min(F.struct("page", F.col("piece").alias("paragraph"), "marker_ord", "marker")).alias("b"))
+    return best.select("owner", "task", "b.page", "b.paragraph", "b.marker")
 
 
 def single_anchor(mappings: DataFrame) -> DataFrame:

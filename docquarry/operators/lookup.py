@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .numbering import numbered_rows
 
 
 # Fixed value: digits that a query must have to be taken for a number.
@@ -43,8 +44,8 @@ def question_score(query: Column, question: Column, answer: Column) -> Column:
 
 
 def update_score(query: Column, title: Column, number: Column, programs: Column, sections: Column, body: Column) -> Column:
-    """Updates: number, title, programs, sections, body, then all of at least two words in the body."""
-    words = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(query, F.lit("")), f"[{X.SPACE}{X.TOKEN_SEPARATORS}]+"), X.lookup_form), lambda t: t != ""))
+    """Updates: number, title, programs, sections, body, then all of at least two words (parted by white space, repeats included) in the body."""
+    words = F.filter(F.transform(F.split(F.coalesce(query, F.lit("")), f"[{X.SPACE}]+"), X.lookup_form), lambda t: t != "")
     forms = {
         "q": X.lookup_form(query), "n": X.number_query(query), "o": X.official_number(number), "t": X.lookup_form(title), "p": X.lookup_form(programs),
         "s": X.lookup_form(sections), "b": X.lookup_form(body), "w": words,
@@ -74,8 +75,10 @@ def scored_rows(rows: DataFrame, query: Column, score: Column) -> DataFrame:
 
 
 def looked_up(rows: DataFrame, query: Column, score: Column, *ties: Column) -> DataFrame:
-    """``scored_rows``, ranked. The rank of one lookup's results is one task's work: filter or limit it for a page."""
-    return scored_rows(rows, query, score).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *ties)))
+    """``scored_rows``, ranked by score and ``ties``: by range partitions and their totals."""
+    keys = {f"_tie{i}": t for i, t in enumerate(ties)}
+    found = scored_rows(rows, query, score).withColumns({"_worse": -F.col("score"), **keys})
+    return numbered_rows(found, "_worse", *keys, name="rank").drop("_worse", *keys)
 
 
 def update_order() -> list[Column]:

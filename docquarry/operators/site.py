@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import unicode as U
 from . import ownership as O
 
 # Labels of index records, of relations without a loan, and patterns of pages whose layout matters.
@@ -97,7 +98,7 @@ def page_map(spark: SparkSession, n_pages: int, front: int, anchors: DataFrame)
     )
 
 
-def build_pages(raw: DataFrame, ranges: DataFrame, front: int = 2, nfkc=None) -> DataFrame:
+def build_pages(raw: DataFrame, ranges: DataFrame, front: int = 2, nfkc=U.nfkc) -> DataFrame:
     """Page records of (pdf_page, raw_text): printed page, chapter, display and search text, whether there is text."""
     pages = raw.withColumn("printed_page", X.printed_page(F.col("pdf_page"), front))
     pages = O.chapter(pages, "printed_page", ranges)
@@ -109,7 +110,7 @@ def build_pages(raw: DataFrame, ranges: DataFrame, front: int = 2, nfkc=None) ->
 def unprinted_anchors(raw: DataFrame, anchors: DataFrame) -> DataFrame:
     """Anchors (pdf_page, printed_page) whose printed number isn't among the last eight lines of the page."""
     lines = F.split(F.coalesce("raw_text", F.lit("")), "\n", -1)
-    tail = F.transform(F.slice(lines, F.greatest(F.size(lines) - 7, F.lit(1)), F.lit(8)), lambda t: X.search_text(t))
+    tail = F.transform(U.nfkc_each(F.slice(lines, F.greatest(F.size(lines) - 7, F.lit(1)), F.lit(8))), lambda t: X.search_text(t, None))
     met = anchors.join(raw.select("pdf_page", tail.alias("_tail")), "pdf_page", "left")
     return met.where(~F.coalesce(F.array_contains("_tail", F.col("printed_page").cast("string")), F.lit(False))).drop("_tail")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .markers import marker_hits
 
 # Hosts of official sources, kinds of sources and bases of relations.
 HOSTS = ("law.afna.gov.tw", "afna.gov.tw", "www.afna.gov.tw", "moa.gov.tw", "www.moa.gov.tw", "wm.moa.gov.tw", "agribank.com.tw", "www.agribank.com.tw")
@@ -167,10 +168,13 @@ def structure_faults(pages: DataFrame, rules: dict[str, tuple[str, int, int]], i
     return pages.select(id_col, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("fault"))
 
 
-def forbidden_tokens(rows: DataFrame, id_col: str, text_col: str, patterns: dict[str, str]) -> DataFrame:
-    """Rows with something that mustn't be published (scripts, residues, local paths): id and the pattern's name."""
-    found = [F.when(F.col(text_col).rlike(p), F.lit(name)) for name, p in patterns.items()]
-    return rows.select(id_col, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("fault"))
+def forbidden_tokens(rows: DataFrame, id_col: str, text_col: str, tokens: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Rows with something that mustn't be published (scripts, residues, local paths): id and the kind's name, once.
+
+    Each text is read once for all tokens."""
+    kinds = rows.sparkSession.createDataFrame([(k, t) for k, group in tokens.items() for t in group], "fault string, marker string")
+    found = marker_hits(rows.select(id_col, text_col), text_col, kinds.select("marker"))
+    return found.join(F.broadcast(kinds), "marker").select("_row", id_col, "fault").distinct().drop("_row")
 
 
 def without_tokens(rows: DataFrame, id_col: str, text_col: str, tokens: list[str]) -> DataFrame:
@@ -185,9 +189,11 @@ def inconsistent(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def untold(rows: DataFrame, id_col: str, text: Column, title: Column, number: Column) -> DataFrame:
-    """Rows of which neither the title nor the number stands in the text of the source, letters and digits alone."""
-    form, held = X.audit_form(text), lambda c: (X.audit_form(c) != "") & F.contains(F.col("_f"), X.audit_form(c))
-    return rows.withColumn("_f", form).where(~(held(title) | held(number))).select(id_col)
+    """Rows of which neither a spelling of the title (``text.title_variants``) nor the number stands in the text of the
+    source, letters and digits alone."""
+    held = lambda form: (form != "") & F.contains(F.col("_f"), form)
+    by_title = F.exists(X.title_variants(title), lambda t: held(X.audit_form(t)))
+    return rows.withColumn("_f", X.audit_form(text)).where(~F.coalesce(by_title | held(X.audit_form(number)), F.lit(False))).select(id_col)
 
 
 def fixture_faults(results: DataFrame, fixtures: DataFrame) -> DataFrame:

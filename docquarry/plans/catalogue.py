@@ -17,6 +17,8 @@ from ..operators import lookup as L
 from ..operators import ownership as O
 from ..operators import search as S
 from ..operators import validation as V
+from ..operators.markers import marker_hits, pages_of_markers
+from ..operators.numbering import numbered_rows
 from ..sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,7 +217,7 @@ SELECT p_partkey, score, CAST(row_number() OVER (ORDER BY score DESC, p_partkey)
 def lookup_tiered_title(spark, d):
     q = F.lit("Brand#13")
     score = L.letter_score(q, F.col("p_brand"), F.lit(""), F.col("p_name"), F.col("p_type"), F.col("p_brand"))
-    return L.looked_up(table(spark, d, "part"), q, score, F.col("p_partkey")).select("p_partkey", "score", "rank")
+    return L.looked_up(table(spark, d, "part"), q, score, F.col("p_partkey")).select("p_partkey", "score", F.col("rank").cast("int").alias("rank"))
 
 
 _NUMBER_SQL = """SELECT c_custkey, CAST(CASE WHEN length('{d}') >= 4 AND regexp_replace(c_name, '[^0-9]', '', 'g') = '{d}' THEN 100000
@@ -264,7 +266,8 @@ def lookup_filters(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("event_type").alias("source_type"), F.col("ts").cast("date").cast("string").alias("event_date"))
     first = e.agg(F.min("source_type").alias("k"), F.max(F.substring("event_date", 1, 4)).alias("y")).first()
     found = L.filter_updates(e, kind=first["k"], year=first["y"])
-    return found.select("event_id", "event_date", F.row_number().over(Window.orderBy(F.desc("event_date"), "event_id")).alias("rank"))
+    latest_first = found.withColumn("_day", -F.unix_date(F.col("event_date").cast("date")))
+    return numbered_rows(latest_first, "_day", "event_id", name="rank").select("event_id", "event_date", F.col("rank").cast("int").alias("rank"))
 
 
 @registered("SELECT DISTINCT event_type AS value FROM events")
@@ -412,9 +415,9 @@ f AS (SELECT owner, task, page, paragraph, list_filter(markers, lambda m: contai
 SELECT owner, task, page, CAST(paragraph AS INTEGER) AS paragraph, marker FROM (SELECT *, row_number() OVER (PARTITION BY owner, task ORDER BY page, paragraph) AS rn FROM f WHERE marker IS NOT NULL) WHERE rn = 1"""
 )
 def earliest_marker(spark, d):
-    lines = table(spark, d, "documents").select(F.col("source").alias("owner"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
+    texts = table(spark, d, "documents").select(F.col("source").alias("owner"), F.col("doc_id").alias("page"), "text")
     tasks = readers.inline_table(spark, TASKS, "task string, markers array<string>").withColumnRenamed("ord", "task_ord")
-    return E.earliest_marks(lines, tasks).select("owner", "task", "page", "paragraph", "marker")
+    return E.earliest_marks(texts, tasks).select("owner", "task", "page", "paragraph", "marker")
 
 
 @registered(
@@ -595,10 +598,21 @@ KEYWORDS = ("license", "the", "eau", "idiot")
 
 @registered(" UNION ALL ".join(f"SELECT '{k}' AS keyword, count(*) FILTER (WHERE contains(lower(text), '{k}')) AS n, CAST(sum(length(lower(text)) - length(replace(lower(text), '{k}', ''))) // {len(k)} AS BIGINT) AS hits FROM documents" for k in KEYWORDS))
 def keyword_hits(spark, d):
-    low = table(spark, d, "documents").select(F.lower("text").alias("t"))
-    counts = [x for k in KEYWORDS for x in (F.count_if(F.contains("t", F.lit(k))).alias(f"n_{k}"), F.sum(F.regexp_count("t", F.lit(k))).alias(f"h_{k}"))]
-    stacked = ", ".join(f"'{k}', n_{k}, h_{k}" for k in KEYWORDS)
-    return low.agg(*counts).selectExpr(f"stack({len(KEYWORDS)}, {stacked}) AS (keyword, n, hits)")
+    words = readers.inline_table(spark, [(k,) for k in KEYWORDS], "keyword string").select("keyword")
+    found = marker_hits(table(spark, d, "documents").select("doc_id", F.lower("text").alias("t")), "t", words)
+    counts = found.groupBy(F.col("marker").alias("keyword")).agg(F.count("*").alias("n"), F.sum("apart").alias("hits"))
+    return words.join(counts, "keyword", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n", "hits")})
+
+
+@registered(
+    f"""WITH k AS (SELECT unnest({_list(list(KEYWORDS))}) AS marker), p AS (SELECT page_id, url, marker, lower(html) AS t FROM pages, k)
+SELECT marker, count(DISTINCT split_part(url, '/', 3)) AS pages, CAST(sum((length(t) - length(replace(t, marker, ''))) // length(marker)) AS BIGINT) AS apart FROM p WHERE contains(t, marker) GROUP BY marker"""
+)
+def hosts_of_keywords(spark, d):
+    """Each keyword's hosts, and its hits in all pages."""
+    words = readers.inline_table(spark, [(k,) for k in KEYWORDS], "keyword string").select("keyword")
+    pages = table(spark, d, "pages").select(F.element_at(F.split("url", "/"), 3).alias("host"), F.lower("html").alias("t"))
+    return pages_of_markers(marker_hits(pages, "t", words), "host").select("marker", "pages", "apart")
 
 
 @registered("SELECT source, count(*) AS total, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'fr') AS fr FROM documents GROUP BY source HAVING count(*) <> count(*) FILTER (WHERE lang IN ('en', 'fr'))")

@@ -401,7 +401,7 @@ def structure_faults(spark, d):
 
 @registered("SELECT page_id, 'script' AS fault FROM pages WHERE contains(html, '<script') UNION ALL SELECT page_id, 'noise' FROM pages WHERE regexp_matches(html, '%%%|###') UNION ALL SELECT page_id, 'local-path' FROM pages WHERE contains(html, '/root/')")
 def forbidden_tokens(spark, d):
-    return V.forbidden_tokens(table(spark, d, "pages"), "page_id", "html", {"script": "<script", "noise": "%%%|###", "local-path": "/root/"})
+    return V.forbidden_tokens(table(spark, d, "pages"), "page_id", "html", {"script": ("<script",), "noise": ("%%%", "###"), "local-path": ("/root/",)})
 
 
 @registered("SELECT page_id, token FROM pages, (VALUES ('lang=\"en\"'), ('<nav>'), ('the ')) t(token) WHERE NOT contains(html, token)")
