@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from docquarry.plans import catalogue, indexed, rules  # noqa: F401
+from docquarry.plans import catalogue, indexed, rules, web  # noqa: F401
 
 
 @pytest.fixture(scope="module")
