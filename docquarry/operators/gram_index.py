@@ -18,6 +18,8 @@ folders that are read; larger query tables are written to the shared folder and
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -68,6 +70,9 @@ def _digest(records: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(records.columns)), {"ignoreNullFields": "false"}), 256)
 
 
+_POSTINGS = "gram long, block int, ords array<{}>, part int"
+
+
 class Index:
     """A version of an index, open for reading."""
 
@@ -77,7 +82,10 @@ class Index:
         self.n_records, self.slices, self.blocks, self.parts, self.rules = meta["records"], meta["slices"], meta["blocks"], meta["parts"], meta["rules"]
         if self.rules != RULES:
             raise ValueError(f"the index was prepared by rules {self.rules}, these are {RULES}: build it anew")
-        self.records, self.postings, self.grams = (spark.read.parquet(f"{folder}/{t}") for t in ("records", "postings", "grams"))
+        kinds = T.StructType.fromJson(json.loads(meta["columns"]))
+        self.records = spark.read.schema(kinds).parquet(f"{folder}/records")
+        self.postings = spark.read.schema(_POSTINGS.format(kinds["ord"].dataType.simpleString())).parquet(f"{folder}/postings")
+        self.grams = spark.read.schema("gram long, n long, part int").parquet(f"{folder}/grams")
 
 
 def _postings(prepared: DataFrame, blocks: int, parts: int) -> DataFrame:
@@ -90,7 +98,7 @@ def _write_postings(postings: DataFrame, folder: str) -> None:
     dealt = postings.repartitionByRange("part", "gram", "block").sortWithinPartitions("part", "gram", "block")
     dealt.write.partitionBy("part").parquet(f"{folder}/postings")
     spark = postings.sparkSession
-    counts = spark.read.parquet(f"{folder}/postings").groupBy("part", "gram").agg(F.sum(F.size("ords")).alias("n"))
+    counts = spark.read.schema(postings.select("gram", "block", "ords", "part").schema).parquet(f"{folder}/postings").groupBy("part", "gram").agg(F.sum(F.size("ords")).alias("n"))
     counts.repartitionByRange("part", "gram").sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(f"{folder}/grams")
 
 
@@ -98,9 +106,9 @@ def _write(folder: str, prepared: DataFrame, postings: DataFrame | None, slices:
     spark = prepared.sparkSession
     keyed = prepared.withColumn("slice", F.pmod(F.xxhash64("ord"), F.lit(slices)).cast("int"))
     keyed.repartitionByRange("slice", "ord").sortWithinPartitions("slice", "ord").write.partitionBy("slice").parquet(f"{folder}/records")
-    kept = spark.read.parquet(f"{folder}/records")
+    kept = spark.read.schema(keyed.schema).parquet(f"{folder}/records")
     _write_postings(_postings(kept, blocks, parts) if postings is None else postings, folder)
-    meta = kept.agg(F.count("*").alias("records"), F.lit(slices).alias("slices"), F.lit(blocks).alias("blocks"), F.lit(parts).alias("parts"), F.lit(RULES).alias("rules"))
+    meta = kept.agg(F.count("*").alias("records"), F.lit(slices).alias("slices"), F.lit(blocks).alias("blocks"), F.lit(parts).alias("parts"), F.lit(RULES).alias("rules"), F.lit(keyed.schema.json()).alias("columns"))
     meta.write.parquet(f"{folder}/meta")
 
 
