@@ -43,6 +43,8 @@ from .components import connected_components
 from .tokens import SHORT, _mix, distinct, short_keys
 
 CHUNK, TILE, SEEDS, PARITY, HELD, REMEMBERED = 300_000, 512, 4, 512, 100_000, 200_000
+#: Rows that a worker gets at a time: a row may hold two whole texts.
+ROWS = 100
 U = np.uint64
 SEPARATORS = (32, 9, 10, 11, 12, 13)
 _SPACE = np.zeros(256, bool)
@@ -308,9 +310,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, p: int, q: int) -> Data
             return sets[key]
 
         for batch in batches:
-            a_text, b_text, *ids = (batch.column(i).to_pylist() for i in (4, 5, 0, 1, 2, 3))
+            ids = zip(*(batch.column(i).to_pylist() for i in range(4)))
             keep = []
-            for text, other, a, b, a_key, b_key in zip(a_text, b_text, *ids):
+            for i, (a, b, a_key, b_key) in enumerate(ids):
+                text, other = batch.column(4)[i].as_py(), batch.column(5)[i].as_py()  # one pair at a time, since texts may be long
                 x, y = held((a, a_key), text), held((b, b_key), other)
                 common = len(x & y)
                 keep.append(q * common >= p * (len(x) + len(y) - common))
@@ -392,7 +395,7 @@ def _tile_pairs(tiles: DataFrame, p: int, q: int) -> DataFrame:
 
 def link_documents(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_shingles and component_id (the least id reached by links) of every row."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, ROWS):
         return _link_documents(docs, n, p, q, id_col, text_col)
 
 
@@ -488,7 +491,7 @@ def link_pairs(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: s
     told by its least id and its key (an id that is repeated with other texts may be the least of more than one). Rows
     without a class (null id, no words) have nulls there. Rows of one class are linked among themselves.
     """
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, ROWS):
         described, classes, links = _all_links(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n, p, q)
     of = classes.select("key", "key2", "n_shingles", F.col("rep").alias("class_id"), F.col("key").alias("class_key"), F.col("rows").alias("class_rows"))
     known = F.col("id").isNotNull() & (F.col("n_shingles") > 0)
@@ -498,7 +501,7 @@ def link_pairs(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: s
 
 def count_links(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of ``link_documents`` and n_links: how many other rows each row is linked with itself, not over others."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, ROWS):
         described, classes, links = _all_links(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n, p, q)
         labels = _components(links)
         ends = links.select(F.col("a_key").alias("key"), F.col("b_key").alias("other")).union(links.select("b_key", "a_key"))
@@ -514,7 +517,7 @@ def keep_one_of_each(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_
     """
     # null ids stand behind all others here; what a row is, its id and its set tell together
     number = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, ROWS):
         described, classes, labels = _linked(docs.select(number.alias("id"), F.col(text_col).alias("text")), n, p, q)
         rows = described.where("n_shingles > 0").groupBy("id", "key").agg(F.count("*").alias("rows"))
         rows = rows.join(labels, "key", "left").select("id", "key", "rows", F.coalesce("label", "key").alias("label"))
