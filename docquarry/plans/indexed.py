@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import digest_tree as T
 from ..operators import gram_index as G
 from ..operators import search as S
 from ..sources.shared import fresh_path
-from .catalogue import RECORDS_SQL, records, registered, scored_sql
+from .catalogue import RECORDS_SQL, records, registered, scored_sql, table
 
 # selective terms, a number, a term that the scan must answer, one that nothing has, an empty and a refused query
 ASKED = ("license version public", "idiot moron", "no17x", "public license", "eau", "zzzzz", " ", "x" * 300)
@@ -57,3 +58,22 @@ def search_refreshed(spark, d):
     index = G.refresh(G.build(before, target), target, later)
     found = G.search(index, S.query_table(index.records, *ASKED[:4]), proximity=False, spread=False)
     return found.select("query_id", "ord", "score", "match_kind", "rank")
+
+
+@registered("SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'changed' WHEN doc_id % 97 = 1 THEN 'removed' ELSE 'added' END AS change FROM documents WHERE doc_id % 97 < 3")
+def changed_rows(spark, d):
+    """Two builds of the documents that differ in a few rows; the trees' differing leaves lead to them."""
+    docs, k = table(spark, d, "documents"), F.col("doc_id") % 97
+    before = T.write_by_leaf(docs.where(k != 2), fresh_path(spark, "build"), "doc_id")
+    after = T.write_by_leaf(docs.where(k != 1).withColumn("text", F.when(k == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))), fresh_path(spark, "build"), "doc_id")
+    return T.changed_rows(before, after, "doc_id")
+
+
+@registered("SELECT 1 AS roots, count(*) AS n FROM documents")
+def build_orders(spark, d):
+    """Four builds in different orders of rows and columns: one root."""
+    docs = table(spark, d, "documents")
+    builds = [docs, docs.orderBy("text"), docs.repartition(7, "source").select(*sorted(docs.columns, reverse=True)), docs.where("lang = 'en'").union(docs.where("coalesce(lang, '') <> 'en'"))]
+    roots = [T.digest_tree(b, "doc_id").where("level = 0").select("digest", "n") for b in builds]
+    every = roots[0].union(roots[1]).union(roots[2]).union(roots[3])
+    return every.agg(F.countDistinct("digest").cast("int").alias("roots"), F.max("n").alias("n"))
