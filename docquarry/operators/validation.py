@@ -168,11 +168,11 @@ def structure_faults(pages: DataFrame, rules: dict[str, tuple[str, int, int]], i
     return pages.select(id_col, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("fault"))
 
 
-def forbidden_tokens(rows: DataFrame, id_col: str, text_col: str, tokens: dict[str, tuple[str, ...]]) -> DataFrame:
+def forbidden_tokens(rows: DataFrame, id_col: str, text_col: str, tokens: dict[str, str | tuple[str, ...]]) -> DataFrame:
     """Rows with something that mustn't be published (scripts, residues, local paths): id and the kind's name, once.
 
     Each text is read once for all tokens."""
-    kinds = rows.sparkSession.createDataFrame([(k, t) for k, group in tokens.items() for t in group], "fault string, marker string")
+    kinds = rows.sparkSession.createDataFrame([(k, t) for k, group in tokens.items() for t in ((group,) if isinstance(group, str) else group)], "fault string, marker string")
     found = marker_hits(rows.select(id_col, text_col), text_col, kinds.select("marker"))
     return found.join(F.broadcast(kinds), "marker").select("_row", id_col, "fault").distinct().drop("_row")
 
