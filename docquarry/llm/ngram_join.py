@@ -10,7 +10,8 @@ in the end one that all such sets share. So no link is lost.
 
 Words up to seven bytes are told apart by their bytes, longer ones by 128-bit BLAKE2b digests; a shingle is known by 128 bits
 made from its words', and a set by the 128-bit digest of its sorted shingles. Equal sets are one class from the
-start, and a class, not a document id, is what is linked. Classes that share a signature are compared with the least of
+start, and a class, not a document id, is what is linked. Signatures, links and components know a class by the first 64
+bits alone: different sets that agree in those get one component. Classes that share a signature are compared with the least of
 them; exact links come from the words of the whole texts. Where a signature's classes are then still in different
 components, they are compared among each other, in tiles of about TILE classes dealt by a hash, first by size and by parity
 bits (whose number of differences never exceeds that of the sets), then by words. Components need no more than that.
