@@ -43,7 +43,9 @@ from .common import IdFilter, small_batches, written
 from .components import connected_components
 from .tokens import SHORT, _mix, distinct, short_keys
 
-CHUNK, TILE, SEEDS, PARITY, HELD, REMEMBERED = 300_000, 512, 4, 512, 100_000, 200_000
+CHUNK, TILE, SEEDS, PARITY, HELD, REMEMBERED = 150_000, 512, 4, 512, 30_000, 50_000
+#: Bits of a signature that are shuffled. Where two agree by chance, their sets are compared in vain; no link is lost.
+SIG_BITS = 40
 #: Rows that a worker gets at a time: a row may hold two whole texts.
 ROWS = 100
 U = np.uint64
@@ -151,7 +153,8 @@ class Bands:
         k = (high - 1) * (self.q - self.p) // self.p
         if k <= 3:
             return k, 1, k, k + 3, 0
-        k2, n2 = (2, 5) if k <= 11 else (1, 3)
+        # the most partitions, each one cell: a third fewer signatures than by two cells of three, and each of about as many elements
+        k2, n2 = (2, 5) if k <= 11 else (0, 1)
         m, base = 0, k // (k2 + 1) + 1
         while True:
             n1 = base + m
@@ -260,7 +263,8 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _signature_rows(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """sig, key: a row for each signature of each row of (id, text)."""
+    """key, sig: a row for each signature of each row of (id, text); the bytes that a signature leaves empty come last, where
+    the shuffle's compression takes them together with the next row's head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = bands(p, q)
@@ -268,9 +272,10 @@ def _signature_rows(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
             for _, group in _grouped(batch.column(1).to_pylist()):
                 value, more, count = shingles(group, n)
                 sig, owner = signatures(value, count, at)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(set_keys(value, more, count)[0][owner])], names=["sig", "key"])
+                sig = (sig >> U(64 - SIG_BITS)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(value, more, count)[0][owner]), pa.array(sig)], names=["key", "sig"])
 
-    return docs.mapInArrow(run, "sig long, key long")
+    return docs.mapInArrow(run, "key long, sig long")
 
 
 def _keyed(docs: DataFrame, n: int) -> DataFrame:
