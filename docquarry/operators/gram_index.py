@@ -19,10 +19,12 @@ folders that are read; larger query tables are written to the shared folder and
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,21 +39,44 @@ RULES = 1
 SCAN_SHARE, GRAMS_PER_TERM = 0.2, 3
 #: Records of a block of postings and of a slice; the most folders of records and of grams.
 BLOCK, SLICE, MOST_FOLDERS = 65_536, 1000, 1000
+#: Characters of the records whose grams a worker sorts at a time.
+CHUNK = 1_000_000
 _SHIFT = 21  # bits of a code point
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _grams_of(fields: pd.Series) -> pd.Series:
-    """Distinct grams of the texts of each row; a gram doesn't reach from one text into the next."""
-
-    def grams(texts) -> np.ndarray:
-        found = []
-        for t in texts:
-            c = np.frombuffer((t or "").encode("utf-32-le"), "<u4").astype(np.int64)
-            found.append(c[:-2] << (2 * _SHIFT) | c[1:-1] << _SHIFT | c[2:])
-        return np.unique(np.concatenate(found))
-
-    return fields.map(grams)
+def _gram_rows(rows: DataFrame) -> DataFrame:
+    """(block, gram, ords) of rows (ord, block, texts): the distinct records of each gram in a run of records with CHUNK
+    characters, so what is shuffled are lists, not pairs. A gram doesn't reach from one text into the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column(2).offsets.to_numpy()
+            texts, at, size = batch.column(2).values, 0, 0
+            for i in range(batch.num_rows):
+                size += sum(len(t.as_py() or "") for t in texts[int(ends[i]) : int(ends[i + 1])])
+                if size >= CHUNK or i + 1 == batch.num_rows:
+                    yield grouped(batch.slice(at, i + 1 - at))
+                    at, size = i + 1, 0
+
+    def grouped(rows: pa.RecordBatch) -> pa.RecordBatch:
+        codes, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, texts in enumerate(rows.column(2).to_pylist()):
+            found = []
+            for t in texts:
+                c = np.frombuffer((t or "").encode("utf-32-le"), "<u4").astype(np.int64)
+                found.append(c[:-2] << (2 * _SHIFT) | c[1:-1] << _SHIFT | c[2:])
+            codes.append(np.unique(np.concatenate(found)))
+            place.append(np.full(len(codes[-1]), i))
+        gram, row = np.concatenate(codes), np.concatenate(place)
+        block = rows.column(1).to_numpy()[row]
+        order = np.lexsort((gram, block))
+        gram, row, block = gram[order], row[order], block[order]
+        first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])][: len(gram)])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(gram)], pa.int32()), rows.column(0).take(pa.array(row)))
+        return pa.RecordBatch.from_arrays([pa.array(block[first], pa.int32()), pa.array(gram[first]), lists], names=["block", "gram", "ords"])
+
+    ord_type = rows.schema["ord"].dataType
+    return rows.mapInArrow(run, T.StructType([T.StructField("block", T.IntegerType()), T.StructField("gram", T.LongType()), T.StructField("ords", T.ArrayType(ord_type))]))
 
 
 def _term_grams(term: Column) -> Column:
@@ -88,24 +113,35 @@ class Index:
         self.grams = spark.read.schema("gram long, n long, part int").parquet(f"{folder}/grams")
 
 
-def _postings(prepared: DataFrame, blocks: int, parts: int) -> DataFrame:
+def _some_postings(prepared: DataFrame, blocks: int, parts: int) -> DataFrame:
+    """part, gram, block, ords of prepared records; a gram and block may have more than one row."""
     fields = F.array(*[f"f_{f}" for f in S.FIELDS])
-    each = prepared.select("ord", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int").alias("block"), F.explode(_grams_of(fields)).alias("gram"))
-    return each.groupBy("gram", "block").agg(F.sort_array(F.collect_set("ord")).alias("ords")).withColumn("part", _part("gram", parts))
+    each = prepared.select("ord", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int").alias("block"), fields.alias("texts"))
+    return _gram_rows(each).select(_part("gram", parts).alias("part"), "gram", "block", "ords")
+
+
+def _by_part(some: DataFrame) -> GroupedData:
+    """Grouped for the postings' rows, dealt by part, so that they are shuffled once and lie as they are written."""
+    return some.repartition("part").groupBy("part", "gram", "block")
+
+
+def _postings(prepared: DataFrame, blocks: int, parts: int) -> DataFrame:
+    return _by_part(_some_postings(prepared, blocks, parts)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ords")))).alias("ords"))
 
 
 def _write_postings(postings: DataFrame, folder: str) -> None:
-    dealt = postings.repartitionByRange("part", "gram", "block").sortWithinPartitions("part", "gram", "block")
-    dealt.write.partitionBy("part").parquet(f"{folder}/postings")
+    """``postings`` come dealt by part (see ``_by_part``)."""
+    postings.select("gram", "block", "ords", "part").sortWithinPartitions("part", "gram", "block").write.partitionBy("part").parquet(f"{folder}/postings")
     spark = postings.sparkSession
     counts = spark.read.schema(postings.select("gram", "block", "ords", "part").schema).parquet(f"{folder}/postings").groupBy("part", "gram").agg(F.sum(F.size("ords")).alias("n"))
-    counts.repartitionByRange("part", "gram").sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(f"{folder}/grams")
+    counts.repartition("part").sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(f"{folder}/grams")
 
 
 def _write(folder: str, prepared: DataFrame, postings: DataFrame | None, slices: int, blocks: int, parts: int) -> None:
     spark = prepared.sparkSession
     keyed = prepared.withColumn("slice", F.pmod(F.xxhash64("ord"), F.lit(slices)).cast("int"))
-    keyed.repartitionByRange("slice", "ord").sortWithinPartitions("slice", "ord").write.partitionBy("slice").parquet(f"{folder}/records")
+    # dealt by hash: ranges would prepare all records twice, once for their sample
+    keyed.repartition("slice").sortWithinPartitions("slice", "ord").write.partitionBy("slice").parquet(f"{folder}/records")
     kept = spark.read.schema(keyed.schema).parquet(f"{folder}/records")
     _write_postings(_postings(kept, blocks, parts) if postings is None else postings, folder)
     meta = kept.agg(F.count("*").alias("records"), F.lit(slices).alias("slices"), F.lit(blocks).alias("blocks"), F.lit(parts).alias("parts"), F.lit(RULES).alias("rules"), F.lit(keyed.schema.json()).alias("columns"))
@@ -157,11 +193,13 @@ def refresh(index: Index, target: str, records: DataFrame, nfkc=U.nfkc) -> Index
     found = written(found, "changes")
     fresh = _prepared(records.join(found.where("change <> 'deleted'").select("ord"), "ord", "left_semi"), nfkc)
     stays = index.records.drop("slice").join(found.select("ord"), "ord", "left_anti")
-    gone = found.where("change <> 'new'").groupBy(F.pmod(F.xxhash64("ord"), F.lit(index.blocks)).cast("int").alias("block")).agg(F.collect_set("ord").alias("gone"))
-    kept = index.postings.join(gone, "block", "left").withColumn("ords", F.when(F.col("gone").isNull(), F.col("ords")).otherwise(F.array_except("ords", "gone"))).drop("gone")
     fresh = written(fresh, "fresh")
-    merged = kept.select("gram", "block", "ords", "part").union(_postings(fresh, index.blocks, index.parts).select("gram", "block", "ords", "part"))
-    merged = merged.where(F.size("ords") > 0).groupBy("gram", "block", "part").agg(F.sort_array(F.flatten(F.collect_list("ords"))).alias("ords"))
+    # the grams of the records that changed or went, as they were, tell which postings hold them
+    went = index.records.join(found.where("change <> 'new'").select("ord"), "ord", "left_semi")
+    kinds = {"kept": index.postings.select("part", "gram", "block", "ords"), "gone": _some_postings(went, index.blocks, index.parts), "fresh": _some_postings(fresh, index.blocks, index.parts)}
+    every = reduce(DataFrame.union, [rows.withColumn("kind", F.lit(kind)) for kind, rows in kinds.items()])
+    of = {kind: F.flatten(F.collect_list(F.when(F.col("kind") == kind, F.col("ords")))) for kind in kinds}
+    merged = _by_part(every).agg(F.array_sort(F.array_distinct(F.concat(F.array_except(of["kept"], of["gone"]), of["fresh"]))).alias("ords")).where(F.size("ords") > 0)
     versions.publish(spark, target, lambda folder: _write(folder, stays.unionByName(fresh.select(stays.columns)), merged, index.slices, index.blocks, index.parts), index.number)
     return opened(spark, target)
 

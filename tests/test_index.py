@@ -137,3 +137,18 @@ def test_registered_queries_go_through_the_index(spark, small):
     from docquarry.plans import indexed
 
     assert C.QUERIES["search_indexed"] is indexed.search_indexed
+
+
+def test_postings_are_shuffled_as_lists(spark, monkeypatch):
+    """A worker joins the records of a gram before the shuffle, in runs of records; repeats and blocks make no difference."""
+    prepared = S.prepare_records(made(spark, random.Random(8), 120).coalesce(1))
+    prepared = prepared.union(prepared.where("ord < 5"))
+    pairs = {(g, r.ord) for r in prepared.collect() for f in S.FIELDS for t in [r[f"f_{f}"]] for g in (ord(t[i]) << 42 | ord(t[i + 1]) << 21 | ord(t[i + 2]) for i in range(len(t) - 2))}
+    for size in (G.CHUNK, 100):
+        monkeypatch.setattr(G, "CHUNK", size)
+        some = G._some_postings(prepared, 3, 4)
+        flat = G._postings(prepared, 3, 4).select("gram", F.explode("ords").alias("ord")).collect()
+        assert len(flat) == len(pairs) and {(r.gram, r.ord) for r in flat} == pairs
+        assert size == 100 or some.count() < len(pairs) / 2
+    plan = G._postings(prepared, 3, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
