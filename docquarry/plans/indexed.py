@@ -73,7 +73,7 @@ def changed_rows(spark, d):
 def build_orders(spark, d):
     """Four builds in different orders of rows and columns: one root."""
     docs = table(spark, d, "documents")
-    builds = [docs, docs.orderBy("text"), docs.repartition(7, "source").select(*sorted(docs.columns, reverse=True)), docs.where("lang = 'en'").union(docs.where("coalesce(lang, '') <> 'en'"))]
+    builds = [docs, docs.orderBy("text"), docs.repartition("source", "doc_id").select(*sorted(docs.columns, reverse=True)), docs.where("lang = 'en'").union(docs.where("coalesce(lang, '') <> 'en'"))]
     roots = [T.digest_tree(b, "doc_id").where("level = 0").select("digest", "n") for b in builds]
     every = roots[0].union(roots[1]).union(roots[2]).union(roots[3])
     return every.agg(F.countDistinct("digest").cast("int").alias("roots"), F.max("n").alias("n"))

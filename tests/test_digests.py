@@ -20,3 +20,12 @@ def test_roots_and_branches(spark, tmp_path):
     read = T.rows_of_leaves(a, leaves)
     scan = next(x for x in read._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x)
     assert "_branch" in scan.split("PartitionFilters:")[1].split("PushedFilters")[0] and read.count() >= 1
+
+
+def test_no_build_is_dealt_to_a_fixed_number_of_tasks(spark, small):
+    from docquarry.plans import indexed
+
+    found = indexed.build_orders(spark, small)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "REPARTITION_BY_NUM" not in plan
+    assert found.first().roots == 1
