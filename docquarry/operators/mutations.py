@@ -2,6 +2,8 @@
 
 Every table is held once as it is and once for each mutation. The copies can't meet in a rule's joins and groups, since the
 columns by which rules join and group begin with the mutation's name there. So a rule runs once over all copies.
+
+Copies are many times the table, and what reads a small file is one task: a table is dealt to more tasks before it is multiplied.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Between a mutation's name and a value.
 MARK = "\x1f"
+#: Copied rows of one task, about: rules may sort them where they are made.
+ROWS = 1 << 19
 
 
 class Mutation(NamedTuple):
@@ -35,8 +39,11 @@ class Table(NamedTuple):
 
 
 def mutated(name: str, table: Table, mutations: list[Mutation]) -> DataFrame:
-    """The table's copies, told apart by their keys; null and empty keys stay so. No row is shuffled."""
+    """The table's copies, told apart by their keys; null and empty keys stay so. No copy is shuffled, but the rows are where they are many."""
     rows, kind = table.rows, {f.name: f.dataType.typeName() for f in table.rows.schema}
+    tasks = -(-rows.count() * (len(mutations) + 1) // ROWS)
+    if tasks > 1:
+        rows = rows.repartition(tasks, *table.keys)
     out = rows.withColumn("_mutation", F.explode(F.array(*[F.lit(m.name) for m in (Mutation("", "", F.lit(False)), *mutations)])))
     own = [m for m in mutations if m.table == name]
     hit = {m.name: (F.col("_mutation") == m.name) & F.coalesce(m.where, F.lit(False)) for m in own}

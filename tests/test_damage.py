@@ -80,3 +80,14 @@ def test_faults_of_undamaged_tables_catch_nothing(spark):
     matrix = M.corruption_matrix({"rows": M.Table(rows, ("id",))}, mutations, {"large": lambda t: t["rows"].where("v > 5").select("id")})
     got = {r.mutation: (r.caught, r.rules) for r in M.mutation_verdicts(matrix, mutations).collect()}
     assert got == {"": (False, "large:large"), "harmless": (False, ""), "worse": (True, "large:large"), "better": (True, "large:large")}
+
+
+def test_copies_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(M, "ROWS", 400, raising=False)
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.array(F.lit("x")).alias("of"), F.col("id").alias("v")).coalesce(1)
+    mutations = [M.Mutation("twice", "rows", F.col("v") % 10 == 0, copies=2), M.Mutation("gone", "rows", F.col("v") % 4 == 0, copies=0), M.Mutation("elsewhere", "others", F.lit(True), copies=0)]
+    copies = M.mutated("rows", M.Table(rows, ("id", "of")), mutations)
+    assert copies.count() == 4000 + 100 - 250 and copies.distinct().count() == 4000 - 250
+    assert max(r[0] for r in copies.groupBy(F.spark_partition_id()).agg(F.count("*")).select("count(1)").collect()) < 1200
+    few = M.mutated("rows", M.Table(rows.limit(50), ("id", "of")), mutations)
+    assert few.count() >= 200 - 50 and "REPARTITION" not in few._jdf.queryExecution().executedPlan().toString()
