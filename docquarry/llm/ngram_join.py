@@ -14,7 +14,7 @@ start, and a class, not a document id, is what is linked. Signatures, links and
 bits alone: different sets that agree in those get one component. Classes that share a signature are compared with the least of
 them; exact links come from the words of the whole texts. Where a signature's classes are then still in different
 components, they are compared among each other, in tiles of about TILE classes dealt by a hash, first by size and by parity
-bits (whose number of differences never exceeds that of the sets), then by words. Components need no more than that.
+bits (whose number of differences never exceeds that of the sets; about as many bits as the set has shingles), then by words. Components need no more than that.
 ``link_pairs`` and ``count_links`` compare all classes that share a signature, also those already in one component, so
 they have every link.
 
@@ -43,7 +43,9 @@ from .common import IdFilter, small_batches, written
 from .components import connected_components
 from .tokens import SHORT, _mix, distinct, short_keys
 
-CHUNK, TILE, SEEDS, PARITY, HELD, REMEMBERED = 150_000, 512, 4, 512, 30_000, 50_000
+CHUNK, TILE, SEEDS, HELD, REMEMBERED = 150_000, 512, 4, 30_000, 50_000
+#: The least and the most parity bits of a set; too few of them rule nothing out, and then whole texts are shuffled for each pair.
+PARITY, PARITY_MOST = 512, 1 << 15
 #: Bits of a signature that are shuffled. Where two agree by chance, their sets are compared in vain; no link is lost.
 SIG_BITS = 40
 #: Rows that a worker gets at a time: a row may hold two whole texts.
@@ -132,6 +134,26 @@ def set_keys(value: np.ndarray, more: np.ndarray, count: np.ndarray) -> tuple[np
     return tuple(np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2).T)
 
 
+def parities(value: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """Each set's parity bits: how many of its shingles, modulo 2, have each remainder by a power of two not below its size."""
+    bits = np.clip(2 ** np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64), PARITY, PARITY_MOST)
+    ends = np.cumsum(bits)
+    place = np.repeat(ends - bits, count) + (value & np.repeat(bits - 1, count).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8)).tobytes()
+    return [packed[a:b] for a, b in zip(((ends - bits) // 8).tolist(), (ends // 8).tolist())]
+
+
+def _folded(cells: list[bytes], size: int) -> np.ndarray:
+    """Parity bits as rows of ``size`` bytes: a longer row's remainders by the lower power are the sums of its parts."""
+    lengths = np.array([len(x) for x in cells])
+    out = np.empty((len(cells), size), np.uint8)
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        whole = np.frombuffer(b"".join([cells[i] for i in at]), np.uint8).reshape(len(at), -1, size)
+        out[at] = np.bitwise_xor.reduce(whole, axis=1)
+    return out
+
+
 class Bands:
     """Size bands and each band's partitions for a similarity of at least p / q."""
 
@@ -251,11 +273,8 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
             for at, group in _grouped(batch.column(1).to_pylist()):
                 value, more, count = shingles(group, n)
                 key, key2 = set_keys(value, more, count)
-                owner = np.repeat(np.arange(len(group)), count)
-                odd = np.bincount(owner * PARITY + (value % U(PARITY)).astype(np.int64), minlength=len(group) * PARITY) & 1
-                parity = np.packbits(odd.reshape(len(group), PARITY).astype(np.uint8), axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(group)), pa.array(count, pa.int64()), pa.array(key), pa.array(key2), pa.array([x.tobytes() for x in parity], pa.binary())],
+                    [batch.column(0).slice(at, len(group)), pa.array(count, pa.int64()), pa.array(key), pa.array(key2), pa.array(parities(value, count), pa.binary())],
                     names=["id", "n_shingles", "key", "key2", "parity"],
                 )
 
@@ -341,9 +360,13 @@ def _maybe_similar(pairs: DataFrame, classes: DataFrame, p: int, q: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (6, 7))
+                x, y = (batch.column(i).to_pylist() for i in (6, 7))
                 a_n, b_n = (batch.column(i).to_numpy() for i in (4, 5))
-                differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                sizes = np.array([min(len(a), len(b)) for a, b in zip(x, y)])
+                differ = np.zeros(len(sizes), np.int64)
+                for size in np.unique(sizes).tolist():
+                    at = np.flatnonzero(sizes == size)
+                    differ[at] = np.bitwise_count(_folded([x[i] for i in at], size) ^ _folded([y[i] for i in at], size)).sum(1, dtype=np.int64)
                 keep = _close(a_n, b_n, differ, p, q)
                 yield batch.filter(pa.array(keep)).select([0, 1, 2, 3])
 
@@ -359,12 +382,13 @@ def _tile_pairs(tiles: DataFrame, p: int, q: int) -> DataFrame:
 
     def pairs(rows: pa.RecordBatch) -> pa.RecordBatch | None:
         t1, t2, t, rep, key, label, n = (rows.column(i).to_numpy() for i in (1, 2, 3, 4, 5, 6, 7))
-        parity = np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint64).reshape(len(rep), -1)
+        cells = rows.column(8).to_pylist()
+        parity = _folded(cells, min(map(len, cells))).view(np.uint64)
         left, right = (np.flatnonzero(t == t1), np.flatnonzero(t == t2))
         found = []
         for i in left:
             j = right[right > i] if t1[0] == t2[0] else right
-            j = j[(label[j] != label[i]) & (key[j] != key[i])]
+            j = j[(label[j] != label[i]) & (key[j] != key[i]) & _close(n[i], n[j], 0, p, q)]
             if len(j):
                 differ = np.bitwise_count(parity[j] ^ parity[i]).sum(1, dtype=np.int64)
                 j = j[_close(n[i], n[j], differ, p, q)]

@@ -1,6 +1,7 @@
 """How much the similarity join shuffles for a set."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from docquarry.llm import ngram_join
 
@@ -35,3 +36,33 @@ def test_links_survive_signatures_that_agree_by_chance(spark, monkeypatch):
         monkeypatch.setattr(ngram_join, "SIG_BITS", bits)
         found = {r.doc_id: r.component_id for r in ngram_join.link_documents(docs).collect()}
         assert [found[i] for i in range(len(texts))] == label
+
+
+def test_parities_rule_out_long_texts_that_are_half_alike(spark):
+    """Pairs of long texts that aren't similar enough go without their texts; no similar pair does, whatever the sizes."""
+    rng = np.random.default_rng(3)
+    long = list(map(str, rng.integers(0, 100_000, 4000)))
+    other = list(map(str, rng.integers(0, 100_000, 4000)))
+    texts = [long, long[:2000] + other[:2000], [*long[:3900], "x"], [*long, *other[:250]], other, long[:30], [*long[:29], "x"]]
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    classes = ngram_join._describe(docs, 5).withColumn("rep", F.col("id"))
+    pairs = classes.select(F.col("key").alias("a_key")).crossJoin(classes.select(F.col("key").alias("b_key")))
+    found = {(r.a, r.b) for r in ngram_join._maybe_similar(pairs, classes, 80, 100).collect()}
+    sets = [ngram_join.shingle_set(t, 5) for t in texts]
+    assert found == {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 100 * len(a & b) >= 80 * len(a | b)}
+    assert {(0, 2), (0, 3)} <= found
+
+
+def test_parities_never_exceed_the_differences():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 63, 60_000).astype(np.uint64)
+    sizes = np.array([1, 511, 512, 513, 700, 1100, 5000, 40_000])
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in sizes]
+    cells = ngram_join.parities(np.concatenate(sets), sizes)
+    assert [8 * len(c) for c in cells] == [512, 512, 512, 1024, 1024, 2048, 8192, 32_768]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            x, y = ngram_join._folded([cells[i], cells[j]], min(len(cells[i]), len(cells[j])))
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+    assert ngram_join.parities(np.empty(0, np.uint64), np.zeros(1, np.int64)) == [bytes(64)]
