@@ -14,7 +14,9 @@ start, and a class, not a document id, is what is linked. Signatures, links and
 bits alone: different sets that agree in those get one component. Classes that share a signature are compared with the least of
 them; exact links come from the words of the whole texts. Where a signature's classes are then still in different
 components, they are compared among each other, in tiles of about TILE classes dealt by a hash, first by size and by parity
-bits (whose number of differences never exceeds that of the sets; about as many bits as the set has shingles), then by words. Components need no more than that.
+bits (whose number of differences never exceeds that of the sets; about as many bits as the set has shingles), then by words. Of a
+tile's pairs that may be similar only as many go on as bring its classes together (a spanning forest). Where words refute some of
+them, more forests of the pairs that are left follow (FORESTS times as many in each round), until none is refuted. Components need no more than that.
 ``link_pairs`` and ``count_links`` compare all classes that share a signature, also those already in one component, so
 they have every link.
 
@@ -48,6 +50,8 @@ CHUNK, TILE, SEEDS, HELD, REMEMBERED = 150_000, 512, 4, 30_000, 50_000
 PARITY, PARITY_MOST = 512, 1 << 15
 #: Bits of a signature that are shuffled. Where two agree by chance, their sets are compared in vain; no link is lost.
 SIG_BITS = 40
+#: By what the number of a tile's forests grows from round to round.
+FORESTS = 8
 #: Rows that a worker gets at a time: a row may hold two whole texts.
 ROWS = 100
 U = np.uint64
@@ -374,31 +378,59 @@ def _maybe_similar(pairs: DataFrame, classes: DataFrame, p: int, q: int) -> Data
     return columns.mapInArrow(run, "a long, b long, a_key long, b_key long")
 
 
-def _tile_pairs(tiles: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a, b, a_key, b_key) in different components that sizes and parities don't rule out, tile by tile.
+def _forests(pairs: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, forests: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the pairs (i, j), those of each i together, so many spanning forests, no pair twice; what has one label is one node."""
+    for _ in range(forests):
+        if not pairs:
+            return
+        group, later = np.unique(label, return_inverse=True)[1], []
+        for i, j in pairs:
+            met, first = np.unique(group[j], return_index=True)
+            first = first[met != group[i[0]]]
+            if len(first):
+                yield i[first], j[first]
+                group[np.isin(group, met)] = group[i[0]]
+                i, j = np.delete(i, first), np.delete(j, first)
+            if len(j):
+                later.append((i, j))
+        pairs = later
+
 
-    tiles: sig, t1, t2, t, rep, key, label, n_shingles, parity, sorted by the first three; a tile has at most 2 * TILE rows.
+def _tile_pairs(tiles: DataFrame, p: int, q: int, forests: int | None) -> DataFrame:
+    """Pairs (sig, a, b, a_key, b_key) in different components that sizes and parities don't rule out, tile by tile.
+
+    tiles: sig, t1, t2, t, rep, key, label, n_shingles, parity, refuted (keys with which a class isn't linked), sorted by the
+    first three; a tile has about 2 * TILE rows at most. forests: all pairs, if None, else so many spanning forests of them,
+    with no pair twice and none that is refuted: fewer pairs than rows for each forest.
     """
 
     def pairs(rows: pa.RecordBatch) -> pa.RecordBatch | None:
-        t1, t2, t, rep, key, label, n = (rows.column(i).to_numpy() for i in (1, 2, 3, 4, 5, 6, 7))
+        sig, t1, t2, t, rep, key, label, n = (rows.column(i).to_numpy() for i in range(8))
         cells = rows.column(8).to_pylist()
         parity = _folded(cells, min(map(len, cells))).view(np.uint64)
         left, right = (np.flatnonzero(t == t1), np.flatnonzero(t == t2))
+        taken = np.zeros((len(key), len(key)) if forests else 0, bool)
+        if forests:
+            for i in np.flatnonzero(rows.column(9).value_lengths().to_numpy()):
+                j = np.isin(key, rows.column(9)[int(i)].values.to_numpy())
+                taken[i, j] = taken[j, i] = True
         found = []
         for i in left:
             j = right[right > i] if t1[0] == t2[0] else right
             j = j[(label[j] != label[i]) & (key[j] != key[i]) & _close(n[i], n[j], 0, p, q)]
+            j = j[~taken[i, j]] if forests else j
             if len(j):
                 differ = np.bitwise_count(parity[j] ^ parity[i]).sum(1, dtype=np.int64)
                 j = j[_close(n[i], n[j], differ, p, q)]
+            if len(j):
                 found.append((np.full(len(j), i), j))
+        found = list(_forests(found, label, forests)) if forests else found
         if not found:
             return None
         i, j = (np.concatenate(x) for x in zip(*found))
         swap = (rep[i] > rep[j]) | (rep[i] == rep[j]) & (key[i] > key[j])
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rep[i], rep[j], key[i], key[j])], names=["a", "b", "a_key", "b_key"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[i], rep[i], rep[j], key[i], key[j])], names=["sig", "a", "b", "a_key", "b_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -420,7 +452,7 @@ def _tile_pairs(tiles: DataFrame, p: int, q: int) -> DataFrame:
         if held and (got := pairs(joined())) is not None:
             yield got
 
-    return tiles.mapInArrow(run, "a long, b long, a_key long, b_key long")
+    return tiles.mapInArrow(run, "sig long, a long, b long, a_key long, b_key long")
 
 
 def link_documents(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -446,9 +478,10 @@ def _stars(members: DataFrame, classes: DataFrame, p: int, q: int) -> DataFrame:
     return _maybe_similar(stars, classes, p, q)
 
 
-def _pairs_within(members: DataFrame, named: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs of one signature's classes (key, rep, n_shingles, parity, label) with different labels that may be similar.
+def _pairs_within(members: DataFrame, named: DataFrame, p: int, q: int, forests: int | None = None, refuted: DataFrame | None = None) -> DataFrame:
+    """The pairs (sig, a, b, a_key, b_key) of one signature's classes (key, rep, n_shingles, parity, label) with different labels that may be similar.
 
+    With ``forests`` no more than that many spanning forests of a tile's pairs, without those of ``refuted`` (a_key, b_key).
     Signatures of two classes are left to ``_stars``. Many signatures hold the same classes: those are looked at once. They
     are recognized by the sums of eight 32-bit parts of the classes' SHA-256 digests. Tiles are dealt by a hash of the
     class, so no task has to number the classes of a signature.
@@ -460,11 +493,18 @@ def _pairs_within(members: DataFrame, named: DataFrame, p: int, q: int) -> DataF
     sums = members.join(mixed, "sig").withColumn("_digest", digest).groupBy("sig", "size").agg(*parts)
     apart = sums.groupBy("size", *[f"_sum{i}" for i in range(8)]).agg(F.min("sig").alias("sig"))
     inside = members.join(apart.select("sig", "size"), "sig").join(named, "key")
+    none = F.array().cast("array<long>")
+    if refuted is None:
+        inside = inside.withColumn("refuted", none)
+    else:
+        lists = refuted.groupBy(F.col("a_key").alias("key")).agg(F.collect_list("b_key").alias("refuted"))
+        inside = inside.join(lists, "key", "left").withColumn("refuted", F.coalesce("refuted", none))
     tiles = F.expr(f"CAST((size - 1) DIV {TILE} + 1 AS INT)")
     tiled = inside.withColumn("t", F.pmod(F.xxhash64("key"), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    tiled = tiled.select("sig", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), "t", "rep", "key", "label", "n_shingles", "parity")
+    there = F.filter("refuted", lambda x: F.pmod(F.xxhash64(x), tiles) == F.col("o")).alias("refuted")
+    tiled = tiled.select("sig", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), "t", "rep", "key", "label", "n_shingles", "parity", there)
     tiled = tiled.repartition("sig", "t1", "t2").sortWithinPartitions("sig", "t1", "t2")
-    return _tile_pairs(tiled, p, q).distinct()
+    return _tile_pairs(tiled, p, q, forests)
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -475,16 +515,33 @@ def _components(links: DataFrame) -> DataFrame:
 def _linked(rows: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sets and classes of rows (id, text), and the labels of linked classes."""
     described, classes, members = _sets_and_members(rows, n, p, q)
-    texts = rows.where("id IS NOT NULL")
-    first = written(_verified(written(_stars(members, classes, p, q), "stars"), texts, n, p, q), "first-links")
-    labels = _components(first)
-
-    # signatures whose classes the pivots have not brought together
-    named = classes.join(labels, "key", "left").select("key", "rep", "n_shingles", "parity", F.coalesce("label", "key").alias("label"))
-    second = _verified(written(_pairs_within(members, named, p, q), "tile-pairs"), texts, n, p, q)
-    second = written(second, "second-links")
-    if second.limit(1).count():
-        labels = _components(first.union(second))
+    texts, pair = rows.where("id IS NOT NULL"), ["a", "b", "a_key", "b_key"]
+    links = written(_verified(written(_stars(members, classes, p, q), "stars"), texts, n, p, q), "first-links")
+    labels = _components(links)
+
+    # signatures whose classes the pivots have not brought together; each round links classes or refutes pairs
+    refuted, forests = None, 1
+    while True:
+        named = classes.join(labels, "key", "left").select("key", "rep", "n_shingles", "parity", F.coalesce("label", "key").alias("label"))
+        tried = written(_pairs_within(members, named, p, q, forests, refuted), "tile-pairs")
+        if not tried.limit(1).count():
+            break
+        found = written(_verified(tried.select(pair).distinct(), texts, n, p, q), "more-links")
+        if found.limit(1).count():
+            links = links.union(found)
+            labels = _components(links)
+        wrong = written(tried.join(found, pair, "left_anti"), "refuted")
+        if not wrong.limit(1).count():  # all that a tile might link is linked
+            break
+        # pairs that are left have ends in the components of refuted ones of their signature
+        label = F.coalesce("label", "key").alias("label")
+        ends = wrong.select("sig", F.col("a_key").alias("key")).union(wrong.select("sig", "b_key")).distinct()
+        open_ends = ends.join(labels, "key", "left").select("sig", label).distinct()
+        members = members.join(labels, "key", "left").select("sig", "pivot", "key", label).join(open_ends, ["sig", "label"], "left_semi")
+        members = written(members.drop("label"), "members")
+        more = wrong.select("a_key", "b_key")
+        refuted = written((more if refuted is None else refuted.union(more)).distinct(), "refuted-pairs")
+        forests *= FORESTS
     return described, classes, labels
 
 
@@ -510,7 +567,7 @@ def _all_links(rows: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, Data
     turned = F.expr("a > b OR a = b AND a_key > b_key")
     side = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
     stars = _stars(members, classes, p, q).select(side("a", "b"), side("b", "a"), side("a_key", "b_key"), side("b_key", "a_key"))
-    maybe = written(stars.union(_pairs_within(members, named, p, q)).distinct(), "maybe-links")
+    maybe = written(stars.union(_pairs_within(members, named, p, q).drop("sig")).distinct(), "maybe-links")
     return described, classes, written(_verified(maybe, rows.where("id IS NOT NULL"), n, p, q), "links")
 
 

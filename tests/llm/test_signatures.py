@@ -66,3 +66,44 @@ def test_parities_never_exceed_the_differences():
             x, y = ngram_join._folded([cells[i], cells[j]], min(len(cells[i]), len(cells[j])))
             assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
     assert ngram_join.parities(np.empty(0, np.uint64), np.zeros(1, np.int64)) == [bytes(64)]
+
+
+def test_a_tile_gives_fewer_pairs_than_rows(spark):
+    """Where all classes of a signature may be similar, a forest of the pairs goes on, and never one that is refuted."""
+    n = 120
+    named = spark.range(n).select(F.col("id").alias("key"), F.col("id").alias("rep"), F.col("id").alias("label"), F.lit(100).cast("long").alias("n_shingles"), F.lit(bytes(64)).alias("parity"))
+    members = spark.range(n).select(F.lit(7).cast("long").alias("sig"), F.lit(0).cast("long").alias("pivot"), F.col("id").alias("key"))
+    pair = lambda df: {(r.a_key, r.b_key) for r in df.collect()}
+    assert len(pair(ngram_join._pairs_within(members, named, 80, 100))) == n * (n - 1) // 2
+    rows = ngram_join._pairs_within(members, named, 80, 100, 1)
+    first = pair(rows)
+    assert rows.count() == len(first) == n - 1
+    group = {i: {i} for i in range(n)}
+    for a, b in first:
+        both = group[a] | group[b]
+        group |= dict.fromkeys(both, both)
+    assert len(group[0]) == n
+    wrong = spark.createDataFrame(sorted(first), "a_key long, b_key long")
+    more = pair(ngram_join._pairs_within(members, named, 80, 100, 2, wrong))
+    assert n - 1 < len(more) < 2 * n and not more & first
+
+
+def test_rounds_of_refuted_pairs_find_every_link(spark, monkeypatch):
+    """Texts about as alike as the limit, which parities can't tell apart: the result is that of comparing all pairs."""
+    rng = np.random.default_rng(5)
+    base, texts = list(map(str, rng.integers(0, 100_000, 515))), []
+    for i in range(60):
+        at, m = int(rng.integers(0, 440)), int(rng.integers(20, 60))
+        texts.append(" ".join([*base[:at], *(f"{i}-{k}" for k in range(m)), *base[at + m :]]))
+    sets, label = [ngram_join.shingle_set(t, 5) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                x, y = sorted((label[i], label[j]))
+                label = [x if v == y else v for v in label]
+    named, writes = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "SIG_BITS", 1)
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: (named.append(name), writes(df, name))[1])
+    found = {r.doc_id: r.component_id for r in ngram_join.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(texts))] == label and 1 < len(set(label)) < len(texts)
+    assert named.count("refuted-pairs") >= 1
