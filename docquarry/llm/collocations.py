@@ -7,9 +7,11 @@ partition; there phrases are counted, shorter ones first, and only those that ho
 
 1. ``encode_blocks``: texts become blocks of a million word numbers with their own word list, so words are
    handled as strings once. The blocks are written; word counts come from their lists alone.
-2. Words that reach ``least`` get a number in the order of falling frequency, by range partitions and their totals.
-3. ``fragments``: each block meets the numbers of its own words (no table of all words is sent to anyone) and emits the
-   rewritten fragments, equal ones counted once, a row for each bucket of pivots and two million words.
+2. The words of all blocks are dealt by word once: there they are counted, and those that reach ``least`` are numbered with
+   their places still beside them (``place_words``). Numbers follow falling frequency by steps of a quarter of its binary
+   logarithm; totals of steps and partitions tell where each begins.
+3. ``fragments``: each block meets the numbers of its own words (no table of all words is sent to anyone, and no word
+   is shuffled again) and emits the rewritten fragments, equal ones counted once, a row for each bucket of pivots and two million words.
 4. ``mine``: each bucket by itself; their number grows with the words. A pivot of more than ``GROUP`` occurrences is
    split over several buckets by a salt, whose counts are added up afterwards. What doesn't reach ``least`` where a pivot
    is whole ends there.
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import with_running_totals, written
+from .common import written
 
 #: Words of a block, of what is rewritten at once, and of a group that is mined as a whole.
 BLOCK, CHUNK, GROUP = 1 << 20, 1 << 21, 1 << 19
@@ -96,12 +98,40 @@ def encode_blocks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     return rows.mapInArrow(run, "block long, lang string, codes binary, words array<string>, counts array<long>")
 
 
+def place_words(blocks: DataFrame, least: int) -> DataFrame:
+    """Rows (lang, word, f, id, first, block, place): where the words that reach ``least`` stand in the lists of the blocks.
+
+    ``first`` is true in one row of each word. Of two words of a language the one with the larger id isn't more than a
+    fifth more frequent. A phrase's count doesn't depend on which of its words is the pivot, only the work does.
+    """
+    each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("lang", F.col("w.words").alias("word"), "block", "place", F.col("w.counts").alias("n"))
+    word = Window.partitionBy("lang", "word")
+    met = each.repartition("lang", "word").withColumn("f", F.sum("n").over(word)).where(F.col("f") >= least)
+    step = F.floor(F.log2("f") * 4).cast("int").alias("step")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, counts, last, at = TaskContext.get().partitionId(), {}, None, 0
+        for batch in batches:  # rows of one word follow each other
+            first, number = [], []
+            for step, *key in zip(batch.column(5).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                first.append(key != last)
+                if key != last:
+                    last, at = key, counts.get(step, 0)
+                    counts[step] = at + 1
+                number.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(number), pa.int32()), pa.array(number, pa.int64()), pa.array(first, pa.bool_())], names=[*batch.schema.names, "part", "number", "first"])
+
+    rows = met.select("lang", "word", "f", "block", "place", step).mapInArrow(run, "lang string, word string, f long, block long, place int, step int, part int, number long, first boolean")
+    rows = written(rows, "words")
+    sizes = rows.where("first").groupBy("step", "part").agg(F.count("*").alias("_size"))  # about a hundred steps for each partition at most
+    before = Window.orderBy(F.desc("step"), "part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("step", "part", (F.coalesce(F.sum("_size").over(before), F.lit(0)) + 1).alias("_base"))
+    return rows.join(F.broadcast(bases), ["step", "part"]).select("lang", "word", "f", (F.col("_base") + F.col("number")).alias("id"), "first", "block", "place")
+
+
 def number_words(blocks: DataFrame, least: int) -> DataFrame:
-    """Rows (lang, word, f, id) of the words that reach ``least``; of two words of a language the rarer has the larger id."""
-    each = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    frequent = each.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    ranked = frequent.select("lang", "word", "f", (-F.col("f")).alias("_rarity"), F.lit(1).cast("long").alias("_one"))
-    return with_running_totals(ranked, ["_rarity", "lang", "word"], {"id": "_one"}, "words").select("lang", "word", "f", (F.col("id") + 1).alias("id"))
+    """Rows (lang, word, f, id) of the words that reach ``least``."""
+    return place_words(blocks, least).where("first").select("lang", "word", "f", "id")
 
 
 def _mixed(columns: list[np.ndarray]) -> np.ndarray:
@@ -200,12 +230,11 @@ def _unpacked(packed: bytes) -> list[np.ndarray]:
 _FRAGMENTS = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int32()), ("packed", pa.binary())])
 
 
-def fragments(blocks: DataFrame, numbered: DataFrame, buckets: int) -> DataFrame:
+def fragments(blocks: DataFrame, placed: DataFrame, buckets: int) -> DataFrame:
     """The rewritten fragments of every bucket of pivots (a language's own), many in a row."""
-    places = blocks.select("block", "lang", F.posexplode("words").alias("place", "word"))
     salts = F.least(F.ceil(F.col("f") / GROUP), F.lit(1 << 22)).cast("long")
-    known = numbered.select("lang", "word", F.shiftleft(salts, 40).bitwiseOR(F.col("id")).alias("known"))  # both in one number, so that lists are short
-    ids = places.join(known, ["lang", "word"], "left").groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list(F.coalesce("known", F.lit(0))).alias("known"))
+    known = F.shiftleft(salts, 40).bitwiseOR(F.col("id"))  # both in one number, so that lists are short
+    ids = placed.select("block", "place", known.alias("known")).groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("known").alias("known"))
     joined = blocks.select("block", "lang", "codes").join(ids, "block").select("lang", "codes", "places", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,9 +252,9 @@ def fragments(blocks: DataFrame, numbered: DataFrame, buckets: int) -> DataFrame
             for i in range(batch.num_rows):
                 lang, codes = (batch.column(k)[i].as_py() for k in range(2))
                 places, known = (batch.column(k)[i].values.to_numpy() for k in (2, 3))
-                of = np.zeros(len(places) + 1, np.int64)
-                of[places + 1] = known
                 (words,) = _fields(zlib.decompress(codes))
+                of = np.zeros(int(words.max(initial=0)) + 1, np.int64)  # words without a number are ends of pieces here
+                of[places + 1] = known
                 waiting.setdefault(lang, []).append(of[words])
                 total += len(words)
                 if total >= CHUNK:
@@ -334,10 +363,11 @@ def collocations(docs: DataFrame, least: int = 100, first: int = 2000, text_col:
     ``least`` is the count that a phrase must reach; n is the number of all words of the language.
     """
     blocks = written(encode_blocks(docs, text_col, lang_col), "blocks")
-    numbered = written(number_words(blocks, least), "numbers")
+    placed = place_words(blocks, least)
+    numbered = written(placed.where("first").select("lang", "word", "f", "id"), "numbers")
     totals = blocks.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (s, x) -> s + x)")).alias("n"))
     n_words = totals.agg(F.sum("n")).first()[0] or 0
-    grams = written(mine(fragments(blocks, numbered, max(1, n_words // BUCKET)), least), "grams")
+    grams = written(mine(fragments(blocks, placed, max(1, n_words // BUCKET)), least), "grams")
     scored = score(grams, numbered, totals)
     # first in each of 16 parts of a language, so that the last window gets a bounded number of rows (but for ties)
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(16))).orderBy(F.desc("score"), F.desc("a"))

@@ -192,3 +192,26 @@ def test_articles_of_the_test_pages(spark, small):
         article = re.sub(r"</?(p|h1|br)>", " ", re.search(r"<article>(.*)</article>", r.html, re.S)[1])
         assert r.text == " ".join(unescape(re.sub("<.*?>", "", article)).split())
     assert queries.QUERIES["op13_page_differencing"](spark, small).where(F.col("n_shared") + F.col("n_marked") == 0).count() == 0
+
+
+def test_words_are_dealt_once_for_counts_and_places(spark):
+    """Each word that reaches the least count has one number, beside all its places; rarer words have larger numbers."""
+    texts = [("en", " ".join(f"w{i % m}" for i in range(400))) for m in (3, 7, 40, 90)] + [("de", "w1 w1 x. x"), (None, "x x")]
+    docs = spark.createDataFrame([(t, lang) for lang, t in texts], "text string, lang string").repartition(3)
+    blocks = collocations.encode_blocks(docs).cache()
+    placed = collocations.place_words(blocks, 2)
+    lists = {r.block: (r.lang, r.words) for r in blocks.collect()}
+    counts = {}
+    for lang, text in texts:
+        for w in text.replace(".", "").split():
+            counts[lang or "und", w] = counts.get((lang or "und", w), 0) + 1
+    rows, ids = placed.collect(), {}
+    assert {(r.block, r.place, r.lang, r.word) for r in rows} == {(b, i, lang, w) for b, (lang, words) in lists.items() for i, w in enumerate(words) if counts[lang, w] >= 2} and len(rows) == len({(r.block, r.place) for r in rows})
+    for r in rows:
+        assert r.f == counts[r.lang, r.word] and ids.setdefault((r.lang, r.word), r.id) == r.id
+    assert sorted(ids.values()) == list(range(1, len(ids) + 1))
+    assert sorted((r.lang, r.word) for r in rows if r.first) == sorted(ids)
+    assert all(counts[b] <= 1.2 * counts[a] for a in ids for b in ids if ids[a] < ids[b])
+    # the blocks meet the numbers without dealing words anew
+    plan = collocations.fragments(blocks, placed, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block" in plan and "hashpartitioning(lang" not in plan
