@@ -7,9 +7,10 @@ partition; there phrases are counted, shorter ones first, and only those that ho
 
 1. ``encode_blocks``: texts become blocks of a million word numbers with their own word list, so words are
    handled as strings once. The blocks are written; word counts come from their lists alone.
-2. The words of all blocks are dealt by word once: there they are counted, and those that reach ``least`` are numbered with
-   their places still beside them (``place_words``). Numbers follow falling frequency by steps of a quarter of its binary
-   logarithm; totals of steps and partitions tell where each begins.
+2. The words of all blocks are dealt by word once: there they are counted, and those that reach ``least`` are numbered. What
+   a task knows of a block's words goes on as one list, not as a row for each place (``list_words``): of a larger table a larger
+   share of the words reaches ``least``, so such rows would grow faster than the table. Numbers follow falling frequency by steps
+   of a quarter of its binary logarithm; totals of steps and partitions tell where each begins.
 3. ``fragments``: each block meets the numbers of its own words (no table of all words is sent to anyone, and no word
    is shuffled again) and emits the rewritten fragments, equal ones counted once, a row for each bucket of pivots and two million words.
 4. ``mine``: each bucket by itself; their number grows with the words. A pivot of more than ``GROUP`` occurrences is
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ from .common import written
 BLOCK, CHUNK, GROUP = 1 << 20, 1 << 21, 1 << 19
 #: Words whose fragments one bucket holds on average; a bucket is mined at once.
 BUCKET = 1 << 21
+#: Places that a task holds before their lists go on.
+PLACES = 1 << 20
 LONGEST, AROUND = 5, 4
 #: A-Z to a-z, blank for tab, and a line end for whatever ends a piece: [.,;:!?] and \x0A to \x0D.
 _FOLD = bytes(ord(chr(c).lower()) if 65 <= c <= 90 else 32 if c == 9 else 10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c for c in range(256))
@@ -98,40 +102,105 @@ def encode_blocks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     return rows.mapInArrow(run, "block long, lang string, codes binary, words array<string>, counts array<long>")
 
 
-def place_words(blocks: DataFrame, least: int) -> DataFrame:
-    """Rows (lang, word, f, id, first, block, place): where the words that reach ``least`` stand in the lists of the blocks.
+def list_words(blocks: DataFrame, least: int) -> DataFrame:
+    """Lists of the words that reach ``least``, of two kinds of rows, with where each of their steps begins (``bases``).
 
-    ``first`` is true in one row of each word. Of two words of a language the one with the larger id isn't more than a
-    fifth more frequent. A phrase's count doesn't depend on which of its words is the pivot, only the work does.
+    Rows without a block: the ``words`` of a language, their counts ``f``, ``step`` and ``known``, the number in the step. Rows
+    with one: the ``place`` of such words in the block's list, their ``step``, and in ``known`` the number below the
+    groups of the pivot (40 bits). Of two words of a language the one with the larger id, bases[step] + number, isn't
+    more than a fifth more frequent. A phrase's count doesn't depend on which of its words is the pivot, only the work does.
     """
     each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("lang", F.col("w.words").alias("word"), "block", "place", F.col("w.counts").alias("n"))
     word = Window.partitionBy("lang", "word")
     met = each.repartition("lang", "word").withColumn("f", F.sum("n").over(word)).where(F.col("f") >= least)
     step = F.floor(F.log2("f") * 4).cast("int").alias("step")
+    salts = F.least(F.ceil(F.col("f") / GROUP), F.lit(1 << 22)).cast("long").alias("salts")
+    most = PLACES
+    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("block", pa.int64()), ("words", pa.list_(pa.string())), ("f", pa.list_(pa.int64())), ("place", pa.list_(pa.int32())), ("step", pa.list_(pa.int32())), ("known", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, counts, last, at = TaskContext.get().partitionId(), {}, None, 0
+        part, counts, last, number = TaskContext.get().partitionId(), {}, None, 0
+        held: list[list[np.ndarray]] = []
+
+        def rows(cuts: np.ndarray, **columns) -> pa.RecordBatch:
+            """A row for each piece between the cuts: whole columns are cut to lists, those of ``schema`` without a list are given by row."""
+            n, ends = len(cuts) - 1, pa.array(cuts, pa.int32())
+            out = {"part": pa.array(np.full(n, part, np.int32))}
+            for field in schema:
+                if field.name in columns:
+                    x = columns[field.name]
+                    out[field.name] = pa.ListArray.from_arrays(ends, pa.array(x, field.type.value_type)) if pa.types.is_list(field.type) else pa.array(x, field.type)
+            return pa.RecordBatch.from_arrays([out.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+        def by_block() -> pa.RecordBatch:
+            block, *columns = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(block, kind="stable")
+            block, (place, step, known) = block[order], (x[order] for x in columns)
+            begin = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            return rows(np.append(begin, len(block)), block=block[begin], place=place, step=step, known=known)
+
         for batch in batches:  # rows of one word follow each other
-            first, number = [], []
-            for step, *key in zip(batch.column(5).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                first.append(key != last)
-                if key != last:
-                    last, at = key, counts.get(step, 0)
-                    counts[step] = at + 1
-                number.append(at)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(number), pa.int32()), pa.array(number, pa.int64()), pa.array(first, pa.bool_())], names=[*batch.schema.names, "part", "number", "first"])
-
-    rows = met.select("lang", "word", "f", "block", "place", step).mapInArrow(run, "lang string, word string, f long, block long, place int, step int, part int, number long, first boolean")
-    rows = written(rows, "words")
-    sizes = rows.where("first").groupBy("step", "part").agg(F.count("*").alias("_size"))  # about a hundred steps for each partition at most
+            if not batch.num_rows:
+                continue
+            langs, words = batch.column(0), batch.column(1)
+            f, block, place, step, salts = (batch.column(i).to_numpy() for i in range(2, 7))
+            fresh = np.append((langs[0].as_py(), words[0].as_py()) != last, pc.or_(pc.not_equal(langs[1:], langs[:-1]), pc.not_equal(words[1:], words[:-1])).to_numpy(zero_copy_only=False))
+            last = langs[-1].as_py(), words[-1].as_py()
+            begin, numbers = np.flatnonzero(fresh), [number]
+            for s in step[begin].tolist():
+                numbers.append(counts.get(s, 0))
+                counts[s] = numbers[-1] + 1
+            number = numbers[-1]
+            known = np.repeat(np.array(numbers, np.int64), np.diff(np.concatenate([[0], begin, [len(f)]])))
+            held.append([block, place, step, (salts << 40) | known])
+            if len(begin):
+                at = pa.array(begin)
+                own = langs.take(at)
+                cuts = np.flatnonzero(np.append(True, pc.not_equal(own[1:], own[:-1]).to_numpy(zero_copy_only=False)))
+                yield rows(np.append(cuts, len(begin)), lang=own.take(pa.array(cuts)), words=words.take(at), f=f[begin], step=step[begin], known=known[begin])
+            if sum(len(x[0]) for x in held) >= most:
+                yield by_block()
+        if held:
+            yield by_block()
+
+    listed = met.select("lang", "word", "f", "block", "place", step, salts).mapInArrow(run, "part int, lang string, block long, words array<string>, f array<long>, place array<int>, step array<int>, known array<long>")
+    listed = written(listed, "words")
+    sizes = listed.where("block IS NULL").select("part", F.explode("step").alias("step")).groupBy("step", "part").agg(F.count("*").alias("_size"))  # about a hundred steps for each partition at most
     before = Window.orderBy(F.desc("step"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("step", "part", (F.coalesce(F.sum("_size").over(before), F.lit(0)) + 1).alias("_base"))
-    return rows.join(F.broadcast(bases), ["step", "part"]).select("lang", "word", "f", (F.col("_base") + F.col("number")).alias("id"), "first", "block", "place")
+    bases = sizes.select("part", F.struct("step", (F.coalesce(F.sum("_size").over(before), F.lit(0)) + 1).alias("base")).alias("_base"))
+    of_part = bases.groupBy("part").agg(F.map_from_entries(F.collect_list("_base")).alias("_bases"))
+    of_part = of_part.select("part", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda s: F.col("_bases")[s]).alias("bases"))
+    return listed.join(F.broadcast(of_part), "part")
+
+
+def _numbered(listed: DataFrame) -> DataFrame:
+    """Rows (lang, word, f, id) of the lists' words."""
+    each = listed.where("block IS NULL").select("lang", "bases", F.explode(F.arrays_zip("words", "f", "step", "known")).alias("w"))
+    return each.select("lang", F.col("w.words").alias("word"), F.col("w.f").alias("f"), (F.col("bases")[F.col("w.step")] + F.col("w.known")).alias("id"))
+
+
+def _lists_of_blocks(listed: DataFrame) -> DataFrame:
+    """Rows (block, place, known): the places of numbered words, and the ids of those words below the groups of their pivots."""
+    known = F.zip_with("step", "known", lambda s, k: F.col("bases")[s] + k).alias("known")
+    return listed.where("block IS NOT NULL").select("block", "place", known)
+
+
+def place_words(blocks: DataFrame, least: int) -> DataFrame:
+    """Rows (lang, word, f, id, first, block, place): where the words that reach ``least`` stand in the lists of the blocks.
+
+    ``first`` is true in one row of each word. This has a row for each place; ``collocations`` goes on with the lists.
+    """
+    listed = list_words(blocks, least)
+    each = _lists_of_blocks(listed).select("block", F.explode(F.arrays_zip("place", "known")).alias("w"))
+    each = each.select("block", F.col("w.place").alias("place"), F.col("w.known").bitwiseAND(F.lit((1 << 40) - 1)).alias("id"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy("block", "place")) == 1
+    return each.withColumn("first", first).join(_numbered(listed), "id").select("lang", "word", "f", "id", "first", "block", "place")
 
 
 def number_words(blocks: DataFrame, least: int) -> DataFrame:
     """Rows (lang, word, f, id) of the words that reach ``least``."""
-    return place_words(blocks, least).where("first").select("lang", "word", "f", "id")
+    return _numbered(list_words(blocks, least))
 
 
 def _mixed(columns: list[np.ndarray]) -> np.ndarray:
@@ -234,7 +303,11 @@ def fragments(blocks: DataFrame, placed: DataFrame, buckets: int) -> DataFrame:
     """The rewritten fragments of every bucket of pivots (a language's own), many in a row."""
     salts = F.least(F.ceil(F.col("f") / GROUP), F.lit(1 << 22)).cast("long")
     known = F.shiftleft(salts, 40).bitwiseOR(F.col("id"))  # both in one number, so that lists are short
-    ids = placed.select("block", "place", known.alias("known")).groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("known").alias("known"))
+    return _fragments(blocks, placed.select("block", F.array("place").alias("place"), F.array(known).alias("known")), buckets)
+
+
+def _fragments(blocks: DataFrame, lists: DataFrame, buckets: int) -> DataFrame:
+    ids = lists.groupBy("block").agg(F.flatten(F.collect_list("place")).alias("places"), F.flatten(F.collect_list("known")).alias("known"))
     joined = blocks.select("block", "lang", "codes").join(ids, "block").select("lang", "codes", "places", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,11 +436,11 @@ def collocations(docs: DataFrame, least: int = 100, first: int = 2000, text_col:
     ``least`` is the count that a phrase must reach; n is the number of all words of the language.
     """
     blocks = written(encode_blocks(docs, text_col, lang_col), "blocks")
-    placed = place_words(blocks, least)
-    numbered = written(placed.where("first").select("lang", "word", "f", "id"), "numbers")
+    listed = list_words(blocks, least)
+    numbered = written(_numbered(listed), "numbers")
     totals = blocks.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (s, x) -> s + x)")).alias("n"))
     n_words = totals.agg(F.sum("n")).first()[0] or 0
-    grams = written(mine(fragments(blocks, placed, max(1, n_words // BUCKET)), least), "grams")
+    grams = written(mine(_fragments(blocks, _lists_of_blocks(listed), max(1, n_words // BUCKET)), least), "grams")
     scored = score(grams, numbered, totals)
     # first in each of 16 parts of a language, so that the last window gets a bounded number of rows (but for ties)
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(16))).orderBy(F.desc("score"), F.desc("a"))

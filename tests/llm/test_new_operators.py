@@ -215,3 +215,16 @@ def test_words_are_dealt_once_for_counts_and_places(spark):
     # the blocks meet the numbers without dealing words anew
     plan = collocations.fragments(blocks, placed, 1)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(block" in plan and "hashpartitioning(lang" not in plan
+
+
+def test_places_go_on_as_lists(spark, monkeypatch):
+    """A task hands on one list of places for each block, however many words reach the least count, and no row for each place."""
+    texts = [(" ".join(f"w{(i * k) % 997}" for i in range(3000)), "en") for k in (1, 5, 7, 11)]
+    blocks = collocations.encode_blocks(spark.createDataFrame(texts, "text string, lang string").repartition(4)).cache()
+    tables, writes = {}, collocations.written
+    monkeypatch.setattr(collocations, "written", lambda df, name: tables.setdefault(name, writes(df, name)))
+    places = collocations.place_words(blocks, 2)
+    assert places.count() == sum(len(r.words) for r in blocks.collect()) > 2900
+    words, tasks = tables["words"], tables["words"].select("part").distinct().count()
+    assert words.where("block IS NOT NULL").count() <= tasks * blocks.count() and words.count() < 300
+    assert words.where("block IS NULL").selectExpr("sum(size(words))").first()[0] == 997
