@@ -25,7 +25,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         jumps = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = nearer.join(jumps, "label").select("node", "old", F.least("label", "further").alias("label"))
         new = written(new, "labels")
-        changed = new.where("label < old").limit(1).count()
+        settled = new.where("label < old").isEmpty()
         labels = new.select("node", "label")
-        if not changed:
+        if settled:
             return labels

@@ -315,6 +315,7 @@ def _keyed(docs: DataFrame, n: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """Those of the pairs (a, b, a_key, b_key) whose sets of whole words are similar enough."""
+    pairs = pairs.select("a", "b", "a_key", "b_key")
     wanted = pairs.select(F.col("a").alias("id"), F.col("a_key").alias("key")).union(pairs.select("b", "b_key")).distinct()
     wanted = written(wanted, "wanted")
     # only texts that may be wanted are shuffled; an id may be repeated with other texts, so the set tells which is meant
@@ -483,21 +484,20 @@ def _pairs_within(members: DataFrame, named: DataFrame, p: int, q: int, forests:
 
     With ``forests`` no more than that many spanning forests of a tile's pairs, without those of ``refuted`` (a_key, b_key).
     Signatures of two classes are left to ``_stars``. Many signatures hold the same classes: those are looked at once. They
-    are recognized by the sums of eight 32-bit parts of the classes' SHA-256 digests. Tiles are dealt by a hash of the
-    class, so no task has to number the classes of a signature.
+    are recognized by the sums of eight 32-bit parts of the classes' SHA-256 digests, taken in the same pass as their labels. Tiles
+    are dealt by a hash of the class, so no task has to number the classes of a signature.
     """
-    groups = members.join(named.select("key", "label"), "key").groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-    mixed = groups.where("low < high AND size > 2").select("sig", "size")
     digest = F.sha2(F.col("key").cast("string"), 256)
     parts = [F.sum(F.conv(F.substring("_digest", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"_sum{i}") for i in range(8)]
-    sums = members.join(mixed, "sig").withColumn("_digest", digest).groupBy("sig", "size").agg(*parts)
-    apart = sums.groupBy("size", *[f"_sum{i}" for i in range(8)]).agg(F.min("sig").alias("sig"))
+    labelled = members.join(named.select("key", "label"), "key").withColumn("_digest", digest)
+    groups = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), *parts)
+    apart = groups.where("low < high AND size > 2").groupBy("size", *[f"_sum{i}" for i in range(8)]).agg(F.min("sig").alias("sig"))
     inside = members.join(apart.select("sig", "size"), "sig").join(named, "key")
     none = F.array().cast("array<long>")
     if refuted is None:
         inside = inside.withColumn("refuted", none)
     else:
-        lists = refuted.groupBy(F.col("a_key").alias("key")).agg(F.collect_list("b_key").alias("refuted"))
+        lists = refuted.groupBy(F.col("a_key").alias("key")).agg(F.collect_set("b_key").alias("refuted"))
         inside = inside.join(lists, "key", "left").withColumn("refuted", F.coalesce("refuted", none))
     tiles = F.expr(f"CAST((size - 1) DIV {TILE} + 1 AS INT)")
     tiled = inside.withColumn("t", F.pmod(F.xxhash64("key"), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
@@ -519,28 +519,29 @@ def _linked(rows: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, DataFra
     links = written(_verified(written(_stars(members, classes, p, q), "stars"), texts, n, p, q), "first-links")
     labels = _components(links)
 
-    # signatures whose classes the pivots have not brought together; each round links classes or refutes pairs
+    # signatures whose classes the pivots have not brought together; each round links classes or refutes pairs. Rounds are small
+    # where the table is: the fewer jobs and shuffles each has, the less of their threads and plans the driver holds at once
     refuted, forests = None, 1
     while True:
         named = classes.join(labels, "key", "left").select("key", "rep", "n_shingles", "parity", F.coalesce("label", "key").alias("label"))
         tried = written(_pairs_within(members, named, p, q, forests, refuted), "tile-pairs")
-        if not tried.limit(1).count():
+        if tried.isEmpty():
             break
-        found = written(_verified(tried.select(pair).distinct(), texts, n, p, q), "more-links")
-        if found.limit(1).count():
+        found = written(_verified(tried, texts, n, p, q), "more-links")
+        if not found.isEmpty():
             links = links.union(found)
             labels = _components(links)
-        wrong = written(tried.join(found, pair, "left_anti"), "refuted")
-        if not wrong.limit(1).count():  # all that a tile might link is linked
+        wrong = written(tried.join(found, pair, "left_anti"), "refuted-pairs")
+        if wrong.isEmpty():  # all that a tile might link is linked
             break
         # pairs that are left have ends in the components of refuted ones of their signature
         label = F.coalesce("label", "key").alias("label")
-        ends = wrong.select("sig", F.col("a_key").alias("key")).union(wrong.select("sig", "b_key")).distinct()
-        open_ends = ends.join(labels, "key", "left").select("sig", label).distinct()
+        ends = wrong.select("sig", F.col("a_key").alias("key")).union(wrong.select("sig", "b_key"))
+        open_ends = ends.join(labels, "key", "left").select("sig", label)
         members = members.join(labels, "key", "left").select("sig", "pivot", "key", label).join(open_ends, ["sig", "label"], "left_semi")
         members = written(members.drop("label"), "members")
         more = wrong.select("a_key", "b_key")
-        refuted = written((more if refuted is None else refuted.union(more)).distinct(), "refuted-pairs")
+        refuted = more if refuted is None else refuted.union(more)
         forests *= FORESTS
     return described, classes, labels
 

@@ -107,3 +107,12 @@ def test_rounds_of_refuted_pairs_find_every_link(spark, monkeypatch):
     found = {r.doc_id: r.component_id for r in ngram_join.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [found[i] for i in range(len(texts))] == label and 1 < len(set(label)) < len(texts)
     assert named.count("refuted-pairs") >= 1
+
+
+def test_labels_and_digests_of_signatures_are_one_pass(spark):
+    """The rows of a signature are met once for labels and digests: each round has fewer shuffles and broadcasts for the driver."""
+    named = spark.range(9).select(F.col("id").alias("key"), F.col("id").alias("rep"), F.col("id").alias("label"), F.lit(100).cast("long").alias("n_shingles"), F.lit(bytes(64)).alias("parity"))
+    members = spark.range(18).select((F.col("id") % 2).alias("sig"), F.lit(0).cast("long").alias("pivot"), F.floor(F.col("id") / 2).alias("key"))
+    rows = ngram_join._pairs_within(members, named, 80, 100, 1)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 3
+    assert sorted(r.sig for r in rows.collect()) == [0] * 8  # both signatures hold the same classes
